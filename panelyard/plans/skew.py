@@ -188,6 +188,23 @@ def add_ranks(
     return ranked.select(*df.columns, F.when(v.isNotNull(), rank).alias(out), *extra_cols)
 
 
+def average_ranks(df: DataFrame, group: Sequence[str], outs: dict[str, str]) -> DataFrame:
+    """Average ranks of several complete columns: one split, one exchange for all of them."""
+    cold, hot, limit = split_hot(df, group)
+    base = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+
+    def rank(v):
+        w = base.orderBy(v)
+        return F.rank().over(w) + (F.count(v).over(w.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
+
+    ranked = cold.withColumns({o: rank(v) for v, o in outs.items()})
+    if hot is None:
+        return ranked
+    for v, o in outs.items():
+        hot = _rank_by_range(hot, group, v, "average", (), limit).select(*hot.columns, F.col("__rank").alias(o))
+    return ranked.unionByName(hot)
+
+
 def _rank_by_window(df, group, value, method, tie_break):
     v = F.col(value)
     base = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
