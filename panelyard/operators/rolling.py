@@ -78,8 +78,8 @@ def sequences(df: DataFrame, features: Sequence[str], seq_len: int, *, incomplet
     full = F.col("__i") >= seq_len
     short = (F.col("__m") < seq_len) & (F.col("__i") == F.col("__m"))
     wanted = full if incomplete == "drop" else full | short
-    rows = rows.where(wanted & (F.col("__m") >= min_len))
-    pads = F.lit(seq_len) - F.size("seq")
+    rows = rows.where(wanted & (F.col("__m") >= min_len)).withColumn("__pads", F.lit(seq_len) - F.size("seq"))
+    pads = F.col("__pads")
     if incomplete != "drop":
         filler = F.array(*[F.lit(0.0)] * len(features)) if incomplete == "pad_zero" else F.element_at("seq", 1)
         block = F.array_repeat(filler, pads)
@@ -88,7 +88,7 @@ def sequences(df: DataFrame, features: Sequence[str], seq_len: int, *, incomplet
         padded = F.col("seq")
     mask = []
     if with_mask:
-        real = (lambda i: i > pads) if pad_side == "left" else (lambda i: i <= F.size("seq"))
+        real = (lambda i: i > pads) if pad_side == "left" else (lambda i: i <= F.lit(seq_len) - pads)
         mask = [F.transform(F.sequence(F.lit(1), F.lit(seq_len)), real).alias("mask")]
     return rows.select(date, stock, label, *([weight] if weight else []), padded.alias("seq"), *mask)
 
