@@ -92,6 +92,8 @@ class PanelCleaner:
         rows = stage(model._project(rows), "clean-fit")
         model._learn_fill(rows)
         filled = model._fill(rows)
+        if s.active_fill.startswith("ffill") and (s.winsorize or s.zscore):
+            filled = stage(filled, "clean-filled")  # later passes need not repeat the history windows
         if s.winsorize == "global":
             q = X.column_quantiles(filled, base, [s.lower, s.upper])
             model.stats["lo"] = {c: v[0] for c, v in q.items()}

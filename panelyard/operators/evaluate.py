@@ -23,12 +23,12 @@ def _pairs(df: DataFrame, keys: Sequence[str], y: str, p: str) -> DataFrame:
     return df.where(both).select(*keys, F.col(y).cast("double").alias("__y"), F.col(p).cast("double").alias("__p"))
 
 
-def _corr(df: DataFrame, keys: Sequence[str], method: str) -> DataFrame:
+def _corr(df: DataFrame, keys: Sequence[str], method: str, small: bool = False) -> DataFrame:
     if method not in ("spearman", "pearson"):
         raise ValueError(f"unknown method {method}")
     x, z = "__y", "__p"
     if method == "spearman":
-        df = average_ranks(df, keys, {"__y": "__ry", "__p": "__rp"})
+        df = average_ranks(df, keys, {"__y": "__ry", "__p": "__rp"}, small=small)
         x, z = "__ry", "__rp"
     # a constant side has no correlation
     defined = (F.min(x) < F.max(x)) & (F.min(z) < F.max(z))
@@ -36,9 +36,12 @@ def _corr(df: DataFrame, keys: Sequence[str], method: str) -> DataFrame:
 
 
 def daily_ic(df: DataFrame, *, method: str = "spearman", keys: Sequence[str] = (DATE,), y: str = "y_true",
-             p: str = "y_pred") -> DataFrame:
-    """Correlation of target and prediction per date (and other keys); undefined dates are left out."""
-    out = _corr(_pairs(df, keys, y, p), list(keys), method)
+             p: str = "y_pred", small: bool = False) -> DataFrame:
+    """Correlation of target and prediction per date (and other keys); undefined dates are left out.
+
+    ``small`` skips the check for crowded groups when the caller has bounded them.
+    """
+    out = _corr(_pairs(df, keys, y, p), list(keys), method, small)
     return out.where(F.col("ic").isNotNull() & (F.col("n") >= 2))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelyard.operators.joins import attach_group_stats
 from panelyard.plans.skew import add_ranks, attach, quantile_table
+from panelyard.plans.stage import stage
 from panelyard.schema import DATE, LABEL, RAW_SUFFIX, STOCK
 
 
@@ -79,10 +80,17 @@ def winsorize_label(df: DataFrame, *, label: str = LABEL, lower: float = 0.05, u
 def postprocess_label(df: DataFrame, *, label: str = LABEL, keep_raw: bool = False, rank: dict | None = None,
                       zscore: dict | None = None, clip: float | Sequence[float] | None = None,
                       winsorize: dict | None = None, date: str = DATE) -> DataFrame:
-    """Fixed chain rank -> z-score -> clip -> winsorize; a step given as None is off."""
+    """Fixed chain rank -> z-score -> clip -> winsorize; a step given as None is off.
+
+    Call it on (date, stock, label) and join the result: the steps then never
+    move the feature columns. The ranked label is staged once when later steps
+    take statistics of it.
+    """
     out = df.withColumn(label + RAW_SUFFIX, F.col(label)) if keep_raw else df
     if rank is not None:
         out = rank_label(out, label=label, date=date, **rank)
+        if zscore is not None or winsorize is not None:
+            out = stage(out, "ranked")
     if zscore is not None:
         out = zscore_label(out, label=label, date=date, **zscore)
     if clip is not None:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from panelyard.operators.evaluate import daily_ic
 from panelyard.operators.folds import date_index
 from panelyard.operators.reshape import filter_members
-from panelyard.plans.skew import union_all
+from panelyard.plans.skew import largest_group, rows_per_task, union_all
 from panelyard.schema import DATE, LABEL, STOCK
 
 VISIBILITY_ROWS = 2  # fixed value: a label at t is realised two rows later
@@ -30,7 +30,9 @@ def factor_daily_rankic(panel: DataFrame, factors: Sequence[str], *, label: str
     """
     long = panel.select(date, label, *[F.col(f).cast("double").alias(f) for f in factors]).unpivot(
         [date, label], list(factors), "factor", "value")
-    ic = daily_ic(long, keys=[date, "factor"], y=label, p="value")
+    # a (date, factor) group is no larger than its date, which is cheaper to count
+    small = largest_group(panel, [date]) <= rows_per_task(panel.sparkSession)
+    ic = daily_ic(long, keys=[date, "factor"], y=label, p="value", small=small)
     index = date_index(panel, date=date)
     later = index.select((F.col("idx") - VISIBILITY_ROWS).alias("idx"), F.col(date).alias("available_from"))
     known = index.join(later, "idx", "left").select(date, "available_from")

@@ -1,7 +1,7 @@
 """Walk-forward runs: evaluate per fold; evaluate, refit and predict per window.
 
-The panel is assigned to all folds once and staged by fold and part, so each
-step reads only its own slice. Steps whose parameters do not depend on the step
+Pass a saved (best: date-partitioned) panel: each step reads only the date range of
+its own slice, and nothing is copied per fold. Steps whose parameters do not depend on the step
 before run several at a time as separate Spark jobs.
 """
 
@@ -11,18 +11,20 @@ import json
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelyard.operators.evaluate import regression_metrics
-from panelyard.operators.folds import assign_folds, window_spans
-from panelyard.operators.model import Bundle, fit_model, fit_pca, predict, prediction_table, transform_pca
+from panelyard.operators.folds import expand_dates, window_spans
+from panelyard.operators.model import Bundle, fit_model, fit_pca, prediction_table, transform_pca
 from panelyard.operators.tuning import NEVER, Schedule, days_due, gate_allows, search, stable_hash
 from panelyard.operators.weights import pseudo_class, sample_weights
 from panelyard.plans.skew import union_all
-from panelyard.plans.stage import stage, stage_path
-from panelyard.schema import DATE, LABEL, STOCK
+from panelyard.plans.stage import stage
+from panelyard.schema import DATE, LABEL
 
 HISTORY_SCHEMA = (
     "step_id long, fold long, model_name string, params string, params_hash string, n_features long, "
@@ -118,20 +120,27 @@ def _tune(train: DataFrame, features: Sequence[str], s: WalkSettings) -> tuple[d
 
 
 class _Slices:
-    """Fold slices of the panel, staged once by fold and part."""
+    """Date-range slices of the panel, never copies of it.
+
+    Folds overlap, and expanding windows repeat the early dates in every step, so
+    slices are read by date range from the one saved panel; on a date-partitioned
+    table that prunes folders. Row counts come from one count per date.
+    """
 
     def __init__(self, panel: DataFrame, spans: DataFrame, index: DataFrame):
-        spark = panel.sparkSession
-        path = stage_path(spark, "slices")
-        # the file layout follows (fold, part); a crowded slice keeps several files
-        assign_folds(panel, spans, index).write.partitionBy("fold", "part").parquet(path)
-        self.all = spark.read.parquet(path)
-        rows = self.all.groupBy("fold", "part").agg(F.count(F.lit(1)).alias("n")).collect()  # folds x parts rows
-        self.sizes = {(int(r["fold"]), r["part"]): r["n"] for r in rows}
-        self.columns = panel.columns
+        self.panel = panel
+        counts = panel.groupBy(DATE).agg(F.count(F.lit(1)).alias("n"))
+        sizes = expand_dates(spans, index, ["fold", "part"]).join(counts, DATE).groupBy("fold", "part").agg(
+            F.sum("n").alias("n"))
+        # one row per fold and part
+        rows = spans.select("fold", "part", "date_start", "date_end").join(sizes, ["fold", "part"], "left").collect()
+        self.sizes = {(int(r["fold"]), r["part"]): r["n"] or 0 for r in rows}
+        self.ranges = {(int(r["fold"]), r["part"]): (r["date_start"], r["date_end"]) for r in rows}
 
     def part(self, fold: int, *parts: str) -> DataFrame:
-        return self.all.where((F.col("fold") == fold) & F.col("part").isin(list(parts))).select(*self.columns)
+        inside = [F.col(DATE).between(*[F.lit(d) for d in self.ranges[(fold, p)]])
+                  for p in parts if (fold, p) in self.ranges]
+        return self.panel.where(reduce(or_, inside))
 
 
 def _history_row(step, s, params, n_features, n_train, scores, tuned=False, updated=False, tune_score=None,
@@ -159,7 +168,7 @@ def walk_forward(panel: DataFrame, folds: DataFrame, index: DataFrame, features:
     s = settings or WalkSettings()
     spark = panel.sparkSession
     slices = _Slices(panel, folds, index)
-    steps = sorted({f for f, _ in slices.sizes} | {int(r[0]) for r in folds.select("fold").distinct().collect()})
+    steps = sorted({f for f, _ in slices.sizes})
     current = {"params": dict(s.params)}
     bundles: dict[int, Bundle] = {}
 
@@ -291,7 +300,3 @@ def compare_sweep(summary: DataFrame, metrics: DataFrame | None = None) -> DataF
 def combine_parts(df: DataFrame, parts: Sequence[str] = ("train", "test")) -> DataFrame:
     """Rows of several parts as one refit slice."""
     return df.where(F.col("part").isin(list(parts)))
-
-
-
-

@@ -89,20 +89,26 @@ def attach_one_row(df: DataFrame, values: dict[str, object]) -> DataFrame:
 # --- hot groups ---------------------------------------------------------------
 
 
-def split_hot(df: DataFrame, group: Sequence[str]) -> tuple[DataFrame, DataFrame | None, int]:
+def largest_group(df: DataFrame, group: Sequence[str]) -> int:
+    """Rows of the largest group: one aggregate over the group columns alone."""
+    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def split_hot(df: DataFrame, group: Sequence[str], width: int = 1) -> tuple[DataFrame, DataFrame | None, int]:
     """Divide rows into ordinary groups and groups too large for one task.
 
     Returns ``(cold, hot, limit)``; ``hot`` is ``None`` when every group fits,
     which costs one aggregate over the group columns alone (combined map-side).
+    ``width`` is the number of cells a row adds to the state of its group.
     """
     spark = df.sparkSession
+    least = max(1, rows_per_task(spark) // width)
     if not group:
         n = df.count()
-        limit = rows_per_task(spark)
-        return (df, None, limit) if n <= limit else (df.limit(0), df, limit)
+        return (df, None, least) if n <= least else (df.limit(0), df, least)
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
     total, largest = sizes.agg(F.sum("__n"), F.max("__n")).first()
-    limit = max(rows_per_task(spark), (total or 0) // MAX_HOT_GROUPS)
+    limit = max(least, (total or 0) // MAX_HOT_GROUPS)
     if (largest or 0) <= limit:
         return df, None, limit
     # at most MAX_HOT_GROUPS rows: each stands for more than total / MAX_HOT_GROUPS rows
@@ -188,9 +194,12 @@ def add_ranks(
     return ranked.select(*df.columns, F.when(v.isNotNull(), rank).alias(out), *extra_cols)
 
 
-def average_ranks(df: DataFrame, group: Sequence[str], outs: dict[str, str]) -> DataFrame:
-    """Average ranks of several complete columns: one split, one exchange for all of them."""
-    cold, hot, limit = split_hot(df, group)
+def average_ranks(df: DataFrame, group: Sequence[str], outs: dict[str, str], *, small: bool = False) -> DataFrame:
+    """Average ranks of several complete columns: one split, one exchange for all of them.
+
+    ``small`` says that the caller has already bounded the group size.
+    """
+    cold, hot, limit = (df, None, 0) if small else split_hot(df, group)
     base = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
 
     def rank(v):
@@ -305,7 +314,8 @@ def quantile_table(df: DataFrame, group: Sequence[str], cols: Sequence[str], pro
     """
     group, cols, probs = list(group), list(cols), [float(p) for p in probs]
     data = df.select(*group, *[F.col(c).cast("double").alias(c) for c in cols])
-    cold, hot, _ = split_hot(data, group)
+    # the percentile state holds every distinct value of a group, for each column
+    cold, hot, _ = split_hot(data, group, len(cols) if len(cols) <= WIDE_QUANTILE_COLUMNS else 1)
     if hot is None:
         return _percentiles(cold, group, cols, probs)
     long = _melt(hot, group, cols)
@@ -379,8 +389,9 @@ def _bracket_pick(long, keys, probs, spread):
 
     picked = inside.groupBy(*keys, "__p").agg(
         at_index(lo_i).alias("__x"), at_index(hi_i).alias("__y"), F.first("__at").alias("__at"))
-    frac = F.col("__at") - F.floor("__at")
-    value = F.col("__x") + (F.col("__y") - F.col("__x")) * frac
+    lo_w, hi_w = F.floor("__at") + 1 - F.col("__at"), F.col("__at") - F.floor("__at")
+    # the weighted form of Spark's percentile; a whole position takes the value itself
+    value = F.when(hi_w == 0, F.col("__x")).otherwise(F.col("__x") * lo_w + F.col("__y") * hi_w)
     return picked.groupBy(*keys).agg(
         F.array(*[F.max(F.when(F.col("__p") == i, value)) for i in range(len(probs))]).alias("__q"))
 

@@ -13,6 +13,7 @@ from panelyard.operators.joins import merge_parts, validate_long
 from panelyard.operators.label import forward_return, postprocess_label
 from panelyard.operators.reshape import basic_fix, wide_to_long
 from panelyard.plans.skew import attach
+from panelyard.plans.stage import stage
 from panelyard.schema import DATE, LABEL, RAW_SUFFIX, STOCK, filter_by_mask, infer_features, rename_label
 
 
@@ -56,13 +57,24 @@ def scan_long(spark: SparkSession, path: str, columns: Sequence[str] | None = No
 
 def _finish(df: DataFrame, fields: Sequence[str], label: str | None, price: str | None, log_return: bool,
             post: dict | None, date: str, stock: str, validate: bool) -> DataFrame:
-    """Label, post-process, project to (date, stock, label, raw label, fields) and validate."""
+    """Label, post-process, project to (date, stock, label, raw label, fields) and validate.
+
+    Building and ranking the label needs windows over stocks and dates. They run
+    on a narrow (date, stock, price or label) table that joins the features once
+    by key, so the feature columns are shuffled once however many steps there are.
+    """
     if validate:
         validate_long(df, keys=[date, stock])
-    if label and label not in df.columns and price:
-        df = forward_return(df, price, label=label, log=log_return, date=date, stock=stock)
-    if label and post is not None:
-        df = postprocess_label(df, label=label, date=date, **post)
+    build = bool(label and label not in df.columns and price)
+    if label and (build or (post is not None and label in df.columns)):
+        narrow = df.select(date, stock, price if build else label)
+        if build:
+            narrow = forward_return(narrow, price, label=label, log=log_return, date=date, stock=stock).select(
+                date, stock, label)
+        if post is not None:
+            narrow = postprocess_label(stage(narrow, "label"), label=label, date=date, **post)
+        wide = df.select(date, stock, *[c for c in fields if c not in (label, label + RAW_SUFFIX)])
+        df = merge_parts([narrow, wide], how="inner", keys=[date, stock])
     lead = [c for c in (label, (label or "") + RAW_SUFFIX) if c and c in df.columns]
     return df.select(date, stock, *lead, *[c for c in fields if c not in lead])
 
