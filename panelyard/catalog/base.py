@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from panelyard.operators.folds import date_index
 from panelyard.operators.label import forward_return
+from panelyard.plans.skew import attach
 from panelyard.plans.stage import stage, stage_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,23 +93,28 @@ def labelled(spark, sf, unit="month"):
     return forward_return(panel(spark, sf, unit), "px")
 
 
+def saved_labels(spark, sf):
+    """The labelled panel written once: operators that take several passes start from a saved panel."""
+    return stage(labelled(spark, sf), "labels")
+
+
 def with_gaps(spark, sf):
     """Monthly panel whose factors are missing for thinly traded cells."""
     p = labelled(spark, sf)
-    return p.withColumns({"f_disc": F.when(F.col("n") >= 3, F.col("f_disc")),
-                          "f_tax": F.when(F.col("n") >= 2, F.col("f_tax"))})
+    return stage(p.withColumns({"f_disc": F.when(F.col("n") >= 3, F.col("f_disc")),
+                                "f_tax": F.when(F.col("n") >= 2, F.col("f_tax"))}), "gaps")
 
 
 def predictions(spark, sf):
     """Prediction table from the monthly panel: 60 % train, 20 % test, rest future, folds of ten dates."""
-    rows = labelled(spark, sf).where("y is not null")
+    rows = saved_labels(spark, sf).where("y is not null")
     index = date_index(rows)
     n = index.count()
     parts = index.select(
         "date", (F.col("idx") / 10).cast("long").alias("fold"),
         F.when(F.col("idx") * 10 < n * 6, "train").when(F.col("idx") * 10 < n * 8, "test")
         .otherwise("future").alias("part"))
-    return rows.join(parts, "date").select("date", "stockid", F.col("y").alias("y_true"),
+    return attach(rows, parts, ["date"], "inner").select("date", "stockid", F.col("y").alias("y_true"),
                                            F.col("f_qty").alias("y_pred"), "part", "fold")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelyard.catalog.base import (
     CLS, GAPS, LAB, PANEL_E, PANEL_M, PANEL_W, PRED, class_predictions, labelled, panel_e, panel_m, panel_w, predictions,
-    query, r6, rounded, rr, sql, table, with_gaps,
+    query, r6, rounded, rr, saved_labels, sql, table, with_gaps,
 )
 from panelyard.functions import losses as E
 from panelyard.operators import cross_section as X
@@ -76,7 +76,7 @@ ZL = """z AS (SELECT date, stockid, (y - avg(y) OVER d) / (coalesce(stddev_pop(y
 
 @query("l3_zscore_label", sql(PANEL_M, LAB, ZL, body=f"SELECT date, stockid, {rr('y')} FROM z"))
 def l3(spark, sf):
-    return rounded(L.zscore_label(labelled(spark, sf).select("date", "stockid", "y")), "y")
+    return rounded(L.zscore_label(saved_labels(spark, sf).select("date", "stockid", "y")), "y")
 
 
 @query("l4_clip_label", sql(PANEL_M, LAB, body=f"""SELECT date, stockid,
@@ -91,7 +91,7 @@ WL = """q AS (SELECT date, quantile_cont(y, 0.05) AS lo, quantile_cont(y, 0.95)
 @query("l5_winsorize_label", sql(PANEL_M, LAB, WL, body="""SELECT date, stockid,
 CASE WHEN y IS NOT NULL THEN round(greatest(least(y, hi), lo), 6) + 0.0 END AS y FROM lab JOIN q USING (date)"""))
 def l5(spark, sf):
-    return rounded(L.winsorize_label(labelled(spark, sf).select("date", "stockid", "y")), "y")
+    return rounded(L.winsorize_label(saved_labels(spark, sf).select("date", "stockid", "y")), "y")
 
 
 @query("l6_label_chain", sql(PANEL_M, LAB, """rk AS (SELECT date, stockid, y AS y_raw, CASE WHEN y IS NOT NULL THEN
@@ -104,7 +104,7 @@ def l5(spark, sf):
     body=f"""SELECT date, stockid, {rr('y_raw')},
 CASE WHEN y IS NOT NULL THEN round(greatest(least(y, hi), lo), 6) + 0.0 END AS y FROM c JOIN q USING (date)"""))
 def l6(spark, sf):
-    out = L.postprocess_label(labelled(spark, sf).select("date", "stockid", "y"), keep_raw=True,
+    out = L.postprocess_label(saved_labels(spark, sf).select("date", "stockid", "y"), keep_raw=True,
                               rank={"centered": True}, zscore={}, clip=1.5, winsorize={"lower": 0.1, "upper": 0.9})
     return rounded(out, "y", "y_raw")
 
@@ -508,14 +508,14 @@ TAIL_D = "q AS (SELECT date, quantile_cont(y, 0.2) AS lo, quantile_cont(y, 0.8)
 @query("w14_tail_by_date", sql(PANEL_M, LAB, TAIL_D, body="""SELECT date, stockid,
 CASE WHEN y <= lo OR y >= hi THEN 3e0 ELSE 1e0 END AS w_tail FROM lab JOIN q USING (date)"""))
 def w14_date(spark, sf):
-    out = S.tail_weight(labelled(spark, sf), lower=0.2, upper=0.8, tail=3.0, scope="date")
+    out = S.tail_weight(saved_labels(spark, sf), lower=0.2, upper=0.8, tail=3.0, scope="date")
     return out.select("date", "stockid", "w_tail")
 
 
 @query("w14_tail_global", sql(PANEL_M, LAB, "q AS (SELECT quantile_cont(y, 0.9) AS hi FROM lab)", body="""SELECT date, stockid,
 CASE WHEN y >= hi THEN 2e0 ELSE 1e0 END AS w_tail FROM lab, q"""))
 def w14_global(spark, sf):
-    return S.tail_weight(labelled(spark, sf), side="upper").select("date", "stockid", "w_tail")
+    return S.tail_weight(saved_labels(spark, sf), side="upper").select("date", "stockid", "w_tail")
 
 
 @query("w15_sample_weights", sql(PANEL_M, LAB, TAIL_D, """r AS (SELECT date, stockid, CASE WHEN y IS NULL THEN 1e0 ELSE
@@ -523,7 +523,7 @@ def w14_global(spark, sf):
  * CASE WHEN y <= lo OR y >= hi THEN 2e0 ELSE 1e0 END END AS w FROM lab JOIN q USING (date))""",
     body=f"SELECT date, stockid, {rr('greatest(least(w / (SELECT avg(w) FROM r), 4), 0.2)', 'weight')} FROM r"))
 def w15(spark, sf):
-    out = S.sample_weights(labelled(spark, sf), recency={"half_life": 200.0},
+    out = S.sample_weights(saved_labels(spark, sf), recency={"half_life": 200.0},
                            tail={"lower": 0.2, "upper": 0.8, "scope": "date"}, clip_min=0.2, clip_max=4.0)
     return rounded(out.select("date", "stockid", "weight"), "weight")
 
@@ -531,13 +531,13 @@ def w15(spark, sf):
 @query("w16_pseudo_class", sql(PANEL_M, LAB, "q AS (SELECT date, quantile_cont(y, 0.3) AS lo, quantile_cont(y, 0.7) AS hi FROM lab GROUP BY date)",
     body="""SELECT date, stockid, CASE WHEN y >= hi THEN 1e0 ELSE -1e0 END AS y FROM lab JOIN q USING (date) WHERE y >= hi OR y <= lo"""))
 def w16(spark, sf):
-    return S.pseudo_class(labelled(spark, sf)).select("date", "stockid", "y")
+    return S.pseudo_class(saved_labels(spark, sf)).select("date", "stockid", "y")
 
 
 @query("w16_pseudo_class_global", sql(PANEL_M, LAB, "q AS (SELECT quantile_cont(y, 0.25) AS lo, quantile_cont(y, 0.75) AS hi FROM lab)",
     body="""SELECT date, stockid, CASE WHEN y >= hi THEN 1e0 ELSE 0e0 END AS y FROM lab, q WHERE y >= hi OR y <= lo"""))
 def w16_global(spark, sf):
-    out = S.pseudo_class(labelled(spark, sf), lower=0.25, upper=0.75, low_label=0.0, scope="global")
+    out = S.pseudo_class(saved_labels(spark, sf), lower=0.25, upper=0.75, low_label=0.0, scope="global")
     return out.select("date", "stockid", "y")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelyard.catalog.base import LAB, PANEL_M, ic_sql, labelled, query, rounded, rr, saved, sql, staged
+from panelyard.catalog.base import LAB, PANEL_M, ic_sql, labelled, query, rounded, rr, saved_labels, saved, sql, staged
 from panelyard.operators import folds as D
 from panelyard.operators import select as G
 from panelyard.plans.stage import stage_path
@@ -21,7 +21,7 @@ wn AS (SELECT (t - 30) // 8 AS window_id, a.date AS train_end, b.date AS future_
 
 
 def history(spark, sf):
-    return staged(G.factor_daily_rankic(staged(labelled(spark, sf)), FACTORS))
+    return staged(G.factor_daily_rankic(saved_labels(spark, sf), FACTORS))
 
 
 def windows(spark, sf):
@@ -32,7 +32,7 @@ def windows(spark, sf):
 @query("g8_factor_history", sql(*HIST, """dx AS (SELECT date, lead(date, 2) OVER (ORDER BY date) AS available_from
  FROM (SELECT DISTINCT date FROM panel))""", body=f"SELECT date, factor, {rr('rankic')}, available_from FROM h JOIN dx USING (date)"))
 def g8(spark, sf):
-    return rounded(G.factor_daily_rankic(staged(labelled(spark, sf)), FACTORS), "rankic")
+    return rounded(G.factor_daily_rankic(saved_labels(spark, sf), FACTORS), "rankic")
 
 
 @query("s9_ic_history", sql(*HIST, body=f"SELECT date, factor, {rr('rankic')} FROM h"))

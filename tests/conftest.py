@@ -18,8 +18,8 @@ def spark():
 
 @pytest.fixture
 def tiny_tasks(spark):
-    """Force every hot-group path: any group above 40 rows is 'hot', nothing is broadcast as small."""
-    spark.conf.set("spark.panelyard.rowsPerTask", "40")
+    """Force every hot-group path: any group above 150 rows is 'hot', nothing is broadcast as small."""
+    spark.conf.set("spark.panelyard.rowsPerTask", "150")
     spark.conf.set("spark.panelyard.broadcastBytes", "1")
     yield spark
     spark.conf.unset("spark.panelyard.rowsPerTask")
@@ -29,7 +29,7 @@ def tiny_tasks(spark):
 @pytest.fixture(params=["plain", "hot"])
 def both_paths(request, spark):
     if request.param == "hot":
-        spark.conf.set("spark.panelyard.rowsPerTask", "40")
+        spark.conf.set("spark.panelyard.rowsPerTask", "150")
         spark.conf.set("spark.panelyard.broadcastBytes", "1")
     yield spark
     if request.param == "hot":
