@@ -30,9 +30,11 @@ def _corr(df: DataFrame, keys: Sequence[str], method: str, small: bool = False)
     if method == "spearman":
         df = average_ranks(df, keys, {"__y": "__ry", "__p": "__rp"}, small=small)
         x, z = "__ry", "__rp"
-    # a constant side has no correlation
+    # a constant side has no correlation; corr() itself would raise on it in ANSI mode
     defined = (F.min(x) < F.max(x)) & (F.min(z) < F.max(z))
-    return df.groupBy(*keys).agg(F.when(defined, F.corr(x, z)).alias("ic"), F.count(F.lit(1)).alias("n"))
+    spread = F.nullif(F.stddev_pop(x) * F.stddev_pop(z), F.lit(0.0))
+    ic = F.when(defined, F.covar_pop(x, z) / spread)
+    return df.groupBy(*keys).agg(ic.alias("ic"), F.count(F.lit(1)).alias("n"))
 
 
 def daily_ic(df: DataFrame, *, method: str = "spearman", keys: Sequence[str] = (DATE,), y: str = "y_true",
