@@ -28,11 +28,14 @@ def factor_daily_rankic(panel: DataFrame, factors: Sequence[str], *, label: str
     The long form groups by (date, factor), so hundreds of factors spread over
     dates x factors groups instead of one window per column.
     """
-    long = panel.select(date, label, *[F.col(f).cast("double").alias(f) for f in factors]).unpivot(
-        [date, label], list(factors), "factor", "value")
+    # the factor travels as its number: narrow fixed-width rows through the shuffle
+    cells = F.array(*[F.col(f).cast("double") for f in factors])
+    long = panel.select(date, label, F.posexplode(cells).alias("__f", "value"))
     # a (date, factor) group is no larger than its date, which is cheaper to count
     small = largest_group(panel, [date]) <= rows_per_task(panel.sparkSession)
-    ic = daily_ic(long, keys=[date, "factor"], y=label, p="value", small=small)
+    ic = daily_ic(long, keys=[date, "__f"], y=label, p="value", small=small)
+    names = F.array(*[F.lit(f) for f in factors])
+    ic = ic.withColumn("factor", F.element_at(names, F.col("__f") + 1))
     index = date_index(panel, date=date)
     later = index.select((F.col("idx") - VISIBILITY_ROWS).alias("idx"), F.col(date).alias("available_from"))
     known = index.join(later, "idx", "left").select(date, "available_from")

@@ -105,7 +105,9 @@ def split_hot(df: DataFrame, group: Sequence[str], width: int = 1) -> tuple[Data
     least = max(1, rows_per_task(spark) // width)
     if not group:
         n = df.count()
-        return (df, None, least) if n <= least else (df.limit(0), df, least)
+        if n <= least:
+            return df, None, least
+        return df.limit(0), stage(df, "hot"), max(least, n // MAX_HOT_GROUPS)
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
     total, largest = sizes.agg(F.sum("__n"), F.max("__n")).first()
     limit = max(least, (total or 0) // MAX_HOT_GROUPS)
@@ -113,7 +115,9 @@ def split_hot(df: DataFrame, group: Sequence[str], width: int = 1) -> tuple[Data
         return df, None, limit
     # at most MAX_HOT_GROUPS rows: each stands for more than total / MAX_HOT_GROUPS rows
     hot = F.broadcast(stage(sizes.where(F.col("__n") > limit).select(*group), "hot"))
-    return df.join(hot, list(group), "left_anti"), df.join(hot, list(group), "left_semi"), limit
+    # hot rows are read in several passes: written once, in as many files as they need
+    rows = stage(df.join(hot, list(group), "left_semi"), "hot")
+    return df.join(hot, list(group), "left_anti"), rows, limit
 
 
 def in_order(df: DataFrame, group: Sequence[str], order: Sequence[Column], limit: int) -> DataFrame:
@@ -238,43 +242,21 @@ def _rank_by_window(df, group, value, method, tie_break):
 
 
 def _rank_by_range(df, group, value, method, tie_break, limit):
+    """Ranks of hot groups. ``first`` sorts by a unique key; the others rank the
+    distinct values, so that equal values, however many, are one row until the end."""
     v = F.col(value)
-    valid = in_order(df.where(v.isNotNull()), group, [v, *[F.col(c) for c in tie_break]], limit)
+    valid = df.where(v.isNotNull())
     if method == "first":
-        ranked = valid.withColumn("__rank", F.col("__pos").cast("double"))
-    elif method == "dense":
-        ranked = _dense_by_range(valid, group, value)
+        ranked = in_order(valid, group, [v, *[F.col(c) for c in tie_break]], limit)
+        ranked = ranked.select(*df.columns, F.col("__pos").cast("double").alias("__rank"))
     else:
-        # ties inside one range partition are bounded by that partition; a value
-        # that crosses partitions is the first or last of each, so there are at
-        # most as many such values as partitions
-        run = Window.partitionBy("__pid", *group, value)
-        edges = valid.groupBy("__pid", *group).agg(
-            F.array_distinct(F.array(F.min(v), F.max(v))).alias("__edge"))
-        crossing = (
-            edges.select("__pid", *group, F.explode("__edge").alias(value))
-            .groupBy(*group, value).agg(F.count(F.lit(1)).alias("__k")).where("__k > 1").drop("__k")
-        )
-        spans = (
-            valid.join(F.broadcast(crossing), [*group, value], "left_semi")
-            .groupBy(*group, value)
-            .agg(F.min("__pos").alias("__lo_all"), F.max("__pos").alias("__hi_all"))
-        )
-        ranked = (
-            valid.withColumns({"__lo": F.min("__pos").over(run), "__hi": F.max("__pos").over(run)})
-            .join(F.broadcast(spans), [*group, value], "left")
-        )
-        lo, hi = F.coalesce("__lo_all", "__lo"), F.coalesce("__hi_all", "__hi")
-        rank = {"average": (lo + hi) / 2, "min": lo, "max": hi}[method]
-        ranked = ranked.withColumn("__rank", rank.cast("double"))
-    ranked = ranked.select(*df.columns, "__rank")
+        ranked = _rank_by_distinct(valid, group, value, method, limit)
     missing = df.where(v.isNull()).withColumn("__rank", F.lit(None).cast("double"))
-    sizes = df.groupBy(*group).agg(F.count(v).alias("__valid"), F.count(F.lit(1)).alias("__rows"))
     out = ranked.unionByName(missing)
+    sizes = df.groupBy(*group).agg(F.count(v).alias("__valid"), F.count(F.lit(1)).alias("__rows"))
     if method == "dense":
-        sizes = sizes.join(
-            ranked.groupBy(*group).agg(F.max("__rank").cast("long").alias("__distinct")), list(group), "left"
-        ) if group else sizes.withColumn("__distinct", F.lit(ranked.agg(F.max("__rank")).first()[0]).cast("long"))
+        top = ranked.groupBy(*group).agg(F.max("__rank").cast("long").alias("__distinct"))
+        sizes = sizes.join(top, list(group), "left") if group else attach_one_row(sizes, top.first().asDict())
     else:
         sizes = sizes.withColumn("__distinct", F.lit(None).cast("long"))
     if group:
@@ -282,24 +264,21 @@ def _rank_by_range(df, group, value, method, tie_break, limit):
     return attach_one_row(out, sizes.first().asDict())
 
 
-def _dense_by_range(valid, group, value):
-    local = Window.partitionBy("__pid", *group).orderBy(value)
-    rows = valid.withColumn("__dense", F.dense_rank().over(local))
-    runs = rows.groupBy("__pid", *group).agg(
-        F.max("__dense").alias("__d"), F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    by_pid = Window.partitionBy(*group).orderBy("__pid")
-    earlier = by_pid.rowsBetween(Window.unboundedPreceding, -1)
-    shared = F.when(F.lag("__hi").over(by_pid) == F.col("__lo"), 1).otherwise(0)
-    runs = (
-        runs.withColumn("__shared", shared)
-        .withColumn("__shift", F.coalesce(F.sum("__d").over(earlier), F.lit(0))
-                    - F.sum("__shared").over(by_pid.rowsBetween(Window.unboundedPreceding, 0)))
-        .select("__pid", *group, "__shift")
-    )
-    return (
-        rows.join(F.broadcast(runs), ["__pid", *group])
-        .withColumn("__rank", (F.col("__dense") + F.col("__shift")).cast("double"))
-    )
+def _rank_by_distinct(valid, group, value, method, limit):
+    keys = [*group, value]
+    counts = valid.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m"), F.lit(1).alias("__one"))
+    parts = max(2, -(-valid.count() // max(limit, 1)))
+    table = running_totals(counts, group, value, {"__m": "__hi", "__one": "__dense"}, parts=parts)
+    hi, m = F.col("__hi"), F.col("__m")
+    rank = {"average": hi - (m - 1) / 2, "min": hi - m + 1, "max": hi, "dense": F.col("__dense")}[method]
+    table = stage(table.select(*keys, "__m", rank.cast("double").alias("__rank")), "ranks")
+    # a value above the limit stands for more than ``limit`` rows, so such values are
+    # few and their side is broadcast; every other key fits a task of the shuffle join
+    heavy, light = table.where(m > limit).drop("__m"), table.where(m <= limit).drop("__m")
+    if heavy.isEmpty():
+        return valid.join(light, keys)
+    few = F.broadcast(heavy)
+    return valid.join(few, keys).unionByName(valid.join(few, keys, "left_anti").join(light, keys))
 
 
 # --- exact quantiles ----------------------------------------------------------
@@ -407,6 +386,7 @@ def attach_brackets(long, brackets, keys):
 
 def running_totals(
     df: DataFrame, group: Sequence[str], order: str, sums: dict[str, str], *, descending: bool = False,
+    parts: int | None = None,
 ) -> DataFrame:
     """Prefix sums along ``order`` (unique per group) in two levels.
 
@@ -414,7 +394,7 @@ def running_totals(
     shifted by the totals of earlier partitions (one small row per partition).
     """
     key = F.col(order).desc() if descending else F.col(order).asc()
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = stage(
         df.repartitionByRange(parts, *[F.col(c) for c in group], key).withColumn("__pid", F.spark_partition_id()),
         "prefix")

@@ -216,7 +216,8 @@ def write_samples(df: DataFrame, path: str, columns: Sequence[str]) -> None:
 
 def write_folds(assigned: DataFrame, path: str) -> None:
     """One folder per fold and part; later runs read a part by partition pruning."""
-    assigned.write.mode("overwrite").partitionBy("fold", "part").parquet(path)
+    laid = assigned.repartitionByRange("fold", "part", *[c for c in (DATE, STOCK) if c in assigned.columns])
+    laid.write.mode("overwrite").partitionBy("fold", "part").parquet(path)
 
 
 def attach_universe(df: DataFrame, universe: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -113,6 +113,8 @@ def read_factor_predictions(spark: SparkSession, path: str, *, value: str = "y_p
 def write_predictions(df: DataFrame, path: str, *, parts: Sequence[str] | None = None) -> None:
     """Save predictions by part and fold; a rerun replaces only the folders it writes."""
     rows = df if parts is None else df.where(F.col("part").isin(list(parts)))
+    # range partitions: few folders per task, several tasks for a crowded folder
+    rows = rows.repartitionByRange("part", "fold", *[c for c in (DATE, STOCK) if c in df.columns])
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "fold").parquet(path)
 
 
