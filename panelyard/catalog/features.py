@@ -384,7 +384,7 @@ DX = """dx AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx, count(
 
 
 def _fold_sql(spans: str) -> str:
-    return sql(PANEL_M, DX, *spans.split(";;"), body="""SELECT fold, part, a.date AS date_start, b.date AS date_end
+    return sql(PANEL_M, DX, *spans.split(";;"), body="""SELECT CAST(fold AS BIGINT) AS fold, part, a.date AS date_start, b.date AS date_end
 FROM sp JOIN dx a ON a.idx = i0 JOIN dx b ON b.idx = i1""")
 
 

@@ -337,21 +337,26 @@ def class_chart_tables(df: DataFrame, *, threshold: float = 0.5) -> dict[str, Da
             "confusion": confusion_table(scored, threshold=threshold)}
 
 
+# fixed values: names of the walk-forward strategy and of the prediction sources
+REFIT_STRATEGY = "rankic_refit_roll"
+FUTURE_SOURCE, PART_SOURCE, FILE_SOURCE = "future_stitched", "stitched_part", "explicit_parquet"
+
+
 def factor_source(strategy: str, source: str = "auto", *, predictions: DataFrame | None = None,
                   future: DataFrame | None = None, explicit: DataFrame | None = None, part: str = "test",
                   value: str = "y_pred") -> tuple[DataFrame, str]:
     """Which predictions a factor evaluation reads, stitched to one row per key."""
     if source == "auto":
-        source = "future_stitched" if strategy == "rankic_refit_roll" else "stitched_part"
-    table = {"future_stitched": future, "stitched_part": predictions, "explicit_parquet": explicit}
+        source = FUTURE_SOURCE if strategy == REFIT_STRATEGY else PART_SOURCE
+    table = {FUTURE_SOURCE: future, PART_SOURCE: predictions, FILE_SOURCE: explicit}
     if source not in table:
         raise ValueError(f"unknown source {source}")
     df = table[source]
     if df is None:
         raise FileNotFoundError(f"no table given for source {source}")
-    if source == "stitched_part":
+    if source == PART_SOURCE:
         df = df.where(F.col("part") == part)
-        source = f"stitched_part_{part}"
+        source = f"{PART_SOURCE}_{part}"
     return stitch(df).select(DATE, STOCK, value), source
 
 

@@ -24,6 +24,11 @@ def con():
     return c
 
 
+# the type each column must have in both engines
+KINDS = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date", "BOOLEAN": "boolean",
+         "INTEGER": "int"}
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
@@ -33,7 +38,7 @@ def test_query(spark, con, name):
         return
     cur = con.execute(ORACLE[name])
     cols = [d[0] for d in cur.description]
-    assert sorted(df.columns) == sorted(cols)
+    assert dict(df.dtypes) == {c: KINDS[str(t)] for c, t in zip(cols, (d[1] for d in cur.description))}
     assert rows_of(df.columns, rows) == rows_of(cols, cur.fetchall())
 
 
