@@ -122,14 +122,16 @@ def a17(spark, sf):
 
 def _hist_sql(source, value, bins):
     return f"""sp AS (SELECT part, min({value}) AS lo, max({value}) AS hi, count(*) AS n FROM {source} GROUP BY part),
-hb AS (SELECT part, least(CAST(floor(({value} - lo) * {bins} / (hi - lo)) AS BIGINT), {bins - 1}) AS bin, lo, hi, sp.n AS n
+hb AS (SELECT part, least(CAST(floor({bins} * ({value} - lo) / (hi - lo)) AS BIGINT), {bins - 1}) AS bin, lo, hi, sp.n AS n
  FROM {source} JOIN sp USING (part))"""
 
 
-@query("a19_ic_histogram", sql(*BASE, PIC, _hist_sql("pic", "ic", 40), body=f"""SELECT part, bin, {rr('lo + bin*(hi-lo)/40', 'left')},
+# the IC is rounded first, so that a value on a bin edge falls on the same side in both engines
+@query("a19_ic_histogram", sql(*BASE, PIC, "pir AS (SELECT part, round(ic, 9) AS ic FROM pic)", _hist_sql("pir", "ic", 40), body=f"""SELECT part, bin, {rr('lo + bin*(hi-lo)/40', 'left')},
 count(*) AS count, {rr('count(*)/(n*(hi-lo)/40)', 'density', 4)} FROM hb GROUP BY part, bin, lo, hi, n""").replace("AS left", "AS \"left\""))
 def a19(spark, sf):
-    out = V.histogram(V.daily_ic(predictions(spark, sf), keys=["part", "date"]), "ic", 40)
+    ic = rounded(V.daily_ic(predictions(spark, sf), keys=["part", "date"]), "ic", digits=9)
+    out = V.histogram(ic, "ic", 40)
     return rounded(rounded(out, "left"), "density", digits=4)
 
 

@@ -373,7 +373,7 @@ for _fill, _sql in {
     body=f"SELECT date, stockid, {rr('(x - m) / (d + 1e-12) * 0.6745', 'f_qty')} FROM w, m, d"))
 def m4(spark, sf):
     s = CleanSettings(winsorize="global", lower=0.02, upper=0.98, zscore="global", method="robust", scaled=True)
-    _, out = PanelCleaner(s).fit_transform(labelled(spark, sf), ["f_qty"])
+    _, out = PanelCleaner(s).fit_transform(saved_labels(spark, sf), ["f_qty"])
     return rounded(out.select("date", "stockid", "f_qty"), "f_qty")
 
 

@@ -48,8 +48,9 @@ def m6_embeddings(spark, sf):
     from panelyard.catalog.base import table
 
     e = table(spark, sf, "embeddings")
-    wide = M.vector_columns(e.select("vec_id", "embedding"), "embedding", "e", 16)
-    return M.transform_pca(wide, M.fit_pca(wide, [f"e{i}" for i in range(16)], components=4, whiten=True))
+    size = e.agg(F.max(F.size("embedding"))).first()[0]
+    wide = M.vector_columns(e.select("vec_id", "embedding"), "embedding", "e", size)
+    return M.transform_pca(wide, M.fit_pca(wide, [f"e{i}" for i in range(size)], components=4, whiten=True))
 
 
 @query("m7_tree_regression")

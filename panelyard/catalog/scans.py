@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from panelyard.catalog.base import (
-    GAPS, LAB, PANEL_M, PANEL_N, PRED, labelled, panel_m, panel_n, predictions, query, r6, rounded, rr, saved, sql,
+    GAPS, LAB, PANEL_M, PANEL_N, PRED, labelled, panel_m, panel_n, predictions, query, r6, rounded, rr, saved, saved_labels, sql,
     table, with_gaps,
 )
 from panelyard.operators import joins as J
@@ -211,7 +211,7 @@ GLOBAL_STATS = ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in
     f"SELECT '{c}' AS col, 'mu' AS stat, {rr(f'avg({c})', 'value')} FROM f UNION ALL "
     f"SELECT '{c}', 'sd', round(stddev_pop({c}), 6) + 0.0 FROM f" for c in ("f_qty", "f_disc", "f_tax"))))
 def s18(spark, sf):
-    model = PanelCleaner(CleanSettings(zscore="global")).fit(labelled(spark, sf), ["f_qty", "f_disc", "f_tax"])
+    model = PanelCleaner(CleanSettings(zscore="global")).fit(saved_labels(spark, sf), ["f_qty", "f_disc", "f_tax"])
     path = stage_path(spark, "state")
     model.save(spark, path)
     back = PanelCleanerModel.load(spark, path).state_table(spark)

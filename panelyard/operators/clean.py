@@ -76,7 +76,11 @@ class PanelCleaner:
 
     def fit_transform(self, df: DataFrame, features: Sequence[str] | None = None
                       ) -> tuple["PanelCleanerModel", DataFrame]:
-        """Learn on labelled rows; returns the model and the cleaned fit data."""
+        """Learn on labelled rows; returns the model and the cleaned fit data.
+
+        Each statistic is one pass over ``df`` that repeats only projections and
+        broadcasts, so pass a saved panel; it is not copied here.
+        """
         s = self.settings
         s.check()
         validate_long(df, keys=[s.date, s.stock])
@@ -89,7 +93,7 @@ class PanelCleaner:
         rows = R.drop_sparse_rows(rows, base, s.max_row_missing)
         model = PanelCleanerModel(s, base, dropped, {})
         # each global statistic is learnt on the output of the step before it
-        rows = stage(model._project(rows), "clean-fit")
+        rows = model._project(rows)
         model._learn_fill(rows)
         filled = model._fill(rows)
         if s.active_fill.startswith("ffill") and (s.winsorize or s.zscore):
