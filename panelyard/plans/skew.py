@@ -48,7 +48,9 @@ def measured_bytes(df: DataFrame) -> int:
             counted.append(F.sum(F.octet_length(f.name)))
             fixed += 16
         elif isinstance(f.dataType, T.ArrayType):
-            counted.append(F.sum(F.greatest(F.size(f.name), F.lit(0)) * 16))
+            inner = f.dataType.elementType
+            width = 8 * (len(inner.fields) + 3) if isinstance(inner, T.StructType) else 16
+            counted.append(F.sum(F.greatest(F.size(f.name), F.lit(0)) * width))
             fixed += 16
         else:
             fixed += 8

@@ -221,6 +221,23 @@ def test_clean_policies(spark, tmp_path):
     assert strict.transform(p, validate=True).where("f1 is null").count() == 0
 
 
+def test_wide_panels_agree_with_narrow_ones(spark, monkeypatch):
+    """The array form used above WIDE_COLUMNS gives the same cells in the same columns."""
+    p = random_panel(spark).withColumn("f3", F.when(F.col("date") > F.lit(day(3)), F.col("f2") * 2))
+    cols = ["f2", "f1", "f3"]
+    for run in (lambda: X.zscore_by_date(p, cols, ddof=1, clip=1.5),
+                lambda: X.winsorize_by_date(p, cols, lower=0.1, upper=0.8),
+                lambda: X.robust_zscore_by_date(p, cols, scaled=True, clip=4.0)):
+        monkeypatch.setattr(X, "WIDE_COLUMNS", 32)
+        narrow = run()
+        monkeypatch.setattr(X, "WIDE_COLUMNS", 1)
+        wide = run()
+        assert narrow.columns == wide.columns == p.columns
+        a, b = (d.toPandas().sort_values(["stockid", "date"]) for d in (narrow, wide))
+        for c in cols:
+            np.testing.assert_allclose(a[c].astype(float), b[c].astype(float), atol=1e-12)
+
+
 def test_zero_mad_and_constant_factor(spark):
     df = frame(spark, [(day(0), i, 1.0, 5.0 if i == 0 else 1.0) for i in range(5)],
                "date date, stockid long, c double, m double")
