@@ -309,8 +309,10 @@ def _melt(df, group, cols):
 
 
 def _to_wide(long, group, cols):
-    aggs = [F.max(F.when(F.col("__col") == c, F.col("__q"))).alias(c) for c in cols]
-    return long.groupBy(*group).agg(*aggs)
+    """One row per group from rows (group, column, quantiles); the map holds one entry per column."""
+    packed = F.map_from_entries(F.collect_list(F.struct("__col", "__q"))).alias("__map")
+    return long.groupBy(*group).agg(packed).select(
+        *group, *[F.try_element_at("__map", F.lit(c)).alias(c) for c in cols])
 
 
 def _percentiles(df, group, cols, probs):
