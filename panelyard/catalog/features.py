@@ -120,30 +120,31 @@ def w17(spark, sf):
 # --- rolling, fill, sequences --------------------------------------------------
 
 
+# ten digits: means of short decimals often end in an exact 5 at the seventh
 def _roll_sql(stat, fn, w, mp):
     frame = f"OVER (PARTITION BY stockid ORDER BY date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
-    return f"round(CASE WHEN count(f_disc) {frame} >= {mp} THEN {fn}(f_disc) {frame} END, 6) + 0.0 AS f_disc__roll_{stat}_{w}"
+    return f"round(CASE WHEN count(f_disc) {frame} >= {mp} THEN {fn}(f_disc) {frame} END, 10) + 0.0 AS f_disc__roll_{stat}_{w}"
 
 
 @query("w1_rolling_mean", sql(PANEL_M, LAB, GAPS, body=f"""SELECT date, stockid, {_roll_sql('mean', 'avg', 5, 3)} FROM gaps"""))
 def w1(spark, sf):
     out = W.rolling_stats(with_gaps(spark, sf).select("date", "stockid", "f_disc"), ["f_disc"], [5],
                           stats=["mean"], min_periods=3)
-    return rounded(out.drop("f_disc"), "f_disc__roll_mean_5")
+    return rounded(out.drop("f_disc"), "f_disc__roll_mean_5", digits=10)
 
 
 @query("w2_rolling_std", sql(PANEL_M, LAB, GAPS, body=f"SELECT date, stockid, {_roll_sql('std', 'stddev_samp', 5, 3)} FROM gaps"))
 def w2(spark, sf):
     out = W.rolling_stats(with_gaps(spark, sf).select("date", "stockid", "f_disc"), ["f_disc"], [5],
                           stats=["std"], min_periods=3, ddof=1)
-    return rounded(out.drop("f_disc"), "f_disc__roll_std_5")
+    return rounded(out.drop("f_disc"), "f_disc__roll_std_5", digits=10)
 
 
 @query("w3_feature_stage", sql(PANEL_W, body="SELECT date, stockid, " + ", ".join(
     _roll_sql(s, f, w, w) for w in (5, 10, 20) for s, f in (("mean", "avg"), ("std", "stddev_pop"))) + " FROM panel"))
 def w3(spark, sf):
     out = W.feature_stage(panel_w(spark, sf).select("date", "stockid", "f_disc"), features=["f_disc"])
-    return rounded(out.drop("f_disc"), *[c for c in out.columns if "__roll_" in c])
+    return rounded(out.drop("f_disc"), *[c for c in out.columns if "__roll_" in c], digits=10)
 
 
 @query("w4_average_rank", sql(PANEL_M, body="""SELECT date, stockid,
