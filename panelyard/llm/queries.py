@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelyard.llm import neardup, packing, quality, rules, sharding, toxicity
+from panelyard.llm import lm, neardup, packing, quality, rules, sharding, topk, toxicity
 from panelyard.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,14 @@ def op8_adaptive_rules(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_interleave(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf, "documents"), shards=24)
+
+
+@query
+def op2_segment_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+@query
+def op9_partial_matching(spark: SparkSession, sf: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf, "documents"))
