@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ ORDER = 5
 END = 10  # a line end, which no word can hold, ends a text and pads its start
 END_WORD = 0x5BD1E995A7F3C1D5 - (1 << 63)
 SHARD_ROWS = 3_000_000
+SHARD_WORDS = 4_000_000
 WINDOW_BYTES = 1 << 21
 
 
@@ -206,7 +208,7 @@ def log_probability(trie: Trie, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def score_documents(docs: DataFrame, learn=None, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def score_documents(docs: DataFrame, learn=None, shard_rows: int = SHARD_ROWS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text).
 
     ``score`` is the log10 probability of the normal text (lower-case words,
@@ -216,7 +218,8 @@ def score_documents(docs: DataFrame, learn=None, shard_rows: int = SHARD_ROWS) -
     7 is 2; a null id is learned from. The counts of all other texts are gathered
     by grouped sums.
 
-    Models are used in parts of at most ``shard_rows`` grams or words, broadcast
+    Models are used in parts of at most ``shard_rows`` grams (more only if one
+    byte alone has more) or ``shard_words`` words, 16 bytes each, broadcast
     one after the other: a gram belongs to the part of the last byte of its
     context, so each position is scored in one part, and sums over parts give
     the same result however many there are. Null texts are empty: one end. A
@@ -244,7 +247,7 @@ def score_documents(docs: DataFrame, learn=None, shard_rows: int = SHARD_ROWS) -
                 first, held = r["b"], 0
             held += r["n"]
         plan.append((0, first, 256))
-    word_parts = max(1, -(-word_rows // shard_rows))
+    word_parts = max(1, -(-word_rows // shard_words))
     plan += [(1, k, word_parts) for k in range(word_parts)]
 
     rows = docs.select(F.col("doc_id"), "text", held_out.alias("held_out"))
@@ -276,17 +279,25 @@ def score_documents(docs: DataFrame, learn=None, shard_rows: int = SHARD_ROWS) -
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+BUILT: dict[str, tuple] = {}
+
+
 def _scored(rows: DataFrame, shared, low, total: int, kinds: int, keyed: bool) -> DataFrame:
     """Sums over the positions and words that the broadcast parts hold."""
+    name = uuid.uuid4().hex
     names = ["doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base_score", "score"] + ["row"] * keyed
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        trie = None
-        if 0 in models:
-            key, n, first, stop = models[0]
-            trie = build(key, n, low)
-            memo_key, memo = key, log_probability(trie, key)
+        if name not in BUILT:  # once per worker: its later tasks find it
+            BUILT.clear()
+            models, trie, memo = shared.value, None, None
+            if 0 in models:
+                trie = build(models[0][0], models[0][1], low)
+                memo = log_probability(trie, models[0][0])
+            BUILT[name] = models, trie, memo
+        models, trie, memo = BUILT[name]
+        if trie is not None:
+            memo_key, _, first, stop = models[0]
         smooth = np.log10(float(total + kinds + 1))
         for batch in batches:
             sums = np.zeros((5, batch.num_rows))

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelyard.llm import lm, neardup, packing, quality, rules, sharding, topk, toxicity
+from panelyard.llm import licenses, lm, neardup, packing, pieces, quality, rules, sharding, topk, toxicity
 from panelyard.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +59,21 @@ def op2_segment_top_k(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op9_partial_matching(spark: SparkSession, sf: str) -> DataFrame:
     return lm.score_documents(table(spark, sf, "documents"))
+
+
+@query
+def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths of documents: their source, language and a folder of a hundred ids, to three depths by id."""
+    docs = table(spark, sf, "documents")
+    name, folder = F.col("doc_id").cast("string"), F.floor(F.col("doc_id") / 100).cast("string")
+    depth = F.pmod(F.col("doc_id"), F.lit(4))
+    path = (F.when(depth == 0, F.concat_ws("/", "source", name)).when(depth == 1, F.concat_ws("/", "source", "lang", name))
+            .otherwise(F.concat_ws("/", "source", "lang", folder, name)))
+    return licenses.scan(docs, path)
+
+
+@query
+def op5_sampled_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    rows = pieces.encode(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.crc32(F.array_join("ids", ",").cast("binary"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), digest.alias("ids_crc32"), "lossless")
