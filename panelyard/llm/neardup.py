@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,8 +81,13 @@ def band_keys(found: np.ndarray, settings: Settings) -> np.ndarray:
     return keys.astype(np.int64)
 
 
-def may_link(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, settings: Settings) -> bool:
-    """Whether sizes and the estimated similarity leave room for a link.
+def signature(found: np.ndarray, settings: Settings) -> np.ndarray:
+    """A short sketch: one byte of every third register."""
+    return ((found[::3] * np.uint32(0x85EBCA6B)) >> np.uint32(24)).astype(np.uint8)
+
+
+def may_link(a: np.ndarray, b: np.ndarray, n_a, n_b, settings: Settings, stray: float | None = None) -> np.ndarray:
+    """Whether sizes and the estimated similarity of sketches leave room for a link; one pair or rows of pairs.
 
     Equal registers of different minima are taken off: with ``mantissa`` bits
     two unequal minima agree in about one of 2**mantissa registers. The estimate
@@ -91,11 +95,11 @@ def may_link(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, settings: Setting
     their elements rather than registers, so it never decides a close case.
     """
     goal = settings.percent / 100
-    if min(n_a, n_b) < goal * max(n_a, n_b):
-        return False
-    stray = 1 / (1 << settings.mantissa)
-    estimate = ((a == b).mean() - stray) / (1 - stray)
-    return bool(estimate >= goal - settings.margin * np.sqrt(goal * (1 - goal) / min(settings.registers, n_a, n_b)))
+    least, most = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
+    stray = 1 / (1 << settings.mantissa) if stray is None else stray
+    estimate = ((a == b).mean(axis=-1) - stray) / (1 - stray)
+    slack = settings.margin * np.sqrt(goal * (1 - goal) / np.minimum(a.shape[-1], least))
+    return (least >= goal * most) & (estimate >= goal - slack)
 
 
 def linked(a: np.ndarray, b: np.ndarray, settings: Settings) -> bool:
@@ -105,23 +109,26 @@ def linked(a: np.ndarray, b: np.ndarray, settings: Settings) -> bool:
 
 
 def _sketches(docs: DataFrame, settings: Settings) -> DataFrame:
-    """doc_id, n, digest of the set (d1, d2) and band keys of every row."""
+    """doc_id, n, digest of the set (d1, d2), band keys and short sketch of every row."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, d1, d2, bands = [], [], [], []
+            n, d1, d2, bands, signs = [], [], [], [], []
             for text in byte_rows(batch.column(1)):
                 h = shingles(text, settings.words)
                 n.append(len(h))
                 d1.append(int(h.sum(dtype=np.uint64).astype(np.int64)))
                 d2.append(int(mix64(h ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
-                bands.append(band_keys(registers(h, settings), settings).tobytes() if len(h) else b"")
+                found = registers(h, settings) if len(h) else None
+                bands.append(b"" if found is None else band_keys(found, settings).tobytes())
+                signs.append(b"" if found is None else signature(found, settings).tobytes())
             flat = np.frombuffer(b"".join(bands), np.int64)
             ends = np.cumsum([0, *(len(b) // 8 for b in bands)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["doc_id", "n", "d1", "d2", "bands"])
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(signs, pa.binary())],
+                ["doc_id", "n", "d1", "d2", "bands", "sign"])
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n long, d1 long, d2 long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n long, d1 long, d2 long, bands array<long>, sign binary")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, settings: Settings) -> DataFrame:
@@ -155,51 +162,99 @@ def _check(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (key, id, component) of buckets that hold more than one component, equal buckets once."""
-    rows = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+def _mixed(members: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+    """Rows (key, id, n, component, size) of buckets that hold more than one component, equal buckets once.
+
+    A link needs sizes within a factor of 4 / 3, so a bucket is split by size
+    class; each row is in its own class and the next, and two rows that could
+    link meet in one of them.
+    """
+    step = float(np.log(100 / settings.percent))
+    size_class = F.floor(F.log(F.col("n").cast("double")) / step)
+    rows = attach(members, labels, ["id"]).withColumn("component", F.coalesce("component", "id"))
+    rows = rows.withColumn("class", F.explode(F.array(size_class, size_class + 1)))
+    rows = rows.withColumn("key", F.xxhash64("key", "class")).select("key", "id", "n", "component")
     state = rows.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"),
         F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).where("low <> high")
     once = state.groupBy("size", "who").agg(F.min("key").alias("key"))
-    return rows.join(once, "key")
-
-
-def _rest(members: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """Links between components inside mixed buckets, found block by block.
-
-    A bucket is cut into blocks of ``settings.block`` members, and every two
-    blocks meet in one group, so a group never holds more than two blocks of
-    sets. Inside it, only members of components that are still apart are
-    compared, and only a link that joins two of them is given out: fewer links
-    than members, though no linked pair stays apart.
+    return rows.join(once.select("key", "size"), "key")
+
+
+def _in_blocks(mixed: DataFrame, settings: Settings) -> DataFrame:
+    """Cut each bucket into blocks of ``settings.block`` rows; ``key`` now names a pair of blocks, so groups are bounded."""
+    blocks = F.ceil(F.col("size") / settings.block)
+    rows = mixed.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), blocks))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    name = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    return rows.withColumn("key", name).select("key", "id", "n", "component")
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Regroup batches that are sorted by their first column so that no value of it is cut."""
+    kept = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
+        key = rows[0].to_numpy()
+        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        if cut:
+            yield rows.slice(0, cut)
+        kept = rows.slice(cut)
+    if kept is not None and len(kept):
+        yield kept
+
+
+def _near(mixed: DataFrame, signs: DataFrame, settings: Settings) -> DataFrame:
+    """Rows of groups for which the short sketch leaves room for a link to another component: at most one each."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches):
+            key, n, component = (rows[c].to_numpy() for c in ("key", "n", "component"))
+            sign = np.frombuffer(b"".join(rows["sign"].to_pylist()), np.uint8).reshape(len(key), -1)
+            marked = np.zeros(len(key), bool)
+            lag = 1
+            while lag < len(key):
+                i = np.flatnonzero(key[:-lag] == key[lag:])  # rows at this distance in one group
+                if not len(i):
+                    break
+                i = i[component[i] != component[i + lag]]
+                i = i[may_link(sign[i], sign[i + lag], n[i], n[i + lag], settings, 1 / 256)]
+                marked[i] = marked[i + lag] = True
+                lag += 1
+            yield from rows.filter(pa.array(marked)).select(["key", "id", "component"]).to_batches()
+
+    rows = mixed.join(signs, "id").select("key", "id", "n", "component", "sign")
+    rows = rows.repartition("key").sortWithinPartitions("key", "id")
+    return rows.mapInArrow(compare, "key long, id long, component long")
+
+
+def _rest(near: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Links between components inside groups.
+
+    Only members of components that are still apart are compared, and only a
+    link that joins two of them is given out: fewer links than members, though
+    no linked pair stays apart.
     """
-    block = F.pmod(F.xxhash64("id", F.lit(7)), F.ceil(F.col("size") / settings.block))
-    blocks = members.withColumn("blocks", F.ceil(F.col("size") / settings.block)).withColumn("block", block)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    rows = blocks.withColumn("other", other).select(
-        "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "component")
-    rows = rows.join(sets, "id")
-
-    def join(frame: pd.DataFrame) -> pd.DataFrame:
-        held = [np.frombuffer(h, np.uint64) for h in frame["hashes"]]
-        seen = np.stack([registers(h, settings) for h in held])
-        size = np.array([len(h) for h in held])
-        ids, root = frame["id"].to_numpy(), frame["component"].to_numpy().copy()
-        out = []
-        goal, stray = settings.percent / 100, 1 / (1 << settings.mantissa)
-        for i in range(len(held) - 1):
-            apart = np.flatnonzero(root[i + 1:] != root[i]) + i + 1
-            least, most = np.minimum(size[apart], size[i]), np.maximum(size[apart], size[i])
-            estimate = ((seen[apart] == seen[i]).mean(axis=1) - stray) / (1 - stray)
-            slack = settings.margin * np.sqrt(goal * (1 - goal) / np.minimum(settings.registers, least))
-            for j in apart[(least >= goal * most) & (estimate >= goal - slack)]:
-                if root[j] != root[i] and linked(held[i], held[j], settings):
-                    out.append((ids[i], ids[j]))
-                    root[root == root[j]] = root[i]
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return rows.groupBy("key", "p", "q").applyInPandas(join, "a long, b long").distinct()
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches):
+            key, ids, root = (rows[c].to_numpy().copy() for c in ("key", "id", "component"))
+            held = [np.frombuffer(h, np.uint64) for h in rows["hashes"].to_pylist()]
+            a, b = [], []
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            for low, high in zip(starts, np.append(starts[1:], len(key)), strict=True):
+                seen = np.stack([registers(h, settings) for h in held[low:high]])
+                size = np.array([len(h) for h in held[low:high]])
+                at = root[low:high]
+                for i in range(high - low - 1):
+                    apart = np.flatnonzero(at[i + 1:] != at[i]) + i + 1
+                    for j in apart[may_link(seen[apart], seen[i], size[apart], size[i], settings)]:
+                        if at[j] != at[i] and linked(held[low + i], held[low + j], settings):
+                            a.append(ids[low + i])
+                            b.append(ids[low + j])
+                            at[at == at[j]] = at[i]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    rows = near.join(sets, "id").select("key", "id", "component", "hashes")
+    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(join, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -221,19 +276,25 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     ship(docs.sparkSession)
     sketches = stage(_sketches(docs, settings), "sketches")
     sets = sketches.where("n > 0 AND doc_id IS NOT NULL")
-    whole = stage(sets.groupBy("n", "d1", "d2").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("id")), "classes")
-    rows = whole.select("id", F.explode("bands").alias("key"))
+    whole = stage(sets.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "bands", "sign")).alias("first")).select(
+        "n", "d1", "d2", F.col("first.doc_id").alias("id"), "first.bands", "first.sign"), "classes")
+    rows = whole.select("id", "n", F.explode("bands").alias("key"))
     crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot")).where("size > 1")
     members = stage(rows.join(crowded.select("key", "pivot"), "key"), "members")
     pairs = members.groupBy(F.col("id").alias("a")).agg(F.min("pivot").alias("b")).where("a <> b")
     classes = whole.select("n", "d1", "d2", "id")
     if not members.isEmpty():
-        found = stage(_sets(docs, members.select("id").distinct(), settings).dropDuplicates(), "sets")
+        found = _sets(docs, members.select("id").distinct(), settings)
+        if not sketches.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty():
+            found = found.dropDuplicates()
+        found = stage(found, "sets")
         links = stage(_check(pairs, found, settings), "links")
         labels = stage(components(links), "labels")
-        mixed = stage(_mixed(members.select("key", "id"), labels), "mixed")
-        if not mixed.isEmpty():
-            links = links.unionByName(_rest(mixed, found, settings))
+        mixed = _in_blocks(_mixed(members.select("key", "id", "n"), labels, settings), settings)
+        signs = whole.select("id", "sign")
+        near = stage(_near(mixed, signs, settings), "near")
+        if not near.isEmpty():
+            links = links.unionByName(_rest(near, found, settings))
             labels = stage(components(links), "labels")
         classes = classes.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     else:
