@@ -9,6 +9,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from panelyard.catalog import QUERIES  # noqa: E402
+from panelyard.plans.stage import release  # noqa: E402
 from panelyard.session import build_session  # noqa: E402
 
 HEADLINE = [
@@ -36,6 +37,7 @@ def main() -> None:
         times[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({"metric": "headline panel queries, total wall time", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": Path(sf).name.removeprefix("sf")}))
+    release(spark)
     spark.stop()
 
 

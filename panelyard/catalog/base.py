@@ -169,13 +169,16 @@ CLS = """cls AS (SELECT doc_id, toxic AS y_true, n_chars/1e3 AS y_pred,
 
 
 def ic_sql(source: str, keys: str, y: str = "y_true", p: str = "y_pred", name: str = "ic") -> str:
-    """CTEs giving ``{name}(keys, ic, n)`` by average ranks."""
+    """CTEs giving ``{name}(keys, ic, n)`` by doubled average ranks, whose sums are exact integers."""
+    def spread(a: str, b: str) -> str:
+        return f"CAST(count(*)*sum({a}*{b}) - sum({a})*sum({b}) AS DOUBLE)"
+
     return f"""{name}_r AS (SELECT {keys},
- rank() OVER (PARTITION BY {keys} ORDER BY {y}) + (count(*) OVER (PARTITION BY {keys}, {y}) - 1)/2e0 AS ry,
- rank() OVER (PARTITION BY {keys} ORDER BY {p}) + (count(*) OVER (PARTITION BY {keys}, {p}) - 1)/2e0 AS rp
+ 2*rank() OVER (PARTITION BY {keys} ORDER BY {y}) + count(*) OVER (PARTITION BY {keys}, {y}) - 1 AS ry,
+ 2*rank() OVER (PARTITION BY {keys} ORDER BY {p}) + count(*) OVER (PARTITION BY {keys}, {p}) - 1 AS rp
  FROM {source} WHERE {y} IS NOT NULL AND {p} IS NOT NULL),
-{name} AS (SELECT {keys}, corr(ry, rp) AS ic, count(*) AS n FROM {name}_r GROUP BY {keys}
- HAVING min(ry) < max(ry) AND min(rp) < max(rp))"""
+{name} AS (SELECT {keys}, {spread('ry', 'rp')}/(sqrt({spread('ry', 'ry')})*sqrt({spread('rp', 'rp')})) AS ic, count(*) AS n
+ FROM {name}_r GROUP BY {keys} HAVING min(ry) < max(ry) AND min(rp) < max(rp))"""
 
 
 def bucket_sql(r: str, n: str, q: int) -> str:

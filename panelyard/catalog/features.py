@@ -602,20 +602,20 @@ def e7(spark, sf):
     return _by_part(c, hinge=E.reduce_loss(E.hinge("y_pred", F.col("y_true") * 2 - 1, 0.8)))
 
 
-EMB = """z AS (SELECT label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS z FROM embeddings),
+EMB = """z AS (SELECT label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS z FROM embeddings),
 lp AS (SELECT label, z, list_transform(z, lambda x: x - ln(list_sum(list_transform(z, lambda u: exp(u))))) AS lp FROM z),
-ce AS (SELECT label, lp, -lp[label + 1] AS ce, list_sum(lp) AS s, 0.5 + label/10e0 AS w FROM lp)"""
-_CW = [0.5 + i / 10.0 for i in range(10)]
+ce AS (SELECT label, lp, -lp[label + 1] AS ce, list_sum(lp) AS s, 0.5 + label/64e0 AS w FROM lp)"""
+_CW = [0.5 + i / 64.0 for i in range(64)]
 
 
 @query("e8_multiclass", sql(EMB, body=f"""SELECT {rr('avg(ce)', 'sparse_cce')}, {rr('sum(w*ce)/sum(w)', 'wce')},
-{rr('avg(0.9*ce + 0.1*(-s)/10)', 'smooth_cce')},
-{rr('avg(0.9*ce + 0.1/9*(-s - ce))', 'label_smoothing_ce')}, {rr('avg(ce)', 'nll')},
-{rr('avg(ce + 2*(1 - exp(-ce)))', 'polyloss')}, {rr('avg(-s/10)', 'cce_uniform')} FROM ce"""))
+{rr('avg(0.9*ce + 0.1*(-s)/64)', 'smooth_cce')},
+{rr('avg(0.9*ce + 0.1/63*(-s - ce))', 'label_smoothing_ce')}, {rr('avg(ce)', 'nll')},
+{rr('avg(ce + 2*(1 - exp(-ce)))', 'polyloss')}, {rr('avg(-s/64)', 'cce_uniform')} FROM ce"""))
 def e8(spark, sf):
-    e = table(spark, sf, "embeddings").select("label", F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("z"))
+    e = table(spark, sf, "embeddings").select("label", F.transform("embedding", lambda x: x.cast("double")).alias("z"))
     e = e.withColumn("lp", E.log_softmax("z"))
-    even = F.array_repeat(F.lit(0.1), 10)
+    even = F.array_repeat(F.lit(1 / 64), 64)
     cols = {"sparse_cce": E.sparse_cce("z", "label"), "wce": E.weighted_ce("z", "label", _CW),
             "smooth_cce": E.sparse_cce("z", "label", label_smoothing=0.1),
             "label_smoothing_ce": E.reduce_loss(E.label_smoothing_ce("z", "label", 0.1)),

@@ -65,7 +65,7 @@ def g1(spark, sf):
 
 @query("g2_select_by_history", sql(*HIST, f"""s AS (SELECT factor, abs(avg(rankic)) AS score, count(*) AS n_days FROM h
  WHERE date <= {ASOF} AND factor <> 'n' GROUP BY factor)""", body=f"""SELECT factor, {rr('score')}, n_days,
-row_number() OVER (ORDER BY score DESC, factor) AS position FROM s WHERE score >= 0.005 AND n_days >= 20"""))
+row_number() OVER (ORDER BY round(score, 12) DESC, factor) AS position FROM s WHERE score >= 0.005 AND n_days >= 20"""))
 def g2(spark, sf):
     out = G.select_by_history(history(spark, sf), "2000-06-01", threshold=0.005, min_days=20, pool=FACTORS[:3])
     return rounded(out, "score")
@@ -74,7 +74,7 @@ def g2(spark, sf):
 for _inc in (True, False):
     @query("g2_select_by_history_many" + ("" if _inc else "_strict"), sql(*HIST, WIN, f"""s AS (SELECT train_end AS "asof", factor,
  avg(abs(rankic)) AS score, count(*) AS n_days FROM wn JOIN h ON date {'<=' if _inc else '<'} train_end GROUP BY 1, 2)""",
-        body=f"""SELECT "asof", factor, {rr('score')}, n_days, row_number() OVER (PARTITION BY "asof" ORDER BY score DESC, factor) AS position
+        body=f"""SELECT "asof", factor, {rr('score')}, n_days, row_number() OVER (PARTITION BY "asof" ORDER BY round(score, 12) DESC, factor) AS position
 FROM s WHERE score >= 0.08 AND n_days >= 5"""))
     def g2_many(spark, sf, inc=_inc):
         asofs = D.anchor_dates(windows(spark, sf))
@@ -83,7 +83,7 @@ FROM s WHERE score >= 0.08 AND n_days >= 5"""))
 
 
 @query("g3_select_by_day", sql(*HIST, WIN, """d AS (SELECT train_end AS "asof", factor, abs(rankic) AS score FROM wn JOIN h ON date = train_end),
-dr AS (SELECT *, row_number() OVER (PARTITION BY "asof" ORDER BY score DESC, factor) AS position,
+dr AS (SELECT *, row_number() OVER (PARTITION BY "asof" ORDER BY round(score, 12) DESC, factor) AS position,
  count(*) FILTER (score >= 0.15) OVER (PARTITION BY "asof") AS k FROM d)""",
     body=f'''SELECT "asof", factor, {rr("score")}, position FROM dr WHERE position <= greatest(k, 2)'''))
 def g3(spark, sf):
@@ -92,7 +92,7 @@ def g3(spark, sf):
 
 
 @query("k2_top_factors", sql(*HIST, """d AS (SELECT date AS "asof", factor, abs(rankic) AS score FROM h),
-dr AS (SELECT *, row_number() OVER (PARTITION BY "asof" ORDER BY score DESC, factor) AS position FROM d)""",
+dr AS (SELECT *, row_number() OVER (PARTITION BY "asof" ORDER BY round(score, 12) DESC, factor) AS position FROM d)""",
     body=f'''SELECT "asof", factor, {rr("score")}, position FROM dr WHERE position <= 2'''))
 def k2(spark, sf):
     h = history(spark, sf)
@@ -123,7 +123,7 @@ def k4(spark, sf):
 
 
 SEL = """d AS (SELECT train_end AS "asof", factor, abs(rankic) AS score FROM wn JOIN h ON date = train_end),
-dr AS (SELECT *, row_number() OVER (PARTITION BY "asof" ORDER BY score DESC, factor) AS position FROM d),
+dr AS (SELECT *, row_number() OVER (PARTITION BY "asof" ORDER BY round(score, 12) DESC, factor) AS position FROM d),
 sl AS (SELECT * FROM dr WHERE score >= 0.1)"""
 UN = """un AS (SELECT factor, min({'a': "asof", 'p': position}) AS f FROM sl GROUP BY factor)"""
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.functions import metrics as M
@@ -26,10 +26,9 @@ def _pairs(df: DataFrame, keys: Sequence[str], y: str, p: str) -> DataFrame:
 def _corr(df: DataFrame, keys: Sequence[str], method: str, small: bool = False) -> DataFrame:
     if method not in ("spearman", "pearson"):
         raise ValueError(f"unknown method {method}")
-    x, z = "__y", "__p"
     if method == "spearman":
-        df = average_ranks(df, keys, {"__y": "__ry", "__p": "__rp"}, small=small)
-        x, z = "__ry", "__rp"
+        return _rank_corr(average_ranks(df, keys, {"__y": "__ry", "__p": "__rp"}, small=small), keys)
+    x, z = "__y", "__p"
     # a constant side has no correlation; corr() itself would raise on it in ANSI mode
     defined = (F.min(x) < F.max(x)) & (F.min(z) < F.max(z))
     spread = F.nullif(F.stddev_pop(x) * F.stddev_pop(z), F.lit(0.0))
@@ -37,6 +36,26 @@ def _corr(df: DataFrame, keys: Sequence[str], method: str, small: bool = False)
     return df.groupBy(*keys).agg(ic.alias("ic"), F.count(F.lit(1)).alias("n"))
 
 
+def _rank_corr(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Correlation of average ranks from exact sums: doubled ranks are integers, so the result
+    does not depend on the order of rows and equal rank patterns give equal values."""
+    df = df.select(*keys, (2 * F.col("__ry")).cast("long").alias("x"), (2 * F.col("__rp")).cast("long").alias("z"))
+    n = F.count(F.lit(1))
+
+    def total(c: Column) -> Column:
+        return F.sum(c.cast("decimal(20,0)")).cast("decimal(34,0)")
+
+    sums = df.groupBy(*keys).agg(
+        n.alias("n"), total(F.col("x")).alias("x"), total(F.col("z")).alias("z"), total(F.col("x") * F.col("z")).alias("xz"),
+        total(F.col("x") * F.col("x")).alias("xx"), total(F.col("z") * F.col("z")).alias("zz"))
+
+    def spread(a: str, b: str, ab: str) -> Column:
+        return F.expr(f"CAST(n * {ab} AS DECIMAL(38,0)) - CAST({a} * {b} AS DECIMAL(38,0))").cast("double")
+
+    across = F.sqrt(spread("x", "x", "xx")) * F.sqrt(spread("z", "z", "zz"))
+    return sums.select(*keys, F.when(across > 0, spread("x", "z", "xz") / F.nullif(across, F.lit(0.0))).alias("ic"), "n")
+
+
 def daily_ic(df: DataFrame, *, method: str = "spearman", keys: Sequence[str] = (DATE,), y: str = "y_true",
              p: str = "y_pred", small: bool = False) -> DataFrame:
     """Correlation of target and prediction per date (and other keys); undefined dates are left out.

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.operators.model import Bundle
@@ -12,11 +10,18 @@ from panelyard.operators.rolling import rolling_stats
 from panelyard.schema import DATE, STOCK
 
 
-def with_lookback(panel: DataFrame, asof, rows_back: int, *, date: str = DATE) -> DataFrame:
-    """Rows up to ``asof`` on the last ``rows_back + 1`` dates of the panel."""
+def with_lookback(panel: DataFrame, asof, rows_back: int, *, date: str = DATE, stock: str = STOCK) -> DataFrame:
+    """Rows up to ``asof`` that hold the last ``rows_back`` earlier rows of every stock of that date.
+
+    Rolling features count rows of a stock, not dates, so a stock that was absent
+    reaches further back. The first date needed is found on the two key columns
+    alone; the panel is then read as one range of dates.
+    """
     day = F.to_date(F.lit(asof)) if isinstance(asof, str) else F.lit(asof)
-    days = panel.where(F.col(date) <= day).select(date).distinct().orderBy(F.col(date).desc()).limit(rows_back + 1)
-    first = days.agg(F.min(date)).first()[0]
+    keys = panel.where(F.col(date) <= day).select(date, stock)
+    keys = keys.join(keys.where(F.col(date) == day).select(stock).distinct(), stock, "left_semi")
+    newest = Window.partitionBy(stock).orderBy(F.col(date).desc())
+    first = keys.withColumn("__k", F.row_number().over(newest)).where(F.col("__k") <= rows_back + 1).agg(F.min(date)).first()[0]
     return panel.where((F.col(date) <= day) & (F.col(date) >= F.lit(first)))
 
 
@@ -27,7 +32,7 @@ def score_date(panel: DataFrame, asof, bundle: Bundle, *, rolling: dict | None =
     With ``rolling`` (arguments of the rolling feature stage) or a history fill
     the job reads a look-back of earlier dates, so those features match training.
     """
-    rows = with_lookback(panel, asof, lookback, date=date) if lookback else panel.where(
+    rows = with_lookback(panel, asof, lookback, date=date, stock=stock) if lookback else panel.where(
         F.col(date) == (F.to_date(F.lit(asof)) if isinstance(asof, str) else F.lit(asof)))
     if rolling is not None:
         rows = rolling_stats(rows, **rolling)
@@ -43,7 +48,3 @@ def score_latest(panel: DataFrame, bundle: Bundle, *, date: str = DATE, **kw) ->
     """Predictions for the newest date of a saved panel."""
     newest = panel.agg(F.max(date)).first()[0]
     return score_date(panel, newest, bundle, date=date, mode="last_day", **kw)
-
-
-def feature_order(bundle: Bundle) -> Sequence[str]:
-    return bundle.features

@@ -70,12 +70,12 @@ def select_by_history(history: DataFrame, asof, *, threshold: float = 0.03, aggr
     if pool is not None:
         seen = seen.where(F.col("factor").isin(list(pool)))
     return _placed(factor_scores(seen, aggregate).where(
-        (F.col("score") >= threshold) & (F.col("n_days") >= min_days)), [])
+        (F.round("score", 12) >= threshold) & (F.col("n_days") >= min_days)), [])
 
 
 def _placed(picked: DataFrame, keys: Sequence[str], score: str = "score") -> DataFrame:
-    """Position by score, then name. A group holds one row per factor."""
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(F.col(score).desc(), "factor")
+    """Position by score to twelve digits, then name. A group holds one row per factor."""
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(F.round(score, 12).desc(), "factor")
     return picked.withColumn("position", F.row_number().over(w).cast("long"))
 
 
@@ -106,7 +106,7 @@ def select_by_history_many(history: DataFrame, asofs: DataFrame, *, threshold: f
     hi = F.coalesce(F.col("next") - 1 + shift, F.lit(last))
     valid = running.where(lo <= hi).select("factor", "score", "n_days", F.explode(F.sequence(lo, hi)).alias("idx"))
     at = wanted.join(index.withColumnRenamed("date", "asof"), "asof")
-    picked = valid.join(at, "idx").where((F.col("score") >= threshold) & (F.col("n_days") >= min_days))
+    picked = valid.join(at, "idx").where((F.round("score", 12) >= threshold) & (F.col("n_days") >= min_days))
     return _placed(picked.select("asof", "factor", "score", "n_days"), ["asof"])
 
 
@@ -120,7 +120,7 @@ def select_by_day(history: DataFrame, days: DataFrame, *, threshold: float = 0.0
     day = rows.join(days.select(F.col("asof").alias(date)).distinct(), date)
     scored = day.select(F.col(date).alias("asof"), "factor", F.abs("rankic").alias("score"))
     scored = _placed(scored, ["asof"])
-    passed = F.count_if(F.col("score") >= threshold).over(Window.partitionBy("asof"))
+    passed = F.count_if(F.round("score", 12) >= threshold).over(Window.partitionBy("asof"))
     keep = F.greatest(F.col("__passed"), F.lit(min_selected))
     return scored.withColumn("__passed", passed).where(F.col("position") <= keep).drop("__passed")
 
@@ -193,7 +193,7 @@ def selection_counts(history: DataFrame, asof, *, threshold: float = 0.03, min_d
     scores = seen.groupBy("factor").agg(
         F.count(F.lit(1)).alias("rows"), F.count("rankic").alias("n_days"),
         _score(aggregate, F.avg("rankic"), F.avg(F.abs("rankic"))).alias("score"))
-    ok = (F.col("score") >= threshold) & (F.col("n_days") >= min_days)
+    ok = (F.round("score", 12) >= threshold) & (F.col("n_days") >= min_days)
     return scores.agg(
         F.coalesce(F.sum("rows"), F.lit(0)).alias("n_hist_rows"),
         F.count_if(F.col("n_days") > 0).alias("n_factors_seen"), F.count_if(ok).alias("n_selected"))

@@ -6,33 +6,32 @@ values such as partition numbers that must not change between two reads.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_root: str | None = None
-
 
 def stage_root(spark: SparkSession) -> str:
-    """Shared folder from ``spark.checkpoint.dir``.
-
-    Only a local session without that setting falls back to a temporary folder;
-    a cluster must name a folder that all executors see.
-    """
-    global _local_root
+    """Shared folder from ``spark.checkpoint.dir``, else a folder of the warehouse, which executors share as well."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="panelyard-")
-    return _local_root
+    return (root or f"{spark.conf.get('spark.sql.warehouse.dir')}/staged").rstrip("/")
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables this session has staged; frames that read them can no longer be used."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _STAGED.pop(spark.sparkContext.applicationId, []):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
+_STAGED: dict[str, list[str]] = {}
 
 
 def stage_path(spark: SparkSession, name: str = "table") -> str:
-    return f"{stage_root(spark)}/panelyard/{name}-{uuid.uuid4().hex}"
+    path = f"{stage_root(spark)}/panelyard/{name}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str = "table") -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelyard.plans.skew import keep_latest
 from panelyard.schema import DATE, STOCK, as_date, require_columns
@@ -22,19 +20,24 @@ def _csv_with_position(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("row")).alias("__at"))
 
 
+def _flag(c: str) -> Column:
+    """A mask cell as a number, in any spelling (1, 1.0); text that is no number is an error, an empty cell is NULL."""
+    text, number = F.trim(F.col(c).cast("string")), F.trim(F.col(c).cast("string")).try_cast("double")
+    bad = number.isNull() & (F.coalesce(text, F.lit("")) != "")
+    return F.when(bad, F.raise_error(F.concat(F.lit(f"bad value in mask column {c}: "), text)).cast("double")).otherwise(number)
+
+
 def read_feature_mask(spark: SparkSession, path: str, *, feature: str = "feature", use: str = "use") -> DataFrame:
     """Selected features in file order: rows ``feature,use`` with use = 1, or one row of 0/1 per feature."""
     df = _csv_with_position(spark, path)
     if feature in df.columns and use in df.columns:
-        rows = df.select(F.col(feature).alias("feature"), F.try_to_number(F.col(use), F.lit("999")).alias("use"), "__at")
-        if df.schema[use].dataType != T.StringType():
-            rows = df.select(F.col(feature).alias("feature"), F.col(use).cast("int").alias("use"), "__at")
+        rows = df.select(F.col(feature).alias("feature"), _flag(use).alias("use"), "__at")
         kept = rows.where("use = 1").groupBy("feature").agg(F.min("__at").alias("__at"))
     else:
         names = [c for c in df.columns if c != "__at"]
         if not names:
             raise ValueError("empty mask file")
-        cells = df.select(*[F.try_to_number(F.col(c), F.lit("999")).alias(c) for c in names], "__at")
+        cells = df.select(*[_flag(c).alias(c) for c in names], "__at")
         first = cells.agg(F.min_by(F.struct(*names), "__at").alias("r")).select("r.*")
         place = F.create_map(*[x for i, c in enumerate(names) for x in (F.lit(c), F.lit(i))])
         kept = first.unpivot([], names, "feature", "use").where("use = 1").withColumn("__at", place[F.col("feature")])
@@ -70,31 +73,31 @@ def read_ic_history(spark: SparkSession, path: str, *, date: str = DATE) -> Data
 
 def read_predictions(spark: SparkSession, path: str, *, required: Sequence[str] = ("y_true", "y_pred"),
                      parts: Sequence[str] | None = None, folds: Sequence[int] | None = None,
-                     steps: tuple[int | None, int | None] = (None, None), max_files: int | None = None,
-                     date: str = DATE) -> DataFrame:
+                     steps: tuple[int | None, int | None] = (None, None), date: str = DATE) -> DataFrame:
     """Prediction folder as one table with ``source_file``; filters prune the part and fold folders.
 
-    Rows of files without the required columns are left out, a missing part is
-    ``test``, and an empty result is an error. ``max_files`` is the caller's own
-    limit to the first files in name order.
+    Files whose schema lacks a required column are left out, rows with a NULL in
+    it stay; a missing part is ``test``; a filter on a column that no file has is
+    ignored; an empty result is an error.
     """
     df = spark.read.option("mergeSchema", True).parquet(path)
     require_columns(df, required)
     df = df.select("*", F.col("_metadata.file_path").alias("source_file"))
-    df = df.where(reduce(or_, [F.col(c).isNotNull() for c in required]))
+    files = [f for f in df.inputFiles() if f.endswith(".parquet")]
+    lacking = [f for f in files if not set(required) <= set(spark.read.option("basePath", path).parquet(f).columns)]
+    if lacking:
+        bare = "^file:/+"  # local paths are spelt with one or three slashes
+        df = df.where(~F.regexp_replace("source_file", bare, "/").isin([re.sub(bare, "/", f) for f in lacking]))
     df = df.withColumn("part", F.coalesce(F.col("part"), F.lit("test")) if "part" in df.columns else F.lit("test"))
     if parts is not None:
         df = df.where(F.col("part").isin(list(parts)))
-    if folds is not None:
+    if folds is not None and "fold" in df.columns:
         df = df.where(F.col("fold").isin(list(folds)))
-    lo, hi = steps
+    lo, hi = steps if "step_id" in df.columns else (None, None)
     if lo is not None:
         df = df.where(F.col("step_id") >= lo)
     if hi is not None:
         df = df.where(F.col("step_id") <= hi)
-    if max_files is not None:
-        names = df.select("source_file").distinct().orderBy("source_file").limit(max_files).collect()
-        df = df.where(F.col("source_file").isin([r[0] for r in names]))
     if date in df.columns:
         df = as_date(df, date)
     if df.isEmpty():

@@ -1,8 +1,9 @@
 """Incremental scoring of arriving cross-sections.
 
-One file holds one complete cross-section, so the per-date statistics of a batch
-see whole dates. Output folders are per date and overwritten, so a replayed batch
-leaves the same rows.
+A batch only tells which dates have arrived: the whole of each such date is read
+from the source folder, so statistics see complete cross-sections however the
+files of a date fall into batches. Output folders are per date and overwritten,
+so a replayed batch leaves the same rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,12 @@ def score_stream(spark: SparkSession, source: str, schema: T.StructType, bundle:
     arriving = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source))
 
     def write(batch: DataFrame, _: int) -> None:
-        scored = score_batch(batch, bundle, date=date, stock=stock)
+        session = batch.sparkSession
+        dates = [r[0] for r in batch.select(date).distinct().collect()]  # dates of one batch of files
+        if not dates:
+            return
+        whole = session.read.schema(schema).parquet(source).where(F.col(date).isin(dates))
+        scored = score_batch(whole, bundle, date=date, stock=stock)
         (scored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(date).parquet(sink))
 

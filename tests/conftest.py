@@ -5,6 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from panelyard.plans.stage import release  # noqa: E402
 from panelyard.session import build_session  # noqa: E402
 
 
@@ -13,6 +14,7 @@ def spark():
     s = build_session("tests")
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    release(s)
     s.stop()
 
 

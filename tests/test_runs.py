@@ -365,6 +365,29 @@ def test_stream_replay_and_lookback(spark, tmp_path):
     assert Sc.with_lookback(p, day(9), 3).select("date").distinct().count() == 4
 
 
+def test_stream_sees_whole_dates(spark, tmp_path):
+    """A date in three files, one file a batch: every row is scored, as in one batch."""
+    p = panel(spark, dates=12)
+    cleaner, clean = PanelCleaner(CleanSettings(zscore="date")).fit_transform(p.where(F.col("date") < F.lit(day(8))), ["f1"])
+    bundle = Mo.Bundle(Mo.fit_model(clean, ["f1"], name="linear"), ["f1"], cleaner)
+    fresh = p.where(F.col("date") >= F.lit(day(8))).drop("y")
+    fresh.repartition(3).write.parquet(str(tmp_path / "in"))
+    for i in range(2):
+        score_stream(spark, str(tmp_path / "in"), fresh.schema, bundle, str(tmp_path / "out"), str(tmp_path / f"cp{i}"),
+                     files_per_batch=1).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == fresh.count()
+    whole = Sc.score_date(p, day(9), bundle).withColumnRenamed("y_pred", "s")
+    assert out.join(whole, ["date", "stockid"]).where(F.abs(F.col("s") - F.col("y_pred")) > 1e-12).isEmpty()
+
+
+def test_lookback_counts_rows_of_a_stock(spark):
+    """A stock absent on recent dates still gets its own last rows."""
+    p = panel(spark, dates=20).where(~((F.col("stockid") == 3) & F.col("date").between(F.lit(day(8)), F.lit(day(18)))))
+    rows = Sc.with_lookback(p, day(19), 3)
+    assert rows.where("stockid = 3").count() >= 4 and rows.agg(F.min("date")).first()[0] == day(5)
+
+
 def test_measured_bytes_counts_text(spark):
     short = spark.createDataFrame([("a",)] * 10, "t string")
     long = spark.createDataFrame([("a" * 1000,)] * 10, "t string")
