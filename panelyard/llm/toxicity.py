@@ -90,15 +90,24 @@ def _counts(rows: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray
     return seen[0, :size], seen[1, :size], int(seen[0, size]), int(seen[1, size])
 
 
-def _sample(rows: DataFrame, settings: Settings) -> list[tuple[int, np.ndarray]]:
-    """Buckets of the rows of each class that come first by a digest: a fixed sample, ``settings.sample`` per class at most."""
+def _sample(rows: DataFrame, settings: Settings, active: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Places in ``active`` of the buckets of the rows of each class that come first by a digest.
+
+    A fixed sample of ``settings.sample`` rows per class at most. Digests alone are
+    sorted; texts stay where they are, and only active buckets come back.
+    """
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [buckets(t, settings).astype("<i4").tobytes() for t in texts(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(packed, pa.binary())], ["label", "buckets"])
+            packed = [np.flatnonzero(np.isin(active, buckets(t, settings))).astype("<i4").tobytes() for t in texts(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(packed, pa.binary())], ["label", "digest", "buckets"])
 
-    one = [rows.where(F.col("label") == k).orderBy("digest", "text").limit(settings.sample).select("text", "label") for k in (0, 1)]
-    found = one[0].unionByName(one[1]).mapInArrow(pack, "label int, buckets binary").collect()
+    found = []
+    for k in (0, 1):
+        own = rows.where(F.col("label") == k)
+        last = own.select("digest").orderBy("digest").limit(settings.sample).agg(F.max("digest")).first()[0]
+        some = own.where(F.col("digest") <= F.lit(last)).select("text", "label", "digest")
+        some = some.mapInArrow(pack, "label int, digest string, buckets binary").orderBy("digest", "buckets").limit(settings.sample)
+        found += some.select("label", "buckets").collect()
     return [(r[0], np.frombuffer(r[1], "<i4").astype(np.int64)) for r in found]
 
 
@@ -123,11 +132,9 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
     # what the counts leave open is taken off: some standard errors of the ratio, towards 0
     error = np.sqrt(1 / (toxic + 1) + 1 / (clean + 1))
     ratio = np.sign(ratio) * np.maximum(np.abs(ratio) - settings.errors * error, 0)
-    sample = _sample(rows, settings)
     active = np.flatnonzero(ratio)
-    column = np.full(1 << settings.bits, -1)
-    column[active] = np.arange(len(active))
-    kept = [c[c >= 0] for c in (column[b] for _, b in sample)]
+    sample = _sample(rows, settings, active)
+    kept = [b for _, b in sample]
     row = np.repeat(np.arange(len(kept)), [len(c) for c in kept])
     col = np.concatenate(kept) if len(row) else np.zeros(0, np.int64)
     value = ratio[active][col]
