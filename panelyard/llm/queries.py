@@ -77,3 +77,12 @@ def op5_sampled_pieces(spark: SparkSession, sf: str) -> DataFrame:
     rows = pieces.encode(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     digest = F.crc32(F.array_join("ids", ",").cast("binary"))
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), digest.alias("ids_crc32"), "lossless")
+
+
+ORACLE["op2_segment_top_k"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+ FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 20"""
