@@ -19,12 +19,12 @@ from panelyard.plans.stage import stage
 @dataclass(frozen=True)
 class Settings:
     """``bands`` x ``rows`` registers. At a similarity of 0.75 a pair shares no band with probability
-    (1 - 0.75**rows)**bands = 4e-6, and less above it. ``margin`` is in standard errors of the estimate."""
+    (1 - 0.75**rows)**bands = 1e-6, and less above it. ``margin`` is in standard errors of the estimate."""
 
     words: int = 5
     percent: int = 75
-    bands: int = 64
-    rows: int = 6
+    bands: int = 36
+    rows: int = 4
     mantissa: int = 10
     margin: float = 6.0
     block: int = 512
@@ -82,8 +82,8 @@ def band_keys(found: np.ndarray, settings: Settings) -> np.ndarray:
 
 
 def signature(found: np.ndarray, settings: Settings) -> np.ndarray:
-    """A short sketch: one byte of every third register."""
-    return ((found[::3] * np.uint32(0x85EBCA6B)) >> np.uint32(24)).astype(np.uint8)
+    """A short sketch: one byte of every register."""
+    return ((found * np.uint32(0x85EBCA6B)) >> np.uint32(24)).astype(np.uint8)
 
 
 def may_link(a: np.ndarray, b: np.ndarray, n_a, n_b, settings: Settings, stray: float | None = None) -> np.ndarray:
@@ -131,35 +131,73 @@ def _sketches(docs: DataFrame, settings: Settings) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n long, d1 long, d2 long, bands array<long>, sign binary")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, settings: Settings) -> DataFrame:
-    """id and full set of the documents in ``ids``: one row per id and set."""
+def _with_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
+    """Rows of ``wanted`` (id, key, ...) with the full set of their document, made from its text."""
+    names = wanted.columns
+    schema = "hashes binary, " + ", ".join(f"{n} {t}" for n, t in wanted.dtypes)
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, packed = None, b""
         for batch in batches:
-            packed = [shingles(t, settings.words).tobytes() for t in byte_rows(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "hashes"])
+            sets = []
+            for text in byte_rows(batch.column(0)):
+                if text != last:  # rows of one document come together
+                    last, packed = text, shingles(text, settings.words).tobytes()
+                sets.append(packed)
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), *batch.columns[1:]], ["hashes", *names])
+
+    rows = attach(docs.select(F.col("doc_id").alias("id"), "text"), wanted, ["id"], "inner")
+    return rows.select("text", *names).mapInArrow(build, schema)
 
-    rows = attach(docs.select("doc_id", "text"), ids.select(F.col("id").alias("doc_id")), ["doc_id"], "left_semi")
-    rows = rows.select("doc_id", "text")
-    return rows.mapInArrow(build, "id long, hashes binary")
 
+def _candidates(pairs: DataFrame, signs: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (a, b, key) whose sizes and short sketches leave room for a link.
 
-def _check(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (a, b) that link by the exact rule; the estimate is asked first."""
+    ``key`` names a block of about ``settings.block`` pairs of one pivot b, so a
+    pivot of a third of all rows is in many groups.
+    """
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                          for c in ("sign_a", "sign_b"))
+            keep = may_link(one, other, n_a, n_b, settings, 1 / 256) if batch.num_rows else []
+            yield batch.select(["a", "b", "key"]).filter(pa.array(keep, pa.bool_()))
+
+    blocks = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / settings.block).alias("blocks"))
+    blocks = stage(blocks, "pivots")
+    rows = attach(pairs, blocks, ["b"], "inner")
+    rows = rows.select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a", F.lit(11)), "blocks")).alias("key"))
+    rows = rows.join(signs.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sign").alias("sign_a")), "a")
+    pivots = blocks.join(signs.withColumnRenamed("id", "b"), "b").withColumn(
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pivots = pivots.select(F.xxhash64("b", "block").alias("key"), F.col("n").alias("n_b"), F.col("sign").alias("sign_b"))
+    rows = rows.join(pivots, "key").select("a", "b", "key", "n_a", "n_b", "sign_a", "sign_b")
+    return rows.mapInArrow(compare, "a long, b long, key long").distinct()
+
+
+def _check(found: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+    """Candidates (a, b) that link by the exact rule on full sets; the pivot's sets come first in each group."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, pivot, sets = None, None, []
         for batch in batches:
-            good, last, of_last = [], None, None
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p = np.frombuffer(x.as_py(), np.uint64)
-                if last is None or y != last:  # pairs of one pivot come together
-                    q = np.frombuffer(y.as_py(), np.uint64)
-                    last, of_last = y, (q, registers(q, settings))
-                q, r = of_last
-                good.append(may_link(registers(p, settings), r, len(p), len(q), settings) and linked(p, q, settings))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            a, b = [], []
+            for key, doc, first, packed in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "first", "hashes")), strict=True):
+                if key != at:
+                    at, sets = key, []
+                own = np.frombuffer(packed, np.uint64)
+                if first:
+                    pivot = doc
+                    sets.append(own)
+                elif any(linked(own, s, settings) for s in sets):
+                    a.append(doc)
+                    b.append(pivot)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
-    rows = rows.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
-    return rows.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
+    rows = found.select(F.col("a").alias("id"), "key", F.lit(False).alias("first")).unionByName(
+        found.select(F.col("b").alias("id"), "key", F.lit(True).alias("first")).distinct())
+    rows = _with_sets(docs, rows, settings).repartition("key").sortWithinPartitions("key", F.col("first").desc(), "id")
+    return rows.mapInArrow(check, "a long, b long").distinct()
 
 
 def _mixed(members: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
@@ -227,7 +265,7 @@ def _near(mixed: DataFrame, signs: DataFrame, settings: Settings) -> DataFrame:
     return rows.mapInArrow(compare, "key long, id long, component long")
 
 
-def _rest(near: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+def _rest(near: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     """Links between components inside groups.
 
     Only members of components that are still apart are compared, and only a
@@ -253,7 +291,7 @@ def _rest(near: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
                             at[at == at[j]] = at[i]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows = near.join(sets, "id").select("key", "id", "component", "hashes")
+    rows = _with_sets(docs, near, settings).select("key", "id", "component", "hashes")
     return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(join, "a long, b long").distinct()
 
 
@@ -262,8 +300,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
     1. A sketch per document; documents with equal sets (copies) fall together by
        a grouped minimum, and only the smallest id of each goes on.
-    2. Representatives that share a band meet in a bucket; each is checked with
-       the smallest id of all its buckets, and links give components.
+    2. Representatives that share a band meet in a bucket, of which those with the
+       same members count once; each is checked with the smallest id of all its
+       buckets, and links give components.
     3. Buckets that still hold several components are compared inside, block by
        block, and the components are joined.
 
@@ -278,23 +317,25 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     sets = sketches.where("n > 0 AND doc_id IS NOT NULL")
     whole = stage(sets.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "bands", "sign")).alias("first")).select(
         "n", "d1", "d2", F.col("first.doc_id").alias("id"), "first.bands", "first.sign"), "classes")
-    rows = whole.select("id", "n", F.explode("bands").alias("key"))
-    crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot")).where("size > 1")
-    members = stage(rows.join(crowded.select("key", "pivot"), "key"), "members")
-    pairs = members.groupBy(F.col("id").alias("a")).agg(F.min("pivot").alias("b")).where("a <> b")
+    who = F.xxhash64("id", "n", "d1", "d2")
+    rows = whole.select("id", "n", who.alias("who"), F.explode("bands").alias("key"))
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot"), F.bit_xor("who").alias("who"))
+    crowded = buckets.where("size > 1").groupBy("size", "pivot", "who").agg(F.min("key").alias("key"))
+    members = stage(rows.drop("who").join(crowded.select("key", "pivot"), "key"), "members")
     classes = whole.select("n", "d1", "d2", "id")
     if not members.isEmpty():
-        found = _sets(docs, members.select("id").distinct(), settings)
         if not sketches.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty():
-            found = found.dropDuplicates()
-        found = stage(found, "sets")
-        links = stage(_check(pairs, found, settings), "links")
+            docs = docs.select("doc_id", "text").distinct()
+        signs = whole.select("id", "n", "sign")
+        pairs = stage(members.groupBy(F.col("id").alias("a")).agg(F.min("pivot").alias("b")).where("a <> b"), "pairs")
+        found = stage(_candidates(pairs, signs, settings), "candidates")
+        links = stage(_check(found, docs, settings), "links")
         labels = stage(components(links), "labels")
         mixed = _in_blocks(_mixed(members.select("key", "id", "n"), labels, settings), settings)
         signs = whole.select("id", "sign")
         near = stage(_near(mixed, signs, settings), "near")
         if not near.isEmpty():
-            links = links.unionByName(_rest(near, found, settings))
+            links = links.unionByName(_rest(near, docs, settings))
             labels = stage(components(links), "labels")
         classes = classes.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     else:
