@@ -85,7 +85,7 @@ def panel_e(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").withColumns({"date": F.col("ts").cast("date"), "stockid": F.col("user_id")})
     return rows.groupBy("date", "stockid").agg(
         (_cents("value") / F.nullif(n * F.lit(100.0), F.lit(0.0))).alias("px"),
-        *[F.count_if(kind == k).alias(f"f_{k}") for k in ("view", "click", "error")],
+        *[F.count_if(kind == k).alias(f"f_{k}") for k in ("view", "click", "error", "signup", "purchase")],
         F.count(F.lit(1)).alias("n"))
 
 
@@ -154,7 +154,8 @@ PANEL_N = "panel AS (" + _panel_sql("CAST(date_trunc('month', l_shipdate) AS DAT
 PANEL_E = """panel AS (SELECT CAST(ts AS DATE) AS date, user_id AS stockid,
  CAST(sum(CAST(round(value*100) AS BIGINT)) AS DOUBLE)/nullif(count(value)*1e2, 0) AS px,
  count(*) FILTER (event_type = 'view') AS f_view, count(*) FILTER (event_type = 'click') AS f_click,
- count(*) FILTER (event_type = 'error') AS f_error, count(*) AS n FROM events GROUP BY 1, 2)"""
+ count(*) FILTER (event_type = 'error') AS f_error, count(*) FILTER (event_type = 'signup') AS f_signup,
+ count(*) FILTER (event_type = 'purchase') AS f_purchase, count(*) AS n FROM events GROUP BY 1, 2)"""
 LAB = """lab AS (SELECT *, lead(px, 2) OVER ws / nullif(lead(px, 1) OVER ws, 0) - 1 AS y FROM panel
  WINDOW ws AS (PARTITION BY stockid ORDER BY date))"""
 GAPS = """gaps AS (SELECT * REPLACE (CASE WHEN n >= 3 THEN f_disc END AS f_disc,

@@ -181,7 +181,7 @@ def w7(spark, sf):
 
 
 SEQ = """sq AS (SELECT date, stockid, y, row_number() OVER w AS i, count(*) OVER (PARTITION BY stockid) AS m,
- count(*) OVER f AS k, sum(f_view + 10*f_click) OVER f AS total, first_value(f_view) OVER f AS first_view
+ count(*) OVER f AS k, sum(f_view + 10*f_click + 100*f_error + 1000*f_signup + 10000*f_purchase) OVER f AS total, first_value(f_view) OVER f AS first_view
  FROM (SELECT *, CAST(n AS DOUBLE) AS y FROM panel) WINDOW w AS (PARTITION BY stockid ORDER BY date),
  f AS (PARTITION BY stockid ORDER BY date ROWS BETWEEN 26 PRECEDING AND CURRENT ROW))"""
 
@@ -190,20 +190,19 @@ def _seq_panel(spark, sf):
     return panel_e(spark, sf).withColumn("y", F.col("n").cast("double"))
 
 
-def _seq_total(df):
-    flat = F.flatten("seq")
-    views = F.filter(flat, lambda x, i: i % 2 == 0)
-    clicks = F.filter(flat, lambda x, i: i % 2 == 1)
+_KINDS = ["f_view", "f_click", "f_error", "f_signup", "f_purchase"]
+
 
-    def total(a):
-        return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
-    return total(views) + total(clicks) * 10
+def _seq_total(df):
+    """Sum over the sequence in which each event type has its own power of ten."""
+    weighed = F.transform(F.flatten("seq"), lambda x, i: x * F.pow(F.lit(10.0), i % len(_KINDS)))
+    return F.aggregate(weighed, F.lit(0.0), lambda acc, x: acc + x)
 
 
 @query("w12_sequences_drop", sql(PANEL_E, SEQ, body="""SELECT date, stockid, y, CAST(total AS DOUBLE) AS total,
 CAST(first_view AS DOUBLE) AS first_view, CAST(27 AS BIGINT) AS len FROM sq WHERE i >= 27"""))
 def w12_drop(spark, sf):
-    s = W.sequences(_seq_panel(spark, sf), ["f_view", "f_click"], 27)
+    s = W.sequences(_seq_panel(spark, sf), _KINDS, 27)
     return s.select("date", "stockid", "y", _seq_total(s).alias("total"), F.col("seq")[0][0].alias("first_view"),
                     F.size("seq").cast("long").alias("len"))
 
@@ -212,7 +211,7 @@ def w12_drop(spark, sf):
 CASE WHEN m < 27 THEN 0e0 ELSE CAST(first_view AS DOUBLE) END AS first_view, CAST(27 AS BIGINT) AS len,
 CAST(k AS BIGINT) AS real FROM sq WHERE i >= 27 OR (m < 27 AND i = m)"""))
 def w12_zero(spark, sf):
-    s = W.sequences(_seq_panel(spark, sf), ["f_view", "f_click"], 27, incomplete="pad_zero", with_mask=True)
+    s = W.sequences(_seq_panel(spark, sf), _KINDS, 27, incomplete="pad_zero", with_mask=True)
     return s.select("date", "stockid", "y", _seq_total(s).alias("total"), F.col("seq")[0][0].alias("first_view"),
                     F.size("seq").cast("long").alias("len"),
                     F.size(F.filter("mask", lambda b: b)).cast("long").alias("real"))
@@ -221,7 +220,7 @@ def w12_zero(spark, sf):
 @query("w12_sequences_pad_first", sql(PANEL_E, SEQ, body="""SELECT date, stockid, y,
 CAST(first_view AS DOUBLE) AS first_view, CAST(27 AS BIGINT) AS len FROM sq WHERE i >= 27 OR (m < 27 AND i = m)"""))
 def w12_first(spark, sf):
-    s = W.sequences(_seq_panel(spark, sf), ["f_view", "f_click"], 27, incomplete="pad_first", pad_side="left")
+    s = W.sequences(_seq_panel(spark, sf), _KINDS, 27, incomplete="pad_first", pad_side="left")
     return s.select("date", "stockid", "y", F.col("seq")[0][0].alias("first_view"), F.size("seq").cast("long").alias("len"))
 
 

@@ -352,7 +352,7 @@ FROM grid LEFT JOIN panel USING (date, stockid)"""))
 def r1(spark, sf):
     folder, p = _wide_folder(spark, sf)
     fields = {f: spark.read.parquet(f"{folder}/{f}.parquet") for f in ("f_qty", "f_disc")}
-    fields["px"] = R.to_matrix(p, "px")
+    fields["px"] = R.to_matrix(p, "px", stocks=p)
     return rounded(R.wide_to_long(fields, label="px", stock_type="long"), "f_disc")
 
 

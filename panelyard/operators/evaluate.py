@@ -334,8 +334,11 @@ def evaluation_run(df: DataFrame, *, task: str = "regression", metrics: Sequence
     return out
 
 
-def chart_tables(df: DataFrame, *, bins: int = 10, max_rows: int = 300_000, part: str = "test") -> dict[str, DataFrame]:
-    """The numbers behind the evaluation charts of a regression run."""
+def chart_tables(df: DataFrame, *, bins: int = 10, max_rows: int | None = None, part: str = "test") -> dict[str, DataFrame]:
+    """The numbers behind the evaluation charts of a regression run.
+
+    ``scatter`` is the whole table unless ``max_rows`` asks for a sample.
+    """
     chosen = df.where(F.col("part") == part)
     daily = quantile_daily_return(assign_quantile(chosen, bins=bins))
     residual = df.withColumn("residual", F.col("y_true") - F.col("y_pred"))
@@ -345,7 +348,7 @@ def chart_tables(df: DataFrame, *, bins: int = 10, max_rows: int = 300_000, part
         "quantile_cumulative": quantile_cumulative_return(daily, bins=bins),
         "ic_histogram": histogram(daily_ic(df, keys=["part", DATE]), "ic", 40),
         "residual_histogram": histogram(residual, "residual", 80),
-        "scatter": stratified_sample(df, max_rows),
+        "scatter": df if max_rows is None else stratified_sample(df, max_rows),
     }
 
 

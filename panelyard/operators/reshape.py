@@ -125,15 +125,14 @@ def wide_to_long(
 
 
 def to_matrix(
-    df: DataFrame, value: str, *, date: str = DATE, stock: str = STOCK, stocks: Sequence | None = None,
-    max_columns: int = 20_000,
+    df: DataFrame, value: str, *, stocks: Sequence | DataFrame, date: str = DATE, stock: str = STOCK,
 ) -> DataFrame:
-    """Long to date x stock. The column list is checked; duplicate keys raise."""
-    if stocks is None:
-        found = df.select(stock).distinct().limit(max_columns + 1).collect()
-        if len(found) > max_columns:
-            raise ValueError(f"more than {max_columns} stocks: pass the columns wanted or stay in long form")
-        stocks = sorted(r[0] for r in found)
+    """Long to date x stock, one column per stock in ``stocks``: a list, or a table with a column ``stock``.
+
+    Duplicate keys raise.
+    """
+    if isinstance(stocks, DataFrame):  # as many rows as the result has columns
+        stocks = sorted(r[0] for r in stocks.select(stock).distinct().collect() if r[0] is not None)
     once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("duplicate (date, stock) in matrix"))).otherwise(
         F.max(value))
     # collapse per key before the pivot: map-side, and it is where duplicates show

@@ -107,7 +107,7 @@ def test_duplicates_are_an_error(spark):
     with pytest.raises(ValueError):
         J.validate_disjoint(df)
     with pytest.raises(Exception, match="duplicate"):
-        R.to_matrix(df, "f").collect()
+        R.to_matrix(df, "f", stocks=df).collect()
     with pytest.raises(KeyError):
         J.validate_long(df, required=["g"])
 
@@ -115,7 +115,7 @@ def test_duplicates_are_an_error(spark):
 def test_wide_round_trip(spark, tmp_path):
     p = random_panel(spark).select("date", "stockid", "f1", "f2")
     for f in ("f1", "f2"):
-        R.to_matrix(p, f).write.parquet(f"{tmp_path}/{f}.parquet")
+        R.to_matrix(p, f, stocks=p).write.parquet(f"{tmp_path}/{f}.parquet")
     back = P.load_wide(spark, str(tmp_path), ["f1", "f2"], stock_type="long")
     joined = back.join(p.withColumnsRenamed({"f1": "g1", "f2": "g2"}), ["date", "stockid"], "left")
     assert back.count() == p.select("date").distinct().count() * p.select("stockid").distinct().count()
