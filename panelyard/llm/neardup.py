@@ -150,6 +150,13 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFr
     return rows.select("text", *names).mapInArrow(build, schema)
 
 
+def _pivot_groups(pairs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, key), ``key`` naming a block of about ``settings.block`` pairs of one b; and the blocks of each b."""
+    blocks = stage(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / settings.block).alias("blocks")), "pivots")
+    rows = attach(pairs, blocks, ["b"], "inner")
+    return rows.select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a", F.lit(11)), "blocks")).alias("key")), blocks
+
+
 def _candidates(pairs: DataFrame, signs: DataFrame, settings: Settings) -> DataFrame:
     """Pairs (a, b, key) whose sizes and short sketches leave room for a link.
 
@@ -164,10 +171,7 @@ def _candidates(pairs: DataFrame, signs: DataFrame, settings: Settings) -> DataF
             keep = may_link(one, other, n_a, n_b, settings, 1 / 256) if batch.num_rows else []
             yield batch.select(["a", "b", "key"]).filter(pa.array(keep, pa.bool_()))
 
-    blocks = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / settings.block).alias("blocks"))
-    blocks = stage(blocks, "pivots")
-    rows = attach(pairs, blocks, ["b"], "inner")
-    rows = rows.select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a", F.lit(11)), "blocks")).alias("key"))
+    rows, blocks = _pivot_groups(pairs, settings)
     rows = rows.join(signs.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sign").alias("sign_a")), "a")
     pivots = blocks.join(signs.withColumnRenamed("id", "b"), "b").withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -201,7 +205,9 @@ def _check(found: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _mixed(members: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
-    """Rows (key, id, n, component, size) of buckets that hold more than one component, equal buckets once.
+    """Rows (key, id, n, component, size, held, top) of buckets that hold more than one component, equal buckets once.
+
+    ``top`` is the largest component of the bucket, with ``held`` of its ``size`` rows.
 
     A link needs sizes within a factor of 4 / 3, so a bucket is split by size
     class; each row is in its own class and the next, and two rows that could
@@ -212,18 +218,33 @@ def _mixed(members: DataFrame, labels: DataFrame, settings: Settings) -> DataFra
     rows = attach(members, labels, ["id"]).withColumn("component", F.coalesce("component", "id"))
     rows = rows.withColumn("class", F.explode(F.array(size_class, size_class + 1)))
     rows = rows.withColumn("key", F.xxhash64("key", "class")).select("key", "id", "n", "component")
-    state = rows.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"),
-        F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).where("low <> high")
-    once = state.groupBy("size", "who").agg(F.min("key").alias("key"))
-    return rows.join(once.select("key", "size"), "key")
+    parts = rows.groupBy("key", "component").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"))
+    state = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("size"), F.sum("who").alias("who"),
+                                     F.max(F.struct("n", "component")).alias("top")).where("parts > 1")
+    once = state.groupBy("size", "who").agg(F.min(F.struct("key", "top")).alias("first"))
+    once = once.select("first.key", "size", F.col("first.top.n").alias("held"), F.col("first.top.component").alias("top"))
+    return rows.join(once, "key")
+
+
+def _in_slices(mixed: DataFrame, turn: int, settings: Settings) -> DataFrame:
+    """Deal each bucket into slices of about ``settings.block`` rows, others at every turn; each row is in one."""
+    cut = F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("size") / settings.block))
+    return mixed.select(F.xxhash64("key", cut).alias("key"), "id", "n", "component")
 
 
 def _in_blocks(mixed: DataFrame, settings: Settings) -> DataFrame:
-    """Cut each bucket into blocks of ``settings.block`` rows; ``key`` now names a pair of blocks, so groups are bounded."""
-    blocks = F.ceil(F.col("size") / settings.block)
-    rows = mixed.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), blocks))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    """Cut each bucket into blocks of about ``settings.block`` rows; ``key`` now names a pair of blocks, so groups are bounded.
+
+    Blocks hold either the largest component of the bucket or the rest, and two
+    blocks of one component are never paired: a row of a bucket's largest
+    component is copied once for each block of the rest.
+    """
+    main = F.col("component") == F.col("top")
+    held, rest = F.ceil(F.col("held") / settings.block), F.ceil((F.col("size") - F.col("held")) / settings.block)
+    dealt = F.xxhash64("id", F.lit(7))
+    rows = mixed.withColumn("block", F.when(main, F.pmod(dealt, held)).otherwise(held + F.pmod(dealt, rest)))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(main, held).otherwise(F.lit(0).cast("long")), held + rest - 1)))
     name = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
     return rows.withColumn("key", name).select("key", "id", "n", "component")
 
@@ -242,6 +263,36 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield kept
 
 
+def _best(mixed: DataFrame, signs: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (a, b) worth a check: for each component of a group, its member nearest to another component by the short sketch."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches):
+            key, ids, n, component = (rows[c].to_numpy() for c in ("key", "id", "n", "component"))
+            sign = np.frombuffer(b"".join(rows["sign"].to_pylist()), np.uint8).reshape(len(key), -1)
+            score, mate = np.zeros(len(key)), np.full(len(key), -1)
+            lag = 1
+            while lag < len(key):
+                i = np.flatnonzero(key[:-lag] == key[lag:])  # rows at this distance in one group
+                if not len(i):
+                    break
+                i = i[component[i] != component[i + lag]]
+                i = i[may_link(sign[i], sign[i + lag], n[i], n[i + lag], settings, 1 / 256)]
+                near = (sign[i] == sign[i + lag]).mean(axis=-1)
+                for one, other in ((i, i + lag), (i + lag, i)):
+                    better = near > score[one]
+                    score[one[better]], mate[one[better]] = near[better], other[better]
+                lag += 1
+            i = np.flatnonzero(mate >= 0)
+            i = i[np.lexsort((-score[i], component[i], key[i]))]
+            first = np.append(True, (key[i][1:] != key[i][:-1]) | (component[i][1:] != component[i][:-1]))[: len(i)]
+            a, b = ids[i[first]], ids[mate[i[first]]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], ["a", "b"])
+
+    rows = mixed.join(signs, "id").select("key", "id", "n", "component", "sign")
+    rows = rows.repartition("key").sortWithinPartitions("key", "id")
+    return rows.mapInArrow(compare, "a long, b long").distinct()
+
+
 def _near(mixed: DataFrame, signs: DataFrame, settings: Settings) -> DataFrame:
     """Rows of groups for which the short sketch leaves room for a link to another component: at most one each."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,6 +346,12 @@ def _rest(near: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(join, "a long, b long").distinct()
 
 
+def _crowd(mixed: DataFrame, settings: Settings) -> tuple[int, int]:
+    """Rows in buckets of several components, and those among them outside the largest component of a bucket of several blocks."""
+    outside = (F.col("size") > settings.block) & (F.col("component") != F.col("top"))
+    return tuple(mixed.agg(F.count(F.lit(1)), F.count(F.when(outside, 1))).first())
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
@@ -303,8 +360,11 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     2. Representatives that share a band meet in a bucket, of which those with the
        same members count once; each is checked with the smallest id of all its
        buckets, and links give components.
-    3. Buckets that still hold several components are compared inside, block by
-       block, and the components are joined.
+    3. Buckets that still hold several components are dealt into slices. In each,
+       every component's nearest pair to another one is checked, and links join
+       components; new slices follow for as long as crowded buckets shrink.
+    4. What is still apart is compared inside each bucket, block by block, and the
+       components are joined.
 
     No pair that shares a band and links is left out, and no bucket is emitted
     as pairs. Documents without words or text link with nothing and keep their
@@ -331,9 +391,18 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         found = stage(_candidates(pairs, signs, settings), "candidates")
         links = stage(_check(found, docs, settings), "links")
         labels = stage(components(links), "labels")
-        mixed = _in_blocks(_mixed(members.select("key", "id", "n"), labels, settings), settings)
-        signs = whole.select("id", "sign")
-        near = stage(_near(mixed, signs, settings), "near")
+        members, signs = members.select("key", "id", "n"), whole.select("id", "sign")
+        mixed, turn, before = stage(_mixed(members, labels, settings), "mixed"), 0, None
+        while (crowd := _crowd(mixed, settings))[0] and (before is None or crowd[1] and crowd[1] <= 0.9 * before):
+            turn, before = turn + 1, crowd[1]
+            pairs = stage(_best(_in_slices(mixed, turn, settings), signs, settings), "pairs")
+            fresh = stage(_check(stage(_pivot_groups(pairs, settings)[0], "candidates"), docs, settings), "links")
+            if fresh.isEmpty():
+                break
+            links = stage(links.unionByName(fresh), "links")
+            labels = stage(components(links), "labels")
+            mixed = stage(_mixed(members, labels, settings), "mixed")
+        near = stage(_near(_in_blocks(mixed, settings), signs, settings), "near")
         if not near.isEmpty():
             links = links.unionByName(_rest(near, docs, settings))
             labels = stage(components(links), "labels")
