@@ -236,12 +236,15 @@ def _in_slices(mixed: DataFrame, turn: int, settings: Settings) -> DataFrame:
 def _in_blocks(mixed: DataFrame, settings: Settings) -> DataFrame:
     """Cut each bucket into blocks of about ``settings.block`` rows; ``key`` now names a pair of blocks, so groups are bounded.
 
-    Blocks hold either the largest component of the bucket or the rest, and two
-    blocks of one component are never paired: a row of a bucket's largest
-    component is copied once for each block of the rest.
+    Where it makes fewer rows, blocks hold either the largest component of the
+    bucket or the rest, and blocks of the largest are not paired with each other:
+    its rows are copied once for each block of the rest.
     """
-    main = F.col("component") == F.col("top")
     held, rest = F.ceil(F.col("held") / settings.block), F.ceil((F.col("size") - F.col("held")) / settings.block)
+    whole = F.ceil(F.col("size") / settings.block)
+    apart = F.col("held") * rest + (F.col("size") - F.col("held")) * (held + rest) < F.col("size") * whole
+    main = apart & (F.col("component") == F.col("top"))
+    held, rest = F.when(apart, held).otherwise(F.lit(0).cast("long")), F.when(apart, rest).otherwise(whole)
     dealt = F.xxhash64("id", F.lit(7))
     rows = mixed.withColumn("block", F.when(main, F.pmod(dealt, held)).otherwise(held + F.pmod(dealt, rest)))
     rows = rows.withColumn("other", F.explode(F.sequence(F.when(main, held).otherwise(F.lit(0).cast("long")), held + rest - 1)))
