@@ -339,6 +339,43 @@ def test_licences_are_inherited(make_docs):
     assert licenses.scan(make_docs([]), F.lit("a")).count() == 0
 
 
+def test_licences_in_headers_and_files(make_docs):
+    from panelyard.llm.license_texts import TEMPLATES
+
+    header = next(t for t in TEMPLATES["Apache-2.0"] if "in compliance with" in t and "governing" in t)
+    full = {n: max(TEMPLATES[n], key=len) for n in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "GPL-2.0", "GPL-3.0")}
+    wrapped = "".join(f"# {w}\n" if k % 7 == 6 else f"{w} " for k, w in enumerate(header.split()))
+    found = [("# SPDX-License-Identifier: Apache-2.0\nimport os", "Apache-2.0"), ("/* SPDX-License-Identifier: GPL-3.0-or-later */", "GPL-3.0"),
+             ("// SPDX-License-Identifier: (MIT OR GPL-2.0-only)", "(MIT OR GPL-2.0)"), ("SPDX-License-Identifier: NONE", None),
+             (header, "Apache-2.0"), (f"# Copyright 2020 A\n#\n# {wrapped}\nimport os\n" + "x = y + z\n" * 50, "Apache-2.0"),
+             ("Before it. Licensed under the Apache License, Version 2.0. And much text after it, on the same line as the sentence", "Apache-2.0"),
+             *[("Copyright (c) 2020 A\n\n" + re.sub(r"(.{60}\S*) ", r"\1\n", t), n) for n, t in full.items()],
+             ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"),
+             ("the law permits distribution of software and the terms of this work to any person", None)]
+    out = {r["doc_id"]: r["own"] for r in licenses.scan(make_docs([(k, t, "a", "r") for k, (t, _) in enumerate(found)]), F.lit("a/b")).collect()}
+    assert [out[k] for k in range(len(found))] == [n for _, n in found]
+
+
+def test_best_passage_equals_brute_force(texts):
+    matcher = licenses.Matcher(licenses.TEMPLATES, {}, 0)
+    vectors = [{w: matcher.vectors[k, n] for w, n in matcher.rank.items() if matcher.vectors[k, n]} for k in range(len(matcher.sizes))]
+    rng = np.random.default_rng(1)
+    vocabulary = [*list(matcher.rank)[:40], "foo", "bar"]
+    made = [" ".join(rng.choice(vocabulary) + "\n" * (rng.random() < 0.2) for _ in range(n)) for n in rng.integers(2, 90, 20)]
+    for text in [*made, *[t for _, t in texts[:20] if t and len(t) < 1500]]:
+        best, every = 0.0, [licenses._TOKEN.findall(line) for line in text.lower().split("\n")]
+        blocks, flat = [[]], sum(every, [])
+        for line in every:
+            blocks[-1].extend(line) if line else blocks.append([])
+        for size, vector in zip(matcher.sizes, vectors):
+            runs = [flat[k:k + size] for k in range(len(flat) - size + 1)]
+            for run in filter(None, [*every, *blocks, flat, *runs]):
+                unit = matcher._unit(collections.Counter(run))
+                best = max(best, sum(v * unit.get(w, 0.0) for w, v in vector.items()))
+        if len(set(flat) & set(matcher.rank)) > 1:
+            assert abs(matcher.best(text, 2.0)[1] - best) < 1e-9
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
