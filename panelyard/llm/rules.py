@@ -30,9 +30,8 @@ class Rule:
     reach: int = 3
 
 
-#: per mille of word characters, lines and words; hundredths of a character
-RULES = (Rule("symbol_permille", 20), Rule("dup_line_permille", 100), Rule("repeat_permille", 100),
-         Rule("word_length", 50, low=True, reach=4))
+#: per mille of word characters and lines; hundredths of a character. Repetition has the base cutoff only
+RULES = (Rule("symbol_permille", 20), Rule("dup_line_permille", 100), Rule("word_length", 50, low=True, reach=4))
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -69,7 +68,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def rule_values(rows: DataFrame) -> DataFrame:
-    """Add the integer value of each rule."""
+    """Add the integer value of each rule, and repeat_permille."""
     def permille(part: str, whole: str) -> Column:
         return F.expr(f"(1000 * {part}) div greatest({whole}, 1)")
 

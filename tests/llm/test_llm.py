@@ -230,6 +230,13 @@ def test_rules_of_awkward_rows(make_docs):
     assert rules.judge(make_docs([])).count() == 0
 
 
+def test_every_rule_can_reject_what_passes_the_base(make_docs):
+    most = {"repeat_permille": 300}  # the base lets no more through
+    assert all(r.reach * r.least < most.get(r.name, 1000) for r in rules.RULES if not r.low)
+    out = rules.judge(make_docs([(1, " ".join(f"w{k}" for k in range(40)), "en", "s")]))
+    assert "repeat_permille" in out.columns and "repeat_permille_high" not in out.columns
+
+
 def test_shards_match_the_mixture(spark, make_docs, monkeypatch):
     monkeypatch.setattr(sharding, "BUCKET_ROWS", 50)  # many buckets
     rows = [(i, f"text {i % 90}", "en", "hot" if i % 3 == 0 else f"s{i % 7}") for i in range(1000)] + [(None, None, None, None)] * 60
