@@ -412,7 +412,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         classes = classes.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     else:
         classes = classes.withColumn("component", F.col("id"))
-    out = sketches.select("doc_id", "n", "d1", "d2").join(classes.select("n", "d1", "d2", "component"), ["n", "d1", "d2"], "left")
+    out = attach(sketches.select("doc_id", "n", "d1", "d2"), classes.select("n", "d1", "d2", "component"), ["n", "d1", "d2"])
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -83,6 +83,19 @@ def test_near_duplicates_of_a_chain_and_blocks(spark, make_docs):
     assert got == brute_components(rows)
 
 
+def test_classes_come_back_by_a_salted_join(spark, make_docs):
+    rows = [(i, "the same copy of a text in every third row" if i % 3 == 0 else f"own text {i} of row {i * 7} here", "en", "s") for i in range(60)]
+    spark.conf.set("spark.panelyard.broadcastBytes", "0")
+    try:
+        out = neardup.near_duplicates(make_docs(rows))
+        last = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "__salt" in last
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.panelyard.broadcastBytes")
+    assert got == brute_components([r[:2] for r in rows])
+
+
 def test_components_of_long_chain_and_hub(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(1000, k) for k in range(1001, 1200)], "a long, b long")
     got = {r["id"]: r["component"] for r in components(links).collect()}
