@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.llm.common import ship
+from panelyard.plans.skew import attach
 from panelyard.plans.stage import stage
 
 BLOCK = 2048
@@ -154,7 +155,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     start = start.repartition(F.col("dim"), F.col("q_block"))
     least = stage(start.mapInArrow(first, "dim int, q_block long, least binary"), "least")
     ready = asked.join(least, ["dim", "q_block"])
-    pairs = rows.join(ready, "dim").select("dim", "q_ids", "q_vectors", "ids", "vectors", "least", "q_block", "block")
+    # one dimension holds all blocks: joined on it alone, all pairs would come out of one task
+    pairs = attach(rows, ready, ["dim"], "inner").select("dim", "q_ids", "q_vectors", "ids", "vectors", "least", "q_block", "block")
     pairs = pairs.repartition(F.col("dim"), F.col("q_block"), F.col("block"))
     found = pairs.mapInArrow(second, "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -172,6 +172,23 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_pairs_of_blocks_are_made_in_many_tasks(spark):
+    rng = np.random.default_rng(2)
+    vectors = rng.integers(-20, 20, (90, 4))
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    spark.conf.set("spark.panelyard.broadcastBytes", "0")
+    try:
+        out = topk.top_k(frame, frame.where("vec_id % 9 = 0"), k=5, block=8)
+        assert "__salt" in out._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r["query_id"], r["rank"]): r["vec_id"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.panelyard.broadcastBytes")
+    scores = (64 * vectors) @ (64 * vectors).T
+    for q in range(0, 90, 9):
+        best = sorted((i for i in range(90) if i != q), key=lambda i: (-scores[q, i], i))[:5]
+        assert [got[q, k + 1] for k in range(5)] == best
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(2)
     q, x = rng.integers(-99, 99, (20, 64)), rng.integers(-99, 99, (50, 64))
