@@ -19,7 +19,7 @@ from panelyard.plans.stage import stage
 @dataclass(frozen=True)
 class Settings:
     """``bands`` x ``rows`` registers. At a similarity of 0.75 a pair shares no band with probability
-    (1 - 0.75**rows)**bands = 1e-6, and less above it. ``margin`` is in standard errors of the estimate."""
+    (1 - 0.75**rows)**bands = 1e-6, and less above it; more for a few shingles (README). ``margin`` is in standard errors of the estimate."""
 
     words: int = 5
     percent: int = 75
