@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import licenses, lm, neardup, packing, pieces, quality, rules, sharding, topk, toxicity
+from panelyard.llm import lexical, licenses, lm, neardup, packing, pieces, quality, rules, runs, sharding, topk, toxicity
 from panelyard.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,44 @@ def op5_sampled_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), digest.alias("ids_crc32"), "lossless")
 
 
+def _planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text of all documents; of every tenth, by a digest of the id, the words from some place on are made periodic."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+
+    def periodic(words):
+        n, g = F.size(words), F.floor(h / 10)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        # the array is bound to a lambda variable, so that it is made once and not once a word
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        return F.when(n == 0, F.col("text")).otherwise(F.array_join(
+            F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(words, place(i.cast("long")).cast("int") + 1)), " "))
+
+    words = F.regexp_extract_all("text", F.lit("([^\\x20\\x09-\\x0D]+)"), F.lit(1))
+    made = F.transform(F.array(words), periodic)[0]
+    return docs.select("doc_id", F.when(h % 10 == 0, made).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_block_convolution(spark: SparkSession, sf: str) -> DataFrame:
+    rows = runs.periodic_runs(_planted(table(spark, sf, "documents")))
+    better = lambda a, b: a["length"] * b["period"] > b["length"] * a["period"]
+    best = F.aggregate(
+        "runs", F.col("runs")[0],
+        lambda a, b: F.when(better(b, a), b).otherwise(a))  # ties: the first in order of start, then period
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    rows = rows.withColumn("best", F.when(F.size("runs") > 0, best))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"), F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"))
+
+
+@query
+def op11_pipelined_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=50)
+
+
 ORACLE["op2_segment_top_k"] = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
@@ -86,3 +124,21 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) A
  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
 SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 20"""
+
+ORACLE["op11_pipelined_terms"] = """
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+whole AS (SELECT count(*) AS nd, sum(n)::BIGINT AS len FROM sizes),
+wanted AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY term, nd),
+found AS (SELECT tf.doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * nd) // len)))) AS c
+ FROM tf JOIN weights USING (term) JOIN sizes ON sizes.doc_id = tf.doc_id, whole),
+scores AS (SELECT item_id, doc_id, CAST(sum(c) AS BIGINT) AS score FROM wanted JOIN found USING (term) GROUP BY ALL),
+ranks AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k, doc_id, score
+ FROM scores WHERE score > 0)
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM ranks WHERE k <= 50"""
