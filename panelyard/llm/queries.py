@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import lexical, licenses, lm, neardup, packing, pieces, quality, rules, runs, sharding, topk, toxicity
+from panelyard.llm import lexical, licenses, lm, neardup, packing, pieces, quality, repeats, rules, runs, sharding, topk, toxicity
 from panelyard.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +117,14 @@ def op11_pipelined_terms(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=50)
 
 
+@query
+def op13_induced_suffixes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = repeats.remove_repeats(table(spark, sf, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["length"])
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 ORACLE["op2_segment_top_k"] = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
@@ -142,3 +150,19 @@ scores AS (SELECT item_id, doc_id, CAST(sum(c) AS BIGINT) AS score FROM wanted J
 ranks AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k, doc_id, score
  FROM scores WHERE score > 0)
 SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM ranks WHERE k <= 50"""
+
+ORACLE["op13_induced_suffixes"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, s, md5(substring(x, CAST(2 * s + 1 AS BIGINT), 200)) AS g
+ FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS s FROM d WHERE n >= 100)),
+f AS (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) > 1 AS later FROM w),
+e AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 100 THEN 0 ELSE 1 END AS fresh FROM f WHERE later),
+g AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM e),
+r AS (SELECT doc_id, k, min(s) AS a, max(s) + 100 AS b FROM g GROUP BY ALL),
+c AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM r),
+p AS (SELECT c.doc_id, a, substring(x, CAST(2 * z + 1 AS BIGINT), CAST(2 * (a - z) AS BIGINT)) AS part, b FROM c JOIN d USING (doc_id)),
+k AS (SELECT doc_id, string_agg(part, '' ORDER BY a) AS head, max(b) AS z, sum(b - a) AS removed, count(*) AS spans
+ FROM (SELECT p.doc_id, p.a, p.b, p.part FROM p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+ sha256(unhex(coalesce(head, '') || substring(x, CAST(2 * coalesce(z, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)"""
