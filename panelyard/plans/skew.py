@@ -40,20 +40,41 @@ def broadcast_bytes(spark: SparkSession) -> int:
 # --- size-checked joins -------------------------------------------------------
 
 
+def _value_bytes(kind: T.DataType, c: Column) -> int | Column:
+    """Bytes of one value in memory: a number where all values of the type are alike, else a column."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        inner = [_value_bytes(f.dataType, c[f.name]) for f in kind.fields]
+        return reduce(lambda a, b: a + b, inner, 16)
+    if isinstance(kind, T.ArrayType):
+        return _items_bytes(kind.elementType, c)
+    if isinstance(kind, T.MapType):
+        return _items_bytes(kind.keyType, F.map_keys(c)) + _items_bytes(kind.valueType, F.map_values(c))
+    if isinstance(kind, T.DecimalType):
+        return 24
+    if isinstance(kind, T.AtomicType) and not isinstance(kind, T.VariantType) or isinstance(kind, T.NullType):
+        return 8
+    raise TypeError(f"size of {kind.simpleString()} cannot be measured")
+
+
+def _items_bytes(kind: T.DataType, c: Column) -> Column:
+    each = _value_bytes(kind, c[0])
+    if isinstance(each, int):
+        return F.coalesce(F.size(c), F.lit(0)) * each + 24
+    total = F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + _value_bytes(kind, x))
+    return F.coalesce(total, F.lit(0)) + 24
+
+
 def measured_bytes(df: DataFrame) -> int:
-    """In-memory size of a small staged table: fixed widths plus counted lengths."""
+    """In-memory size of a small staged table: fixed widths plus counted lengths, at every depth of its columns."""
     fixed, counted = 16, []
     for f in df.schema.fields:
-        if isinstance(f.dataType, T.StringType):
-            counted.append(F.sum(F.octet_length(f.name)))
-            fixed += 16
-        elif isinstance(f.dataType, T.ArrayType):
-            inner = f.dataType.elementType
-            width = 8 * (len(inner.fields) + 3) if isinstance(inner, T.StructType) else 16
-            counted.append(F.sum(F.greatest(F.size(f.name), F.lit(0)) * width))
-            fixed += 16
+        each = _value_bytes(f.dataType, F.col(f"`{f.name}`"))
+        if isinstance(each, int):
+            fixed += each
         else:
-            fixed += 8
+            counted.append(F.sum(each))
     row = df.agg(F.count(F.lit(1)), *counted).first()
     return row[0] * fixed + sum(v or 0 for v in row[1:])
 
@@ -62,7 +83,9 @@ def salted_join(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "
     """Shuffle join that spreads each key of ``df`` over ``SALTS`` tasks.
 
     ``how`` is one of inner, left, left_semi, left_anti: the kinds in which
-    repeating the right side per salt cannot repeat a result row.
+    repeating the right side per salt cannot repeat a result row. The salt
+    is a digest of the row, not a random number, so a repeated task deals its
+    rows as before, whatever their order; rows equal in every column stay together.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join does not support how={how}")

@@ -95,3 +95,24 @@ def test_running_totals(spark, descending):
     got = skew.running_totals(df, ["g"], "k", {"c": "run"}, descending=descending).toPandas()
     want = got["k"] + 1 if not descending else 200 - got["k"]
     assert (got["run"] == want).all() and len(got) == 400
+
+
+def test_measured_bytes_of_every_kind_of_column(spark):
+    """Sizes of long values are counted wherever they are; a type without a known size is refused."""
+    big = 100_000
+    for value in (f"repeat('x', {big})", f"cast(repeat('x', {big}) as binary)", f"array(repeat('x', {big}))",
+                  f"named_struct('a', 1, 'b', repeat('x', {big}))", f"map('k', repeat('x', {big}))",
+                  f"array(named_struct('a', array(cast(repeat('x', {big}) as binary))))", f"array_repeat(1L, {big // 8})"):
+        size = skew.measured_bytes(spark.range(3).selectExpr("id", f"{value} AS v"))
+        assert 3 * big <= size <= 4 * big, value
+    assert skew.measured_bytes(spark.sql("SELECT CAST(NULL AS binary) AS b, CAST(NULL AS array<string>) AS a, 1.5BD AS d")) < 200
+    with pytest.raises(TypeError, match="measured"):
+        skew.measured_bytes(spark.sql("SELECT parse_json('{}') AS v"))
+
+
+def test_a_table_of_long_binaries_is_not_broadcast(spark):
+    """100 MB of binary values take the salted join with the limit as it is."""
+    table = spark.range(100).selectExpr("id AS k", "cast(repeat('x', 1000000) as binary) AS b")
+    out = skew.attach(spark.range(1000).selectExpr("id % 100 AS k"), table, ["k"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "__salt" in plan and "broadcast" not in plan.lower()
