@@ -203,14 +203,20 @@ def _join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner")
 
 def _bytes_of(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
     """key, doc_id, at, data of segments (doc_id, at, shape, key), cut from their texts."""
-    lists = stage(wanted.groupBy("doc_id").agg(F.collect_set(F.struct("at", "shape", "key")).alias("wanted")), "wanted")
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # three numbers a segment, a third of what an array of structs takes
+            packed = [np.stack([parts.values.field(k).to_numpy() for k in range(3)], axis=1).tobytes() for parts in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "wanted"])
+
+    lists = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("at", "shape", "key")).alias("wanted"))
+    lists = stage(lists.mapInArrow(pack, "doc_id long, wanted binary"), "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
-            for doc_id, data, wanted in zip(batch.column(0).to_pylist(), byte_rows(batch.column(1)), batch.column(2), strict=True):
-                tag, parts = tag_of(data), wanted.values
-                for at, shape, key in zip(*[parts.field(k).to_pylist() for k in range(3)], strict=True):
+            for doc_id, data, wanted in zip(batch.column(0).to_pylist(), byte_rows(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                tag = tag_of(data)
+                for at, shape, key in np.frombuffer(wanted, np.int64).reshape(-1, 3).tolist():
                     if at & ((1 << TAG_BITS) - 1) == tag:
                         start, windows = at >> TAG_BITS, shape & ((1 << WIDTH_BITS) - 1)
                         for column, value in zip(out, (key, doc_id, at, data[start:start + windows + settings.span - 1]), strict=True):
