@@ -30,18 +30,20 @@ MARKS = "doc_id long, at long, shape long"
 class Settings:
     """``span`` bytes make a repeat; ``gram`` bytes an anchor.
 
-    Texts are looked through in chunks of about ``chunk_bytes`` (below 2 MB). A shard has about ``shard_bytes``, and only anchors with at most ``crowd``
-    segments go to shards. Anchors whose segments are too many for a task to see
-    are those with over ``crowd``, or with more than ``1 / most_crowded`` of all
-    segments, if that is more: at most ``most_crowded`` anchors.
+    Texts are looked through in chunks of about ``chunk_bytes`` (below 2 MB). A shard
+    has about ``shard_bytes``; anchors with over ``shard_segments`` segments of
+    different bytes do not go to shards. The segments of one anchor are judged by
+    one task, up to ``crowd`` or, if that is more, one ``most_crowded``-th of all;
+    of those beyond, at most ``most_crowded``, no task sees all.
     """
 
     span: int = 100
     gram: int = 24
     shard_bytes: int = 1 << 20
     chunk_bytes: int = 1 << 19
-    crowd: int = 10_000
-    most_crowded: int = 1_000_000
+    shard_segments: int = 10_000
+    crowd: int = 1_000_000
+    most_crowded: int = 100_000
 
 
 # --- anchors and segments ---------------------------------------------------------
@@ -178,7 +180,7 @@ def _judge_plain(segments: DataFrame, counts: DataFrame, settings: Settings) ->
     anchor = Window.partitionBy("key")
     equal = Window.partitionBy("key", "d1", "d2").orderBy("doc_id", "at")
     other = [F.min(c).over(anchor) != F.max(c).over(anchor) for c in ("d1", "d2")]
-    wide = F.count(F.lit(1)).over(anchor) > settings.crowd
+    wide = F.count(F.lit(1)).over(anchor) > settings.shard_segments
     return _judged(rows, F.first(F.struct("doc_id", "at")).over(equal), other[0] | other[1], wide)
 
 

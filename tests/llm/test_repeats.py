@@ -72,9 +72,9 @@ def passages():
     return rows
 
 
-@pytest.mark.parametrize("small", [repeats.Settings(), repeats.Settings(crowd=3, most_crowded=10_000, shard_bytes=4000, chunk_bytes=1000)])
+@pytest.mark.parametrize("small", [repeats.Settings(), repeats.Settings(crowd=8, most_crowded=10_000, shard_segments=3, shard_bytes=4000, chunk_bytes=1000)])
 def test_removal_equals_brute_force(make_docs, small, monkeypatch):
-    if small.crowd == 3:  # joins by a shuffle too
+    if small.crowd == 8:  # joins by a shuffle too
         monkeypatch.setattr(repeats, "broadcast_bytes", lambda spark: 0)
     rows = passages()
     docs = make_docs([(i, t, "en", "s") for i, t in rows]).repartition(4)
