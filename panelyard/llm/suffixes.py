@@ -23,28 +23,48 @@ def _buckets(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.unique(np.append(np.clip(cuts, 0, len(begin) - 1), [0, len(begin) - 1]))
 
 
+def _by_character(s: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The suffixes ``of``, by character; few characters are counted, not compared."""
+    chars = s[of]
+    return of[np.argsort(chars.astype(np.uint16) if s.max() < 1 << 16 else chars, kind="stable")]
+
+
 def _induce(s: np.ndarray, of: np.ndarray, place: np.ndarray, begin: np.ndarray, cuts: np.ndarray, upward: bool) -> None:
-    """Give ``place`` to the suffixes ``of`` one type: by character, then by the place of the next suffix.
+    """Give ``place`` to the suffixes ``of`` one type (sorted by character): by character, then by the place of the next suffix.
 
     Groups of characters go upward for type L (places from the front of each
     bucket) and downward for type S (from its back). The next suffix has its
-    place already, unless it is of the same group; such chains are short, and the
-    group is put in order again until nothing moves.
+    place already, unless it is of the same group. In a group of one character,
+    such a suffix lies behind (S: before) all that have the next one's place, in
+    that one's order. In a group of several, chains are short, and the group is
+    put in order again until nothing moves.
     """
-    of = of[np.argsort(s[of], kind="stable")]
     chars = s[of]
     bounds = np.searchsorted(chars, cuts)
     count = np.bincount(chars, minlength=len(begin) - 1)
     first = begin[:-1] if upward else begin[1:] - count
     n = np.int64(len(s))
-    groups = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
-    for a, b in groups if upward else reversed(groups):
+    groups = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), cuts[:-1].tolist(), np.diff(cuts).tolist(), strict=True))
+    for a, b, char, width in groups if upward else reversed(groups):
         if a == b:
             continue
-        own, char = of[a:b], chars[a:b]
+        own = of[a:b]
+        behind = place[own + 1]
+        if width == 1:
+            known = behind >= 0
+            wave = own[known]
+            wave = wave[np.argsort(behind[known])]
+            waves, left = [wave], b - a - len(wave)
+            while left:  # before place 0 comes, by index -1, the last character, which is no other
+                wave = wave[s[wave - 1] == char] - 1
+                waves.append(wave)
+                left -= len(wave)
+            place[np.concatenate(waves if upward else waves[::-1])] = np.arange(first[char], first[char] + b - a)
+            continue
+        char = chars[a:b]
         # the k-th suffix of a character has the k-th of its places
         slots = first[char] + np.arange(b - a) - np.searchsorted(char, char)
-        chained = (place[own + 1] < 0).any()
+        chained = (behind < 0).any()
         place[own] = slots
         while True:
             order = np.argsort(char * n + place[own + 1])  # all different
@@ -55,8 +75,8 @@ def _induce(s: np.ndarray, of: np.ndarray, place: np.ndarray, begin: np.ndarray,
             place[moved] = slots
 
 
-def _sorted_by(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, begin: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Place of every suffix, induced from the leftmost-smaller ones in the order ``seeds``."""
+def _sorted_by(s: np.ndarray, types: tuple[np.ndarray, np.ndarray], seeds: np.ndarray, begin: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Place of every suffix, induced from the leftmost-smaller ones in the order ``seeds``; ``types`` are all L and all S by character."""
     n = len(s)
     place = np.full(n + 1, -1, np.int64)
     chars = s[seeds]
@@ -64,10 +84,10 @@ def _sorted_by(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, begin: np.nd
     count = np.bincount(chars, minlength=len(begin) - 1)
     chars = chars[order]
     place[seeds[order]] = begin[chars + 1] - count[chars] + np.arange(len(seeds)) - np.searchsorted(chars, chars)
-    _induce(s, np.flatnonzero(~small), place, begin, cuts, True)
-    place[:n][small] = -1
+    _induce(s, types[0], place, begin, cuts, True)
+    place[types[1]] = -1
     place[n - 1] = 0  # the end, before all others
-    _induce(s, np.flatnonzero(small)[:-1], place, begin, cuts, False)
+    _induce(s, types[1], place, begin, cuts, False)
     return place[:n]
 
 
@@ -104,12 +124,13 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     small = classify(s)
     left = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     begin, cuts = _buckets(s)
-    place = _sorted_by(s, small, left, begin, cuts)
+    types = _by_character(s, np.flatnonzero(~small)), _by_character(s, np.flatnonzero(small)[:-1])
+    place = _sorted_by(s, types, left, begin, cuts)
     ordered = left[np.argsort(place[left])]
     names = _names(s, left, ordered)
     if names.max(initial=0) + 1 < len(left):
         ordered = left[suffix_array(names)]
-    place = _sorted_by(s, small, ordered, begin, cuts)
+    place = _sorted_by(s, types, ordered, begin, cuts)
     out = np.empty(n, np.int64)
     out[place] = np.arange(n)
     return out
