@@ -31,7 +31,8 @@ class Settings:
     """``span`` bytes make a repeat; ``gram`` bytes an anchor.
 
     Texts are looked through in chunks of about ``chunk_bytes`` (below 2 MB). A shard
-    has about ``shard_bytes``; anchors with over ``shard_segments`` segments of
+    has about ``shard_bytes``, a partition about ``partition_bytes`` of them unless
+    the session asks for more partitions; anchors with over ``shard_segments`` segments of
     different bytes do not go to shards. The segments of one anchor are judged by
     one task, up to ``crowd`` or, if that is more, one ``most_crowded``-th of all;
     of those beyond, at most ``most_crowded``, no task sees all.
@@ -39,7 +40,8 @@ class Settings:
 
     span: int = 100
     gram: int = 24
-    shard_bytes: int = 1 << 20
+    shard_bytes: int = 1 << 18
+    partition_bytes: int = 1 << 26
     chunk_bytes: int = 1 << 19
     shard_segments: int = 10_000
     crowd: int = 1_000_000
@@ -261,23 +263,23 @@ def shard_repeats(ids: np.ndarray, at: np.ndarray, parts: list[bytes], span: int
 def _sorted_shards(rows: DataFrame, settings: Settings) -> DataFrame:
     """Marks of the windows in rows (key, doc_id, at, data) that repeat an earlier one; anchors are never split over shards."""
     total = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    shards = max(1, -(-total // settings.shard_bytes))
+    # a partition holds many shards, one after the other; partitions grow in number with the rows
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(-(-total // settings.shard_bytes), max(least, -(-total // settings.partition_bytes))))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        rest = None
         for batch in batches:
-            held.append(batch)
-            size += batch.column(3).get_total_buffer_size()
-            if size >= 2 * settings.shard_bytes:  # a large partition: as many whole anchors as a shard takes
-                whole = pa.Table.from_batches(held).combine_chunks()
-                keys = whole["key"].to_numpy()
-                cut = int(np.count_nonzero(keys != keys[-1]))
-                if cut:
-                    yield _marks(whole.slice(0, cut))
-                    held = whole.slice(cut).combine_chunks().to_batches()
-                    size = sum(b.column(3).get_total_buffer_size() for b in held)
-        if held:
-            yield _marks(pa.Table.from_batches(held))
+            rest = pa.Table.from_batches([*(rest.to_batches() if rest else ()), batch]).combine_chunks()
+            key, size = rest["key"].to_numpy(), np.cumsum([len(d) for d in rest["data"].to_pylist()])
+            begin, done = 0, 0
+            for end in (np.flatnonzero(key[1:] != key[:-1]) + 1).tolist():
+                if size[end - 1] - done >= settings.shard_bytes:
+                    yield _marks(rest.slice(begin, end - begin))
+                    begin, done = end, size[end - 1]
+            rest = rest.slice(begin)
+        if rest:
+            yield _marks(rest)
 
     def _marks(shard: pa.Table) -> pa.RecordBatch:
         ids, at = shard["doc_id"].to_numpy(), shard["at"].to_numpy()
@@ -287,7 +289,7 @@ def _sorted_shards(rows: DataFrame, settings: Settings) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [pa.array(ids[segment]), pa.array(at[segment] + (first << TAG_BITS)), pa.array(shape)], ["doc_id", "at", "shape"])
 
-    return rows.repartition(shards, "key").sortWithinPartitions("key").mapInArrow(work, MARKS)
+    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(work, MARKS)
 
 
 def _single_windows(rows: DataFrame, settings: Settings) -> DataFrame:

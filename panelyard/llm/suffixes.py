@@ -6,6 +6,7 @@ import numpy as np
 
 #: characters are induced in groups of neighbours, so that large alphabets need no step for each character
 GROUPS = 256
+GROUP_LEAST = 1024
 
 
 def classify(s: np.ndarray) -> np.ndarray:
@@ -19,7 +20,8 @@ def classify(s: np.ndarray) -> np.ndarray:
 def _buckets(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First place of each character's suffixes, with the end of the last, and the characters' groups."""
     begin = np.concatenate(([0], np.cumsum(np.bincount(s))))
-    cuts = np.searchsorted(begin, np.linspace(0, len(s), GROUPS + 1), "right") - 1
+    groups = max(1, min(GROUPS, len(s) // GROUP_LEAST))
+    cuts = np.searchsorted(begin, np.linspace(0, len(s), groups + 1), "right") - 1
     return begin, np.unique(np.append(np.clip(cuts, 0, len(begin) - 1), [0, len(begin) - 1]))
 
 
@@ -78,7 +80,7 @@ def _induce(s: np.ndarray, of: np.ndarray, place: np.ndarray, begin: np.ndarray,
 def _sorted_by(s: np.ndarray, types: tuple[np.ndarray, np.ndarray], seeds: np.ndarray, begin: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Place of every suffix, induced from the leftmost-smaller ones in the order ``seeds``; ``types`` are all L and all S by character."""
     n = len(s)
-    place = np.full(n + 1, -1, np.int64)
+    place = np.full(n + 1, -1, np.int32)
     chars = s[seeds]
     order = np.argsort(chars, kind="stable")
     count = np.bincount(chars, minlength=len(begin) - 1)
@@ -93,7 +95,7 @@ def _sorted_by(s: np.ndarray, types: tuple[np.ndarray, np.ndarray], seeds: np.nd
 
 def _names(s: np.ndarray, left: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Number of each leftmost-smaller substring, in text order: equal substrings share one."""
-    index = np.zeros(len(s), np.int64)
+    index = np.zeros(len(s), np.int32)
     index[left] = np.arange(len(left))
     ends = np.append(left[1:], len(s) - 1)
     length = (ends - left + 1)[index[ordered]]
@@ -105,7 +107,7 @@ def _names(s: np.ndarray, left: np.ndarray, ordered: np.ndarray) -> np.ndarray:
         same = s[a[open_] + k] == s[b[open_] + k]
         equal[open_[~same]] = False
         open_, k = open_[same], k + 1
-    names = np.zeros(len(left), np.int64)
+    names = np.zeros(len(left), np.int32)
     names[index[ordered]] = np.concatenate(([0], np.cumsum(~equal)))
     return names
 
@@ -117,21 +119,21 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     and numbered, their order found recursively where numbers repeat, and all
     suffixes induced from it.
     """
-    s = s.astype(np.int64)
+    s = s.astype(np.int32)  # a shard is far below 2**31 characters
     n = len(s)
     if n == 1:
-        return np.zeros(1, np.int64)
+        return np.zeros(1, np.int32)
     small = classify(s)
     left = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     begin, cuts = _buckets(s)
-    types = _by_character(s, np.flatnonzero(~small)), _by_character(s, np.flatnonzero(small)[:-1])
+    types = _by_character(s, np.flatnonzero(~small).astype(np.int32)), _by_character(s, np.flatnonzero(small)[:-1].astype(np.int32))
     place = _sorted_by(s, types, left, begin, cuts)
     ordered = left[np.argsort(place[left])]
     names = _names(s, left, ordered)
     if names.max(initial=0) + 1 < len(left):
         ordered = left[suffix_array(names)]
     place = _sorted_by(s, types, ordered, begin, cuts)
-    out = np.empty(n, np.int64)
+    out = np.empty(n, np.int32)
     out[place] = np.arange(n)
     return out
 
