@@ -26,6 +26,7 @@ MAX_HOT_GROUPS = 100_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
 SKETCH_ACCURACY = 10_000
+SKETCH_CUTS = 128
 WIDE_QUANTILE_COLUMNS = 64
 
 
@@ -313,8 +314,8 @@ def quantile_table(df: DataFrame, group: Sequence[str], cols: Sequence[str], pro
     """Exact linear-interpolated quantiles: one row per group, an array per column.
 
     Ordinary groups use the exact ``percentile`` aggregate. Hot groups (or the
-    whole table) are narrowed by a mergeable sketch to a thin bracket around each
-    wanted position and then counted exactly, so no state holds a whole group.
+    whole table) are narrowed by sketches and exact counts, round after round, to
+    brackets that one task may see, so no state holds a whole group.
     """
     group, cols, probs = list(group), list(cols), [float(p) for p in probs]
     data = df.select(*group, *[F.col(c).cast("double").alias(c) for c in cols])
@@ -348,58 +349,109 @@ def _percentiles(df, group, cols, probs):
 
 
 def _select_quantiles(long: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
-    """Exact order statistics of large groups without moving the groups."""
-    spread, done, todo = 4.0 / SKETCH_ACCURACY, [], long
-    while True:
-        picked = stage(_bracket_pick(todo, keys, probs, spread), "quantiles")
-        missed = picked.where(F.exists("__q", lambda q: q.isNull()))
-        done.append(picked.where(~F.exists("__q", lambda q: q.isNull())))
-        if missed.isEmpty():
-            return reduce(DataFrame.unionByName, done)
-        # the sketch missed a position: widen the brackets of those groups only;
-        # from spread 1 on the bracket is the whole value range
-        todo = long.join(F.broadcast(missed.select(*keys)), keys, "left_semi")
-        spread *= 16
-
-
-def _bracket_pick(long, keys, probs, spread):
-    edges = [e for p in probs for e in (max(p - spread, 0.0), min(p + spread, 1.0))]
-    sketch = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
-        F.percentile_approx("__v", edges, SKETCH_ACCURACY).alias("__cuts"))
-    n = F.col("__n")
-    wanted = []
-    for i, p in enumerate(probs):
-        at = (n - 1) * F.lit(p)
-        lo = F.col("__min") if edges[2 * i] == 0.0 else F.col("__cuts")[2 * i]
-        hi = F.col("__max") if edges[2 * i + 1] == 1.0 else F.col("__cuts")[2 * i + 1]
-        wanted.append(F.struct(F.lit(i).alias("p"), at.alias("at"), lo.alias("lo"), hi.alias("hi")))
+    """Exact order statistics of large groups without moving the groups.
+
+    Each wanted position starts with the whole group as its bracket. A mergeable
+    sketch inside the bracket proposes three values; counting the rows before,
+    between and at them is exact and tells in which part the position lies, so the
+    part becomes the next bracket, however far off the sketch is. The middle value
+    is one of the bracket's, so every round leaves something out. Once a bracket
+    holds one value or as few rows as a task may see, its values are counted.
+    """
+    limit = rows_per_task(long.sparkSession)
+    ranks = [f(p) for p in probs for f in (_low_rank, _high_rank)]
+    whole = long.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), _cuts(F.col("__v")).alias("__c"))
+    start = [F.struct(
+        rank.alias("k"), F.col("__min").alias("lo"), F.col("__max").alias("hi"), F.lit(0).cast("long").alias("below"),
+        F.col("__n").alias("inside"), F.col("__c").alias("cuts")) for rank in ranks]
     # one row per hot group: bounded by MAX_HOT_GROUPS times the column count
-    brackets = stage(sketch.select(*keys, F.array(*wanted).alias("__b")), "brackets")
-    rows = attach_brackets(long, brackets, keys)
-    below = rows.groupBy(*keys).agg(
-        F.array(*[F.count_if(F.col("__v") < F.col("__b")[i]["lo"]) for i in range(len(probs))]).alias("__below"))
-    inside = (
-        rows.withColumn("__hit", F.explode(F.filter("__b", lambda b: F.col("__v").between(b["lo"], b["hi"]))))
-        .groupBy(*keys, F.col("__hit")["p"].alias("__p"), "__v")
-        .agg(F.count(F.lit(1)).alias("__m"), F.first(F.col("__hit")["at"]).alias("__at"))
-    )
-    inside = inside.join(below, keys).withColumn("__base", F.col("__below")[F.col("__p")])
-    run = Window.partitionBy(*keys, "__p").orderBy("__v")
-    inside = inside.withColumn("__end", F.col("__base") + F.sum("__m").over(run))
-    start = F.col("__end") - F.col("__m")
-    lo_i, hi_i = F.floor("__at"), F.ceil("__at")
-
-    def at_index(i):
-        return F.max(F.when((start <= i) & (i < F.col("__end")), F.col("__v")))
-
-    picked = inside.groupBy(*keys, "__p").agg(
-        at_index(lo_i).alias("__x"), at_index(hi_i).alias("__y"), F.first("__at").alias("__at"))
-    lo_w, hi_w = F.floor("__at") + 1 - F.col("__at"), F.col("__at") - F.floor("__at")
-    # the weighted form of Spark's percentile; a whole position takes the value itself
-    value = F.when(hi_w == 0, F.col("__x")).otherwise(F.col("__x") * lo_w + F.col("__y") * hi_w)
-    return picked.groupBy(*keys).agg(
-        F.array(*[F.max(F.when(F.col("__p") == i, value)) for i in range(len(probs))]).alias("__q"))
+    state = stage(whole.select(*keys, "__n", F.array(*start).alias("__b")), "brackets")
+    while not state.where(F.exists("__b", lambda b: _open(b, limit))).isEmpty():
+        narrow = stage(_narrowed(long, state, keys, len(ranks), limit), "brackets")
+        rows = attach_brackets(long, narrow.where(F.exists("__b", lambda b: _open(b, limit))), keys)
+        again = [_cuts(F.when(_open(b, limit) & F.col("__v").between(b["lo"], b["hi"]), F.col("__v"))) for b in _each(len(ranks))]
+        cuts = rows.groupBy(*keys).agg(F.array(*again).alias("__again"))
+        new = F.transform("__b", lambda b, i: b.withField("cuts", F.coalesce(F.col("__again")[i], b["cuts"])))
+        state = stage(narrow.join(cuts, keys, "left").select(*keys, "__n", new.alias("__b")), "brackets")
+    return _pick(long, state, keys, probs, ranks)
+
+
+def _low_rank(p: float) -> Column:
+    return F.floor((F.col("__n") - 1) * F.lit(p))
+
+
+def _high_rank(p: float) -> Column:
+    return F.ceil((F.col("__n") - 1) * F.lit(p))
+
+
+def _cuts(v: Column) -> Column:
+    return F.percentile_approx(v, [i / SKETCH_CUTS for i in range(SKETCH_CUTS + 1)], SKETCH_ACCURACY)
+
+
+def _each(n: int) -> list[Column]:
+    return [F.col("__b")[i] for i in range(n)]
+
+
+def _open(b: Column, limit: int) -> Column:
+    return (b["inside"] > limit) & (b["lo"] < b["hi"])
+
+
+def _narrowed(long: DataFrame, state: DataFrame, keys: list[str], n: int, limit: int) -> DataFrame:
+    """Brackets cut down to the part that holds their position: counts alone decide, combined map-side."""
+    at = F.transform("__b", lambda b: F.floor((b["k"] - b["below"]) / b["inside"] * SKETCH_CUTS).cast("int"))
+    proposed = F.zip_with("__b", at, lambda b, g: F.struct(
+        *[b[f] for f in ("k", "lo", "hi", "below", "inside", "cuts")],
+        b["cuts"][F.greatest(g - 1, F.lit(0))].alias("x"), b["cuts"][g].alias("y"),
+        b["cuts"][F.least(g + 2, F.lit(SKETCH_CUTS))].alias("z")))
+    state = state.select(*keys, "__n", proposed.alias("__b"))
+    v = F.col("__v")
+    counted = []
+    for i, b in enumerate(_each(n)):
+        inside = _open(b, limit) & v.between(b["lo"], b["hi"])
+        parts = [v < b["x"], (v >= b["x"]) & (v < b["y"]), v == b["y"], (v > b["y"]) & (v <= b["z"]), v > b["z"]]
+        counted.append(F.array(*[
+            F.struct(F.count_if(inside & part).alias("n"), F.min(F.when(inside & part, v)).alias("lo"),
+                     F.max(F.when(inside & part, v)).alias("hi")) for part in parts]).alias(f"__p{i}"))
+    counts = attach_brackets(long, state, keys).groupBy(*keys).agg(*counted)
+    out = []
+    for i, b in enumerate(_each(n)):
+        parts, chosen, before = F.col(f"__p{i}"), None, b["below"]
+        for j in range(5):
+            part = F.struct(b["k"].alias("k"), parts[j]["lo"].alias("lo"), parts[j]["hi"].alias("hi"), before.alias("below"),
+                            parts[j]["n"].alias("inside"), b["cuts"].alias("cuts"))
+            here = b["k"] < before + parts[j]["n"]
+            chosen = F.when(here, part) if chosen is None else chosen.when(here, part)
+            before = before + parts[j]["n"]
+        kept = F.struct(*[b[f].alias(f) for f in ("k", "lo", "hi", "below", "inside", "cuts")])
+        out.append(F.when(_open(b, limit), chosen).otherwise(kept))
+    return state.join(counts, keys).select(*keys, "__n", F.array(*out).alias("__b"))
+
+
+def _pick(long: DataFrame, state: DataFrame, keys: list[str], probs: list[float], ranks: list[Column]) -> DataFrame:
+    """Values at the positions of closed brackets, interpolated; a bracket's rows are within the bound of a task."""
+    numbered = F.transform("__b", lambda b, i: F.struct(i.alias("t"), *[b[f] for f in ("k", "lo", "hi", "below")]))
+    state = state.select(*keys, "__n", numbered.alias("__b"))
+    alone = state.select(*keys, F.explode("__b").alias("b")).where("b.lo = b.hi").select(
+        *keys, F.col("b.t").alias("__t"), F.col("b.lo").alias("__x"))
+    hit = F.filter("__b", lambda b: (b["lo"] < b["hi"]) & F.col("__v").between(b["lo"], b["hi"]))
+    inside = attach_brackets(long, state, keys).select(*keys, "__v", F.explode(hit).alias("b"))
+    bracket = [*keys, "__t"]
+    counts = inside.groupBy(*keys, F.col("b.t").alias("__t"), "__v").agg(
+        F.count(F.lit(1)).alias("__m"), F.first(F.col("b.k") - F.col("b.below")).alias("__at"))
+    end = F.sum("__m").over(Window.partitionBy(*bracket).orderBy("__v"))  # at most the rows of a closed bracket
+    found = counts.withColumn("__end", end).where((F.col("__end") > F.col("__at")) & (F.col("__end") - F.col("__m") <= F.col("__at")))
+    found = alone.unionByName(found.select(*bracket, F.col("__v").alias("__x")))
+    x = found.groupBy(*keys).agg(F.array(*[F.max(F.when(F.col("__t") == t, F.col("__x"))) for t in range(len(ranks))]).alias("__x"))
+    x = x.join(state.select(*keys, "__n"), keys)
+    values = []
+    for i, p in enumerate(probs):
+        at = (F.col("__n") - 1) * F.lit(p)
+        lo_w, hi_w = F.floor(at) + 1 - at, at - F.floor(at)
+        lo, hi = F.col("__x")[2 * i], F.col("__x")[2 * i + 1]
+        # the weighted form of Spark's percentile; a whole position takes the value itself
+        values.append(F.when(hi_w == 0, lo).otherwise(lo * lo_w + hi * hi_w))
+    return x.select(*keys, F.array(*values).alias("__q"))
 
 
 def attach_brackets(long, brackets, keys):
@@ -419,9 +471,12 @@ def running_totals(
 
     Rows are range-partitioned and staged; each partition is summed locally and
     shifted by the totals of earlier partitions (one small row per partition).
+    Without ``parts`` there are as many partitions as the counted rows need.
     """
     key = F.col(order).desc() if descending else F.col(order).asc()
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        df = stage(df, "prefix")
+        parts = max(2, -(-df.count() // rows_per_task(df.sparkSession)))
     rows = stage(
         df.repartitionByRange(parts, *[F.col(c) for c in group], key).withColumn("__pid", F.spark_partition_id()),
         "prefix")
@@ -431,8 +486,7 @@ def running_totals(
     totals = totals.select("__pid", *group, *[
         F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__before_{c}") for c in sums])
     local = Window.partitionBy("__pid", *group).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    # at most partitions + groups rows on the broadcast side
-    joined = rows.join(F.broadcast(totals), ["__pid", *group])
+    joined = attach(rows, totals, ["__pid", *group], "inner")  # partitions + groups rows
     return joined.select(*df.columns, *[
         (F.sum(c).over(local) + F.col(f"__before_{c}")).alias(o) for c, o in sums.items()])
 

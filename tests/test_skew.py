@@ -70,15 +70,29 @@ def test_quantiles_are_exact(both_paths, group):
             np.testing.assert_allclose(row[c], part[c].quantile(probs), atol=1e-12)
 
 
-def test_quantiles_recover_when_the_sketch_misses(tiny_tasks, monkeypatch):
-    """A sketch that is far off only widens the bracket; the result stays exact."""
-    monkeypatch.setattr(skew, "SKETCH_ACCURACY", 3)
-    pdf = panel(n_hot=2000, ties=False)
+@pytest.mark.parametrize("ties", [True, False])
+def test_quantiles_do_not_rest_on_the_sketch(tiny_tasks, monkeypatch, ties):
+    """A sketch of few values, far off, costs rounds; the result stays exact."""
+    monkeypatch.setattr(skew, "SKETCH_ACCURACY", 20)
+    monkeypatch.setattr(skew, "SKETCH_CUTS", 8)
+    pdf = panel(n_hot=2000, ties=ties)
     got = skew.quantile_table(to_spark(tiny_tasks, pdf), ["date"], ["v"], [0.1, 0.9]).toPandas()
     for _, row in got.iterrows():
         np.testing.assert_allclose(row["v"], pdf[pdf["date"] == row["date"]]["v"].quantile([0.1, 0.9]), atol=1e-12)
 
 
+def test_no_task_sees_more_of_a_hot_group_than_its_bound(tiny_tasks):
+    """20 000 rows in one group, a bound of 150: brackets end within it, and the one window is over them."""
+    df = tiny_tasks.range(20_000).selectExpr("1 AS g", "cast((id * 7919) % 20011 as double) AS __v")
+    out = skew._select_quantiles(df, ["g"], [0.25, 0.5])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window " in plan
+    windows = [line for line in plan.splitlines() if "windowspecdefinition" in line]
+    assert windows and all("__t" in line for line in windows)  # by group and position, never by group alone
+    v = sorted((i * 7919) % 20011 for i in range(20_000))
+    assert out.first()["__q"] == list(np.quantile(v, [0.25, 0.5]))
+
+
 def test_attach_and_latest(both_paths):
     df = to_spark(both_paths, panel())
     stats = df.groupBy("date").agg(F.avg("v").alias("m"))
