@@ -60,6 +60,52 @@ def m7(spark, sf):
     return M.predict(model, rows.where("date >= '2000-01-01'"), ["f_qty", "f_disc", "n"])
 
 
+FOLDS = dict(window_ratio=0.6, min_dates=20, step_days=15, train=0.6, valid=0.2, test=0.2)
+FOLD_SPANS = """dx AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx, count(*) OVER () AS nd FROM (SELECT DISTINCT date FROM lb)),
+fs AS (SELECT s // 15 AS fold, s, w, CAST(floor(w*0.6) AS BIGINT) AS nt, CAST(floor(w*0.2) AS BIGINT) AS nv FROM
+ (SELECT unnest(generate_series(0, nd - w, 15)) AS s, w FROM (SELECT nd, CAST(floor(nd*0.6) AS BIGINT) AS w FROM dx LIMIT 1))),
+sp AS (SELECT fold, 'train' AS part, s AS a, s + nt - 1 AS b FROM fs UNION ALL SELECT fold, 'valid', s + nt, s + nt + nv - 1 FROM fs
+ UNION ALL SELECT fold, 'test', s + nt + nv, s + w - 1 FROM fs),
+fr AS (SELECT fold, part, date, stockid, y, f_qty FROM lb JOIN dx USING (date) JOIN sp ON idx BETWEEN a AND b),
+mo AS (SELECT fold, regr_slope(y, f_qty) AS k, regr_intercept(y, f_qty) AS c FROM fr WHERE part = 'train' GROUP BY fold),
+sc AS (SELECT fold, part, date, stockid, y, c + k*f_qty AS p FROM fr JOIN mo USING (fold)),
+rm AS (SELECT fold, part, -sqrt(avg((y-p)*(y-p))) AS s FROM sc GROUP BY 1, 2),
+hs AS (SELECT fold AS step_id, max(s) FILTER (part = 'train') AS train_score, max(s) FILTER (part = 'valid') AS valid_score,
+ max(s) FILTER (part = 'test') AS test_score FROM rm GROUP BY fold)"""
+WALK = (PANEL_M, LAB, LBL, FOLD_SPANS)
+WALK_STUMPS = (PANEL_M, LAB, LBL, FOLD_SPANS, """sr AS (SELECT fold, part, l.date, l.stockid, l.y, CASE WHEN n >= 8 THEN 1 ELSE 0 END AS f
+ FROM lb l JOIN dx ON l.date = dx.date JOIN sp ON idx BETWEEN a AND b),
+sm AS (SELECT fold, f, avg(y) AS p FROM sr WHERE part = 'train' GROUP BY 1, 2),
+se AS (SELECT fold, part, -sqrt(avg((y-p)*(y-p))) AS s FROM sr JOIN sm USING (fold, f) GROUP BY 1, 2),
+sh AS (SELECT fold, max(s) FILTER (part = 'train') AS train_score, max(s) FILTER (part = 'test') AS test_score FROM se GROUP BY fold)""")
+
+
+# one factor of two values: the first tree of depth 1 gives the weighted mean of each side, and a second one finds nothing more
+STUMP = """sd AS (SELECT date, stockid, y, CASE WHEN n >= 8 THEN 1.0 ELSE 0.0 END AS f, CASE WHEN abs(y) > 0.5 THEN 2.0 ELSE 1.0 END AS w FROM lb),
+mn AS (SELECT f, sum(w*y)/sum(w) AS p FROM sd WHERE date < DATE '2000-01-01' GROUP BY f)"""
+
+
+@query("m7_early_stopping", sql(PANEL_M, LAB, LBL, STUMP, body=f"""SELECT date, stockid, {rr('y', 'y_true')}, {rr('p', 'y_pred', 5)}, CAST(1 AS BIGINT) AS n_trees
+FROM sd JOIN mn USING (f) WHERE date >= DATE '2001-01-01'"""))
+def m7_stopped(spark, sf):
+    rows = _rows(spark, sf).withColumns({"w": F.when(F.abs("y") > 0.5, 2.0).otherwise(1.0), "f": (F.col("n") >= 8).cast("double")})
+    model = M.fit_model(rows.where("date < '2000-01-01'"), ["f"], name="gbt", params={"maxIter": 12, "maxDepth": 1}, weight="w",
+                        valid=rows.where("date >= '2000-01-01' AND date < '2001-01-01'"))
+    scored = M.predict(model, rows.where("date >= '2001-01-01'"), ["f"]).withColumn("n_trees", F.lit(model.getNumTrees).cast("long"))
+    return rounded(rounded(scored, "y_true"), "y_pred", digits=5)
+
+
+@query("m10_walk_forward_stumps", sql(*WALK_STUMPS, body=f"""SELECT fold AS step_id, {rr('train_score', 'train_score', 5)}, {rr('test_score', 'test_score', 5)} FROM sh"""))
+def m10_stumps(spark, sf):
+    """Weighted trees of depth 1 on a factor of two values, fold by fold, each stopped by the error on its valid part."""
+    rows = staged(_rows(spark, sf).withColumn("f", (F.col("n") >= 8).cast("double")))
+    index = staged(D.date_index(rows))
+    folds = staged(D.rolling_folds(index, **FOLDS))
+    run = W.walk_forward(rows, folds, index, ["f"], W.WalkSettings(
+        model="gbt", metric="rmse", params={"maxIter": 6, "maxDepth": 1}, early_stop=True))
+    return rounded(run.history.select("step_id", "train_score", "test_score"), "train_score", "test_score", digits=5)
+
+
 @query("m8_linear_regression", sql(PANEL_M, LAB, LBL, FIT, body=f"SELECT {rr('b', 'slope', 7)}, {rr('a', 'intercept', 5)} FROM ft"))
 def m8(spark, sf):
     model = M.fit_model(_rows(spark, sf).where("date < '2000-01-01'"), ["f_qty"], name="linear")
@@ -78,21 +124,6 @@ def m9(spark, sf):
     return rounded(rounded(out, "y_true"), "y_pred", digits=5)
 
 
-FOLDS = dict(window_ratio=0.6, min_dates=20, step_days=15, train=0.6, valid=0.2, test=0.2)
-FOLD_SPANS = """dx AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx, count(*) OVER () AS nd FROM (SELECT DISTINCT date FROM lb)),
-fs AS (SELECT s // 15 AS fold, s, w, CAST(floor(w*0.6) AS BIGINT) AS nt, CAST(floor(w*0.2) AS BIGINT) AS nv FROM
- (SELECT unnest(generate_series(0, nd - w, 15)) AS s, w FROM (SELECT nd, CAST(floor(nd*0.6) AS BIGINT) AS w FROM dx LIMIT 1))),
-sp AS (SELECT fold, 'train' AS part, s AS a, s + nt - 1 AS b FROM fs UNION ALL SELECT fold, 'valid', s + nt, s + nt + nv - 1 FROM fs
- UNION ALL SELECT fold, 'test', s + nt + nv, s + w - 1 FROM fs),
-fr AS (SELECT fold, part, date, stockid, y, f_qty FROM lb JOIN dx USING (date) JOIN sp ON idx BETWEEN a AND b),
-mo AS (SELECT fold, regr_slope(y, f_qty) AS k, regr_intercept(y, f_qty) AS c FROM fr WHERE part = 'train' GROUP BY fold),
-sc AS (SELECT fold, part, date, stockid, y, c + k*f_qty AS p FROM fr JOIN mo USING (fold)),
-rm AS (SELECT fold, part, -sqrt(avg((y-p)*(y-p))) AS s FROM sc GROUP BY 1, 2),
-hs AS (SELECT fold AS step_id, max(s) FILTER (part = 'train') AS train_score, max(s) FILTER (part = 'valid') AS valid_score,
- max(s) FILTER (part = 'test') AS test_score FROM rm GROUP BY fold)"""
-WALK = (PANEL_M, LAB, LBL, FOLD_SPANS)
-
-
 def _walk(spark, sf, **settings):
     rows = _rows(spark, sf)
     index = staged(D.date_index(rows))
@@ -278,12 +309,33 @@ def m18_rolling(spark, sf):
     return rounded(out.select("date", "stockid", "y_pred"), "y_pred", digits=5)
 
 
+@query("m18_daily_state", sql(PANEL_M, LAB, """ro AS (SELECT date, stockid, y, CASE WHEN count(f_qty) OVER f >= 5 THEN avg(f_qty) OVER f END AS x
+ FROM lab WINDOW f AS (PARTITION BY stockid ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))""",
+    """rf AS (SELECT regr_slope(y, coalesce(x, 0)) AS b, regr_intercept(y, coalesce(x, 0)) AS a FROM ro WHERE y IS NOT NULL AND date < DATE '2000-01-01')""",
+    body=f"""SELECT date, stockid, {rr('a + b*coalesce(x, 0)', 'y_pred', 5)}, date AS asof_date, CAST(date + INTERVAL 1 MONTH AS DATE) AS target_date,
+'d1' AS run_id, 'daily' AS pred_mode FROM ro, rf WHERE date IN (DATE '2000-11-01', DATE '2000-12-01', DATE '2001-02-01')"""))
+def m18_state(spark, sf):
+    """Three runs in a row, the last after a skipped date; each but the first reads the state and the new folders alone."""
+    from panelyard.operators.rolling import rolling_stats
+
+    p = W.save_by_date(labelled(spark, sf).select("date", "stockid", "y", "f_qty"))
+    roll = {"features": ["f_qty"], "windows": [5], "stats": ["mean"]}
+    features = ["f_qty__roll_mean_5"]
+    cleaner, clean = PanelCleaner(CleanSettings()).fit_transform(rolling_stats(p, **roll).where("date < '2000-01-01'"), features)
+    bundle = M.Bundle(M.fit_model(clean, features, name="linear"), features, cleaner)
+    state, sink, out = stage_path(spark, "state"), stage_path(spark, "daily"), []
+    for day, target in (("2000-11-01", "2000-12-01"), ("2000-12-01", "2001-01-01"), ("2001-02-01", "2001-03-01")):
+        out.append(Sc.score_daily(p.select("date", "stockid", "f_qty"), day, bundle, rows_back=4, state_path=state, sink=sink,
+                                  rolling=roll, target_date=target, run_id="d1").drop("state_path"))
+    return rounded(out[0].unionByName(out[1]).unionByName(out[2]), "y_pred", digits=5)
+
+
 @query("m19_sweep")
 def m19(spark, sf):
-    rows = _rows(spark, sf)
+    rows = W.save_by_date(_rows(spark, sf))
     index = staged(D.date_index(rows))
     folds = staged(D.rolling_folds(index, **{**FOLDS, "step_days": 30}))
-    history, _ = W.sweep(W.WalkSettings(**LINEAR), [{"regParam": 0.0}, {"regParam": 1.0}],
+    history, _ = W.sweep(W.WalkSettings(**LINEAR, by_date=True), [{"regParam": 0.0}, {"regParam": 1.0}],
                          lambda s: W.walk_forward(rows, folds, index, ["f_qty", "n"], s))
     return W.compare_sweep(T.history_summary(history, ["set_id", "set_hash"]))
 
@@ -311,10 +363,10 @@ FROM sc WHERE part = 'test'"""))
 def b6(spark, sf):
     from panelyard.operators.evaluate import regression_metrics
 
-    rows = _rows(spark, sf)
+    rows = W.save_by_date(_rows(spark, sf))
     index = staged(D.date_index(rows))
     folds = staged(D.rolling_folds(index, **FOLDS))
-    history, preds = W.sweep(W.WalkSettings(**LINEAR), [{"regParam": 0.0}],
+    history, preds = W.sweep(W.WalkSettings(**LINEAR, by_date=True), [{"regParam": 0.0}],
                              lambda s: W.walk_forward(rows, folds, index, ["f_qty"], s))
     metrics = regression_metrics(preds.where("part = 'test'"), ["rmse"], keys=["set_id"]).drop("n")
     out = W.compare_sweep(T.history_summary(history, ["set_id"]), metrics)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.plans.skew import attach
+from panelyard.plans.skew import attach, union_all
 from panelyard.schema import DATE, STOCK, require_columns
 
 JOIN_KINDS = ("inner", "left", "right", "outer")
@@ -16,11 +18,14 @@ JOIN_KINDS = ("inner", "left", "right", "outer")
 def merge_parts(parts: Sequence[DataFrame], *, how: str = "inner", keys: Sequence[str] = (DATE, STOCK)) -> DataFrame:
     """Join column chunks on the key; of a column held twice the first part wins.
 
-    All joins use the same keys, so each part is shuffled once and the running
-    result keeps its partitioning.
+    Inner, left and right joins use the same keys, so each part is shuffled once and
+    the running result keeps its partitioning. A full join does not keep it, so
+    outer parts are put under each other instead and grouped once.
     """
     if how not in JOIN_KINDS:
         raise ValueError(f"how must be one of {JOIN_KINDS}")
+    if how == "outer" and len(parts) > 1:
+        return _outer_merge(parts, list(keys))
     out = parts[0]
     for part in parts[1:]:
         fresh = [c for c in part.columns if c not in out.columns]
@@ -28,6 +33,27 @@ def merge_parts(parts: Sequence[DataFrame], *, how: str = "inner", keys: Sequenc
     return out
 
 
+def _outer_merge(parts: Sequence[DataFrame], keys: list[str]) -> DataFrame:
+    """Full join of all parts by one shuffle: each part's columns are one struct, and a key gathers the structs.
+
+    As in a join, a key held twice by a part gives two rows, and a missing key meets no other.
+    """
+    tagged, columns = [], []
+    for i, part in enumerate(parts):
+        fresh = [c for c in part.columns if c not in keys and c not in [x for own in columns for x in own]]
+        columns.append(fresh)
+        # the mark keeps a part's row apart from its absence, also when the part adds no column
+        tagged.append(part.select(*keys, F.struct(F.lit(True).alias("__here"), *fresh).alias(f"__p{i}")))
+    rows = union_all(tagged)
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    merged = rows.where(known).groupBy(*keys).agg(*[F.collect_list(f"__p{i}").alias(f"__p{i}") for i in range(len(parts))])
+    for i in range(len(parts)):
+        merged = merged.withColumn(f"__p{i}", F.explode_outer(f"__p{i}"))
+    # a row without a whole key has the struct of its own part only
+    merged = merged.unionByName(rows.where(~known))
+    return merged.select(*keys, *[F.col(f"__p{i}")[c].alias(c) for i, own in enumerate(columns) for c in own])
+
+
 def join_label(df: DataFrame, labels: DataFrame, *, keys: Sequence[str] = (DATE, STOCK)) -> DataFrame:
     return df.join(labels, list(keys), "left")
 

@@ -97,6 +97,7 @@ def transform_pca(df: DataFrame, state: PcaState) -> DataFrame:
 
 MODELS = {"gbt": GBTRegressor, "forest": RandomForestRegressor, "linear": LinearRegression}
 TREES = ("gbt", "forest")
+HELD_OUT = "__valid"
 
 
 def build_estimator(name: str, params: dict | None = None, *, label: str = LABEL, weight: str | None = None):
@@ -111,11 +112,24 @@ def build_estimator(name: str, params: dict | None = None, *, label: str = LABEL
 
 
 def fit_model(df: DataFrame, features: Sequence[str], *, name: str = "gbt", params: dict | None = None,
-              label: str = LABEL, weight: str | None = None) -> Transformer:
-    """Fit one model on labelled rows. Missing features are an error: fill or z-score first."""
+              label: str = LABEL, weight: str | None = None, valid: DataFrame | None = None) -> Transformer:
+    """Fit one model on labelled rows. Missing features are an error: fill or z-score first.
+
+    With ``valid`` rows boosting stops at the number of trees from which their
+    error no longer falls by ``validationTol`` (Spark's default 0.01, relative);
+    they have weight 1 and take no part in the trees. Forests and linear models
+    have no rounds to stop and do not read them.
+    """
     rows = df.where(F.col(label).isNotNull())
-    return build_estimator(name, params, label=label, weight=weight).fit(
-        assemble(rows, features, label=label, weight=weight))
+    columns = [] if weight is None else [weight]
+    estimator = build_estimator(name, params, label=label, weight=weight)
+    if valid is not None and name == "gbt":
+        check = valid.where(F.col(label).isNotNull())
+        rows = rows.select(DATE, STOCK, label, *features, *columns, F.lit(False).alias(HELD_OUT)).unionByName(
+            check.select(DATE, STOCK, label, *features, *[F.lit(1.0).alias(c) for c in columns], F.lit(True).alias(HELD_OUT)))
+        estimator = estimator.setValidationIndicatorCol(HELD_OUT)
+        return estimator.fit(assemble(rows, features, keys=[DATE, STOCK, HELD_OUT], label=label, weight=weight))
+    return estimator.fit(assemble(rows, features, label=label, weight=weight))
 
 
 def predict(model: Transformer, df: DataFrame, features: Sequence[str], *, label: str | None = LABEL,

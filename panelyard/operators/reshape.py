@@ -104,7 +104,7 @@ def wide_to_long(
 ) -> DataFrame:
     """One matrix per field (date + a column per stock) to one long panel.
 
-    Cells stay even when missing; fields align by full outer join and the label
+    Cells stay even when missing; fields align by an outer merge and the label
     field, if named, is attached by left join.
     """
     def long(name: str, df: DataFrame) -> DataFrame:
@@ -116,9 +116,9 @@ def wide_to_long(
     names = [n for n in fields if n != label]
     if not names:
         raise ValueError("wide_to_long needs at least one field")
-    out = long(names[0], fields[names[0]])
-    for name in names[1:]:
-        out = out.join(long(name, fields[name]), [date, stock], "full")
+    from panelyard.operators.joins import merge_parts
+
+    out = merge_parts([long(name, fields[name]) for name in names], how="outer", keys=[date, stock])
     if label is not None:
         out = out.join(long(label, fields[label]), [date, stock], "left")
     return out

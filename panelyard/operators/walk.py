@@ -1,7 +1,8 @@
 """Walk-forward runs: evaluate per fold; evaluate, refit and predict per window.
 
-Pass a saved (best: date-partitioned) panel: each step reads only the date range of
-its own slice, and nothing is copied per fold. Steps whose parameters do not depend on the step
+The panel is written once, a folder per date, and each step reads only the folders of
+its own slice; nothing is copied per fold. Runs that share a panel (a sweep) save it
+with ``save_by_date`` and say so with ``by_date``. Steps whose parameters do not depend on the step
 before run several at a time as separate Spark jobs.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import or_
 
@@ -23,8 +24,9 @@ from panelyard.operators.model import Bundle, fit_model, fit_pca, prediction_tab
 from panelyard.operators.tuning import NEVER, Schedule, days_due, gate_allows, search, stable_hash
 from panelyard.operators.weights import pseudo_class, sample_weights
 from panelyard.plans.skew import union_all
-from panelyard.plans.stage import stage
+from panelyard.plans.stage import stage, stage_path
 from panelyard.schema import DATE, LABEL
+from panelyard.sources.panel import write_panel
 
 HISTORY_SCHEMA = (
     "step_id long, fold long, model_name string, params string, params_hash string, n_features long, "
@@ -49,6 +51,8 @@ class WalkSettings:
     run_id: str = "run"
     parallel: int = 4
     save_to: str | None = None
+    early_stop: bool = False  # boosting ends where the error on rows after the training dates stops falling
+    by_date: bool = False  # the panel is a scan of ``save_by_date`` already
 
 
 @dataclass
@@ -85,32 +89,61 @@ def _prepare(df: DataFrame, features: list[str], s: WalkSettings) -> tuple[DataF
     return rows, None
 
 
-def fit_step(train: DataFrame, features: Sequence[str], params: dict, s: WalkSettings) -> Bundle:
-    """PCA (fitted on these rows only) and model for one training slice."""
+def fit_step(train: DataFrame, features: Sequence[str], params: dict, s: WalkSettings,
+             valid: DataFrame | None = None) -> Bundle:
+    """PCA (fitted on these rows only) and model for one training slice.
+
+    ``valid`` rows have pseudo-labels of their own slice, as the training rows do,
+    and serve boosting to stop early if the settings ask for it.
+    """
     rows, weight = _prepare(train, list(features), s)
+    check = None
+    if valid is not None and s.early_stop:
+        check = _prepare(valid, list(features), replace(s, weights=None))[0]
     pca, inputs = None, list(features)
     if s.pca is not None:
         pca = fit_pca(rows, inputs, **s.pca)
         rows, inputs = transform_pca(rows, pca), pca.columns
-    model = fit_model(rows, inputs, name=s.model, params=params, label=s.label, weight=weight)
+        check = None if check is None else transform_pca(check, pca)
+    model = fit_model(rows, inputs, name=s.model, params=params, label=s.label, weight=weight, valid=check)
     return Bundle(model, list(features), None, pca, {"params": params})
 
 
+def save_by_date(panel: DataFrame) -> DataFrame:
+    """The panel as the scan of a table with a folder per date: a date range reads its folders alone."""
+    path = stage_path(panel.sparkSession, "by-date")
+    write_panel(panel, path)
+    return panel.sparkSession.read.schema(panel.schema).parquet(path)
+
+
 def _score_slice(bundle: Bundle, df: DataFrame, s: WalkSettings, part: str, step: int) -> DataFrame:
     return prediction_table(bundle.score(df, label=s.label), part=part, step_id=step, fold=step, run_id=s.run_id,
                             model_name=s.model)
 
 
+def _newest_from(rows: DataFrame, share: float):
+    """First of the newest ``share`` of the dates, one at least."""
+    days = rows.select(DATE).distinct().orderBy(F.col(DATE).desc())
+    n = days.count()
+    return days.limit(max(1, int(n * share))).agg(F.min(DATE)).first()[0]
+
+
+def _fit_newest(rows: DataFrame, features: Sequence[str], params: dict, s: WalkSettings) -> Bundle:
+    """Fit on a slice without later rows to check on: early stopping holds its newest dates back, never test dates."""
+    if not s.early_stop:
+        return fit_step(rows, features, params, s)
+    cut = F.lit(_newest_from(rows, s.tune_share))
+    return fit_step(rows.where(F.col(DATE) < cut), features, params, s, rows.where(F.col(DATE) >= cut))
+
+
 def _tune(train: DataFrame, features: Sequence[str], s: WalkSettings) -> tuple[dict, float, float]:
     """Compare candidates on the newest training dates; test dates play no role.
 
     Returns the best parameters, their score, and the score of the current ones.
     """
-    days = train.select(DATE).distinct().orderBy(F.col(DATE).desc())
-    n = days.count()
-    cut = days.limit(max(1, int(n * s.tune_share))).agg(F.min(DATE)).first()[0]
-    fit_rows = stage(train.where(F.col(DATE) < F.lit(cut)), "tune-fit")
-    check = stage(train.where(F.col(DATE) >= F.lit(cut)), "tune-check")
+    cut = _newest_from(train, s.tune_share)
+    # every trial reads the folders of its dates from the one saved panel
+    fit_rows, check = train.where(F.col(DATE) < F.lit(cut)), train.where(F.col(DATE) >= F.lit(cut))
 
     def trial(params: dict) -> float:
         return score(fit_step(fit_rows, features, params, s).score(check, label=s.label), s.metric)
@@ -123,8 +156,8 @@ class _Slices:
     """Date-range slices of the panel, never copies of it.
 
     Folds overlap, and expanding windows repeat the early dates in every step, so
-    slices are read by date range from the one saved panel; on a date-partitioned
-    table that prunes folders. Row counts come from one count per date.
+    slices are read by date range from the one saved panel, whose folders are dates.
+    Row counts come from one count per date.
     """
 
     def __init__(self, panel: DataFrame, spans: DataFrame, index: DataFrame):
@@ -167,7 +200,7 @@ def walk_forward(panel: DataFrame, folds: DataFrame, index: DataFrame, features:
     """
     s = settings or WalkSettings()
     spark = panel.sparkSession
-    slices = _Slices(panel, folds, index)
+    slices = _Slices(panel if s.by_date else save_by_date(panel), folds, index)
     steps = sorted({f for f, _ in slices.sizes})
     current = {"params": dict(s.params)}
     bundles: dict[int, Bundle] = {}
@@ -177,7 +210,8 @@ def walk_forward(panel: DataFrame, folds: DataFrame, index: DataFrame, features:
         if not slices.sizes.get((step, "train")) or not slices.sizes.get((step, "test")):
             return None, _history_row(step, s, params, len(features), 0, {}, reason="empty_part")
         train = slices.part(step, "train")
-        bundle = fit_step(train, features, params, s)
+        valid = slices.part(step, "valid") if slices.sizes.get((step, "valid")) else None
+        bundle = fit_step(train, features, params, s, valid)
         bundles[step] = bundle
         parts = [p for p in ("train", "valid", "test") if slices.sizes.get((step, p))]
         scored = stage(union_all([_score_slice(bundle, slices.part(step, p), s, p, step) for p in parts]), "scored")
@@ -225,7 +259,7 @@ def refit_walk(panel: DataFrame, windows: DataFrame, index: DataFrame, features:
     """
     s = settings or WalkSettings()
     spark = panel.sparkSession
-    slices = _Slices(panel, window_spans(windows), index)
+    slices = _Slices(panel if s.by_date else save_by_date(panel), window_spans(windows), index)
     rows = windows.select("window_id", "train_end").orderBy("window_id").collect()  # one row per window
     anchors = {int(r[0]): r[1] for r in rows}
     chosen: dict[tuple[int, str], list[str]] = {}
@@ -258,8 +292,8 @@ def refit_walk(panel: DataFrame, windows: DataFrame, index: DataFrame, features:
             if updated:
                 # windows tune before the evaluation model, so the result applies at once
                 current["params"] = fit_params = best
-        bundle = fit_step(train, use, fit_params, s)
-        final = fit_step(slices.part(step, "train", "test"), use_future, fit_params, s)
+        bundle = _fit_newest(train, use, fit_params, s)
+        final = _fit_newest(slices.part(step, "train", "test"), use_future, fit_params, s)
         bundles[step] = final
         scored = stage(union_all([
             _score_slice(bundle, train, s, "train", step),
