@@ -18,6 +18,7 @@ from panelyard.plans.stage import stage
 
 LENGTH = 1024
 WINDOW_ITEMS = 100_000
+WINDOW_BYTES = 1 << 21
 #: one piece inside a bin; ``has_id`` is 0 for a null id
 PIECE = np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4"), ("has_id", "u1")])
 BINS = "sequence_id long, round int, part int, fill int, pieces binary"
@@ -179,16 +180,24 @@ def token_pieces(docs: DataFrame, tokenizer: str, end: int, length: int = LENGTH
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = TokenCache.of(tokenizer)
         for batch in batches:
-            rows: list[list] = [[] for _ in names]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = cache.encode(text.as_py() or "") + last
-                for k, (start, n) in enumerate(cut(len(data) // 4, length)):
-                    span = data[4 * start:4 * (start + n)]
-                    for column, value in zip(rows, (doc_id, k, start, n, zlib.crc32(span), span), strict=False):
-                        column.append(value)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            arrays = [pa.array(r, t) for r, t in zip(rows, kinds, strict=False)]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            at, size = 0, 0
+            for k, text in enumerate(batch.column(1)):
+                size += len(text.as_buffer() or b"") if text.is_valid else 0
+                if size >= WINDOW_BYTES or k == batch.num_rows - 1:
+                    yield pieces_of(cache, batch.slice(at, k + 1 - at))
+                    at, size = k + 1, 0
+
+    def pieces_of(cache: TokenCache, batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows: list[list] = [[] for _ in names]
+        coded = cache.encode_all([t or "" for t in batch.column(1).to_pylist()])
+        for doc_id, found in zip(batch.column(0).to_pylist(), coded, strict=True):
+            data = found + last
+            for k, (start, n) in enumerate(cut(len(data) // 4, length)):
+                span = data[4 * start:4 * (start + n)]
+                for column, value in zip(rows, (doc_id, k, start, n, zlib.crc32(span), span), strict=False):
+                    column.append(value)
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=False)], names)
 
     schema = "doc_id long, piece int, start long, length int, crc long" + ", ids binary" * ids
     return docs.select("doc_id", "text").mapInArrow(encode, schema)

@@ -1,4 +1,4 @@
-"""Tokens of whole texts by a tokenizer file, words encoded once per worker."""
+"""Tokens of whole texts by a tokenizer file, words encoded once per worker and many at a time."""
 
 from __future__ import annotations
 
@@ -8,16 +8,20 @@ import numpy as np
 from tokenizers import Tokenizer
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-MOST_WORDS = 500_000
+_LINE = re.compile(r"(?<=\S)\n(?=\S)")
+MOST_BYTES = 64 << 20
+JOINED = 200
+MARKS = ".,;:!?"
 
 
-class TokenCache(dict):
-    """Bytes of the ids (little-endian, unsigned, 32 bits) of chunks of text.
+class TokenCache:
+    """Bytes of the ids (little-endian, unsigned, 32 bits) of texts.
 
-    A byte-level tokenizer that cuts text into words never lets a token cross
-    the place before a single space between two other characters, so chunks
-    between such places are encoded apart and remembered. The memory is emptied
-    at ``MOST_WORDS`` chunks, whatever the text.
+    A byte-level tokenizer that cuts text into words never lets a token cross the
+    place before a single space, or line end, between two other characters, nor the
+    place between a letter and one mark after it. So words between such places are
+    remembered; those that a batch of texts brings anew are encoded together, many
+    to a call. The memory is emptied above ``MOST_BYTES``, whatever the text.
     """
 
     _made: dict[str, TokenCache] = {}
@@ -29,43 +33,81 @@ class TokenCache(dict):
         return cls._made[path]
 
     def __init__(self, path: str):
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes | None] = {}
+        self.tails: dict[str, bytes | None] = {}
         self.marks: dict[str, bytes] = {}
-
-    def __missing__(self, chunk: str) -> bytes | None:
-        """Ids of the chunk after a space; None if that space is no such place."""
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            data = None
-        else:
-            data = self._parts(" ", chunk)
-        if len(chunk) <= 64:  # long chunks hardly come again
-            self[chunk] = data
-        return data
-
-    def _parts(self, before: str, chunk: str) -> bytes:
-        """Lines of a chunk, and one mark after a letter, are tokens of their own: encoded apart, so that fewer words are new."""
-        head, line, tail = chunk.partition("\n")
-        if line and not head[-1].isspace() and not tail[0].isspace():
-            return self._parts(before, head) + self._parts("\n", tail)
-        if not line and len(chunk) > 1 and chunk[-1] in ".,;:!?" and chunk[-2].isalpha():
-            return (self[chunk[:-1]] if before == " " else self._ids(before + chunk[:-1])) + self._mark(chunk[-1])
-        return self._ids(before + chunk)
-
-    def _mark(self, mark: str) -> bytes:
-        if mark not in self.marks:
-            self.marks[mark] = self._ids(mark)
-        return self.marks[mark]
+        self.size = 0
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if len(self) > MOST_WORDS:
-            self.clear()
-        first, *rest = text.split(" ")
-        if first and not first[-1].isspace():
-            found = [self[p] for p in rest]
-            if None not in found:
-                return self._ids(first) + b"".join(found)
-        return b"".join([self._ids(" " * (k > 0) + p) for k, p in enumerate(_CUT.split(text))])
+    def _put(self, known: dict[str, bytes | None], chunk: str, data: bytes | None) -> None:
+        known[chunk] = data
+        self.size += 220 + len(chunk) + len(data or b"")  # with both objects' and the table's own bytes
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Remember what follows a space: None if that space is no such place."""
+        words, tails, marked, lined = set(), set(), [], []
+
+        def plan(chunk: str, known: dict, new: set) -> None:
+            if len(chunk) > 1 and chunk[-1] in MARKS and chunk[-2].isalpha():
+                marked.append((chunk, known))
+                chunk = chunk[:-1]
+            if chunk not in known:
+                new.add(chunk)
+
+        for chunk in chunks:
+            if chunk.isalpha():
+                words.add(chunk)
+            elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
+                self._put(self.known, chunk, None)
+            elif "\n" not in chunk:
+                plan(chunk, self.known, words)
+            else:
+                head, *rest = _LINE.split(chunk)
+                lined.append(chunk)
+                plan(head, self.known, words)
+                for tail in rest:
+                    plan(tail, self.tails, tails)
+        for known, new, before in ((self.known, list(words), " "), (self.tails, list(tails), "\n")):
+            for k in range(0, len(new), JOINED):
+                self._joined(new[k:k + JOINED], before, known)
+        for chunk, known in marked:
+            if chunk[-1] not in self.marks:
+                self.marks[chunk[-1]] = self._ids(chunk[-1])
+            self._put(known, chunk, known[chunk[:-1]] + self.marks[chunk[-1]])
+        for chunk in lined:
+            head, *rest = _LINE.split(chunk)
+            self._put(self.known, chunk, self.known[head] + b"".join([self.tails[t] for t in rest]))
+
+    def _joined(self, words: list[str], before: str, known: dict) -> None:
+        """Ids of words, each after a space or a line end, by one call over all of them."""
+        coded = self.tokenizer.encode(before + before.join(words), add_special_tokens=False)
+        ids = np.array(coded.ids, "<u4").tobytes()
+        starts = np.cumsum([0] + [len(w) + 1 for w in words])
+        cuts = (4 * np.searchsorted(np.array([a for a, _ in coded.offsets]), starts)).tolist()
+        for word, a, b in zip(words, cuts, cuts[1:], strict=False):
+            self._put(known, word, ids[a:b])
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as if it were encoded whole."""
+        if self.size > MOST_BYTES:
+            self.known, self.tails, self.size = {}, {}, 0
+        split = [t.split(" ") for t in texts]
+        first = [parts.pop(0) for parts in split]
+        known = self.known
+        fresh = set().union(*split).difference(known)
+        long = {c for c in fresh if len(c) > 64}  # these hardly come again
+        self._learn(fresh)
+        out = []
+        for text, head, rest in zip(texts, first, split, strict=True):
+            if head and not head[-1].isspace():
+                found = list(map(known.__getitem__, rest))
+                if None not in found:
+                    out.append(self._ids(head) + b"".join(found))
+                    continue
+            out.append(b"".join([self._ids(" " * (k > 0) + p) for k, p in enumerate(_CUT.split(text))]))
+        for chunk in long:
+            self.size -= 220 + len(chunk) + len(known.pop(chunk) or b"")
+        return out
