@@ -14,6 +14,9 @@ from panelyard.llm.common import fold, ship, texts
 from panelyard.plans.skew import attach
 
 
+SLICE = 1 << 20
+
+
 @dataclass(frozen=True)
 class Settings:
     """``sample`` bounds the labelled rows of each class on which the linear weights are fitted.
@@ -90,8 +93,8 @@ def _counts(rows: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray
     return seen[0, :size], seen[1, :size], int(seen[0, size]), int(seen[1, size])
 
 
-def _sample(rows: DataFrame, settings: Settings, active: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """Places in ``active`` of the buckets of the rows of each class that come first by a digest.
+def _sample(rows: DataFrame, settings: Settings, active: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, sizes and, row after row, places in ``active`` of the buckets of the rows of each class that come first by a digest.
 
     A fixed sample of ``settings.sample`` rows per class at most. Digests alone are
     sorted; texts stay where they are, and only active buckets come back.
@@ -101,14 +104,17 @@ def _sample(rows: DataFrame, settings: Settings, active: np.ndarray) -> list[tup
             packed = [np.flatnonzero(np.isin(active, buckets(t, settings))).astype("<i4").tobytes() for t in texts(batch.column(0))]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(packed, pa.binary())], ["label", "digest", "buckets"])
 
-    found = []
+    labels, sizes, places = [], [], []
     for k in (0, 1):
         own = rows.where(F.col("label") == k)
         last = own.select("digest").orderBy("digest").limit(settings.sample).agg(F.max("digest")).first()[0]
         some = own.where(F.col("digest") <= F.lit(last)).select("text", "label", "digest")
         some = some.mapInArrow(pack, "label int, digest string, buckets binary").orderBy("digest", "buckets").limit(settings.sample)
-        found += some.select("label", "buckets").collect()
-    return [(r[0], np.frombuffer(r[1], "<i4").astype(np.int64)) for r in found]
+        for r in some.select("label", "buckets").toLocalIterator():
+            labels.append(r[0])
+            sizes.append(len(r[1]) // 4)
+            places.append(np.frombuffer(r[1], "<i4"))
+    return np.array(labels, float), np.array(sizes, np.int64), np.concatenate([*places, np.zeros(0, "<i4")])
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, learn) -> DataFrame:
@@ -133,20 +139,27 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
     error = np.sqrt(1 / (toxic + 1) + 1 / (clean + 1))
     ratio = np.sign(ratio) * np.maximum(np.abs(ratio) - settings.errors * error, 0)
     active = np.flatnonzero(ratio)
-    sample = _sample(rows, settings, active)
-    kept = [b for _, b in sample]
-    row = np.repeat(np.arange(len(kept)), [len(c) for c in kept])
-    col = np.concatenate(kept) if len(row) else np.zeros(0, np.int64)
-    value = ratio[active][col]
-    y = np.array([k for k, _ in sample], float)
+    y, sizes, col = _sample(rows, settings, active)
+    scale = ratio[active]
     share = np.array([(y == 0).mean(), (y == 1).mean()])
     weight = 0.5 / share[y.astype(int)]
+    ends = np.cumsum(sizes)
+    # rows in slices of bounded size, so that no array is as long as the sample but the places themselves
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, len(col) + SLICE, SLICE), "right").clip(0, len(y)))
+    cuts = np.unique(np.append(cuts, [0, len(y)]))
     w, b = np.full(len(active), 0.05), 0.0
     m, v = np.zeros(len(active) + 1), np.zeros(len(active) + 1)
     for step in range(1, settings.rounds + 1):  # full-batch Adam on the weighted logistic loss
-        z = np.bincount(row, value * w[col], len(y)) + b
-        g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        grad = np.append(np.bincount(col, value * g[row], len(active)) + settings.penalty * w, g.sum())
+        grad, slope = settings.penalty * w, 0.0
+        pull = scale * w
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            at = col[ends[i] - sizes[i]:ends[j - 1]]
+            row = np.repeat(np.arange(j - i), sizes[i:j])
+            z = np.bincount(row, pull[at], j - i) + b
+            g = weight[i:j] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i:j]) / len(y)
+            grad += scale * np.bincount(at, g[row], len(active))
+            slope += g.sum()
+        grad = np.append(grad, slope)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
