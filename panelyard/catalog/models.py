@@ -53,6 +53,21 @@ def m6_embeddings(spark, sf):
     return M.transform_pca(wide, M.fit_pca(wide, [f"e{i}" for i in range(size)], components=4, whiten=True))
 
 
+@query("m6_pca_embedding_norms", sql("""e AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+z AS (SELECT vec_id, (v - avg(v) OVER w)/stddev_pop(v) OVER w AS z FROM e WINDOW w AS (PARTITION BY i))""",
+    body=f"SELECT vec_id, {rr('sum(z*z)', 'norm', 4)} FROM z GROUP BY vec_id"))
+def m6_norms(spark, sf):
+    """All components together keep the length of every standardised vector."""
+    from panelyard.catalog.base import table
+
+    e = table(spark, sf, "embeddings")
+    size = e.agg(F.max(F.size("embedding"))).first()[0]
+    wide = M.vector_columns(e.select("vec_id", "embedding"), "embedding", "e", size)
+    state = M.fit_pca(wide, [f"e{i}" for i in range(size)], components=size)
+    norm = sum((F.col(c) * F.col(c) for c in state.columns[1:]), F.col(state.columns[0]) * F.col(state.columns[0]))
+    return M.transform_pca(wide, state).select("vec_id", r6(norm, 4).alias("norm"))
+
+
 @query("m7_tree_regression")
 def m7(spark, sf):
     rows = _rows(spark, sf).withColumn("w", F.when(F.abs("y") > 0.5, 2.0).otherwise(1.0))
@@ -236,11 +251,59 @@ def m14(spark, sf):
                                  "params_hash string, score double, best boolean")
 
 
-@query("m15_tuned_walk")
+# ridge of one factor: the slope of least squares over 1 + penalty / deviation of the label
+RANGES = {"regParam": {"type": "float", "low": 0.001, "high": 10.0, "log": True}}
+DRAWN = T.random_candidates(RANGES, trials=6, seed=11)
+FIT_ONE = """covar_pop(y, f_qty)/var_pop(f_qty) AS k, stddev_pop(y) AS sy, avg(y) AS my, avg(f_qty) AS mf"""
+
+
+@query("m14_range_search", sql(PANEL_M, LAB, LBL, f"""pr AS (SELECT * FROM (VALUES {", ".join(f"({i}, CAST({c['regParam']!r} AS DOUBLE))" for i, c in enumerate(DRAWN))}) AS t(trial, l)),
+fo AS (SELECT {FIT_ONE} FROM lb WHERE date < DATE '2000-01-01'),
+tr AS (SELECT trial, l, -sqrt(avg((y - my - k/(1 + l/sy)*(f_qty - mf))**2)) AS score FROM lb, fo, pr WHERE date >= DATE '2000-01-01' GROUP BY 1, 2)""",
+    body=f"SELECT CAST(trial AS BIGINT) AS trial, l AS penalty, {rr('score', 'score', 6)}, trial = (SELECT arg_max(trial, score) FROM tr) AS best FROM tr"))
+def m14_ranges(spark, sf):
+    rows = W.save_by_date(_rows(spark, sf))
+    fit, check = rows.where("date < '2000-01-01'"), rows.where("date >= '2000-01-01'")
+    s = W.WalkSettings(**LINEAR)
+    found = T.search(lambda p: W.score(W.fit_step(fit, ["f_qty"], p, s).score(check), "rmse"), DRAWN)
+    out = spark.createDataFrame([(i, p["regParam"], float(v), p == found.best) for i, (p, v) in enumerate(zip(DRAWN, found.scores))],
+                                "trial long, penalty double, score double, best boolean")
+    return rounded(out, "score")
+
+
+@query("m15_tuned_walk", sql(PANEL_M, LAB, LBL, FOLD_SPANS, f"""la AS (SELECT * FROM (VALUES (0, CAST(0 AS DOUBLE), '0.0'), (1, CAST(0.5 AS DOUBLE), '0.5'), (2, CAST(5 AS DOUBLE), '5.0')) AS t(o, l, s)),
+tn AS (SELECT fold, a, b, b - greatest(1, CAST(floor((b - a + 1)*0.2) AS BIGINT)) AS last FROM sp WHERE part = 'train'),
+tf AS (SELECT fold, {FIT_ONE} FROM lb JOIN dx USING (date) JOIN tn ON idx BETWEEN a AND last GROUP BY fold),
+ts AS (SELECT fold, o, s, -sqrt(avg((y - my - k/(1 + l/sy)*(f_qty - mf))**2)) AS score
+ FROM lb JOIN dx USING (date) JOIN tn ON idx BETWEEN last + 1 AND b JOIN tf USING (fold), la GROUP BY 1, 2, 3),
+bt AS (SELECT fold, arg_max(o, score) AS o, max(score) AS score FROM ts GROUP BY fold),
+us AS (SELECT f.fold, coalesce(bt.o, 0) AS o FROM (SELECT DISTINCT fold FROM sp) f LEFT JOIN bt ON f.fold > 0 AND bt.fold = 2*((f.fold - 1)//2)),
+wf AS (SELECT fold, {FIT_ONE} FROM fr WHERE part = 'train' GROUP BY fold),
+te AS (SELECT fold, -sqrt(avg((y - my - k/(1 + l/sy)*(f_qty - mf))**2)) AS score FROM fr JOIN wf USING (fold) JOIN us USING (fold) JOIN la USING (o)
+ WHERE part = 'test' GROUP BY fold)""", body=f"""SELECT us.fold AS step_id, '{{"regParam": ' || s || '}}' AS params, substr(md5('{{"regParam": ' || s || '}}'), 1, 10) AS params_hash,
+us.fold % 2 = 0 AS tuned, us.fold % 2 = 0 AS updated, round(CASE WHEN us.fold % 2 = 0 THEN bt.score END, 5) + 0.0 AS tune_score, {rr('te.score', 'test_score', 5)}
+FROM us JOIN la USING (o) JOIN bt ON bt.fold = us.fold JOIN te ON te.fold = us.fold"""))
 def m15(spark, sf):
     run = _walk(spark, sf, params={"regParam": 0.0}, candidates=[{"regParam": 0.5}, {"regParam": 5.0}],
                 schedule=T.every_k_steps(2), min_improve=0.0)
-    return run.history.select("step_id", "params", "params_hash", "tuned", "updated", "tune_score", "test_score")
+    h = run.history.select("step_id", "params", "params_hash", "tuned", "updated", "tune_score", "test_score")
+    return rounded(h, "tune_score", "test_score", digits=5)
+
+
+@query("m19_sweep_ridge", sql(PANEL_M, LAB, LBL, FOLD_SPANS, f"""la AS (SELECT * FROM (VALUES (0, CAST(0 AS DOUBLE)), (1, CAST(1 AS DOUBLE))) AS t(o, l)),
+wf AS (SELECT fold, {FIT_ONE} FROM fr WHERE part = 'train' GROUP BY fold),
+we AS (SELECT o, fold, part, -sqrt(avg((y - my - k/(1 + l/sy)*(f_qty - mf))**2)) AS score FROM fr JOIN wf USING (fold), la GROUP BY 1, 2, 3)""",
+    body=f"""SELECT CAST(o AS BIGINT) AS set_id, count(DISTINCT fold) AS n_steps, {rr("avg(score) FILTER (part = 'train')", 'mean_train_score', 5)},
+{rr("avg(score) FILTER (part = 'test')", 'mean_test_score', 5)}, {rr("arg_max(score, fold) FILTER (part = 'test')", 'last_test_score', 5)} FROM we GROUP BY o"""))
+def m19_ridge(spark, sf):
+    rows = W.save_by_date(_rows(spark, sf))
+    index = staged(D.date_index(rows))
+    folds = staged(D.rolling_folds(index, **FOLDS))
+    history, _ = W.sweep(W.WalkSettings(**LINEAR, by_date=True), [{"regParam": 0.0}, {"regParam": 1.0}],
+                         lambda s: W.walk_forward(rows, folds, index, ["f_qty"], s))
+    out = W.compare_sweep(T.history_summary(history, ["set_id"]))
+    out = out.select("set_id", "n_steps", "mean_train_score", "mean_test_score", "last_test_score")
+    return rounded(out, "mean_train_score", "mean_test_score", "last_test_score", digits=5)
 
 
 @query("m16_choose_step", sql(*WALK, body="""SELECT 'last' AS strategy, max(step_id) AS step_id FROM hs UNION ALL

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from panelyard.functions import metrics as M
 from panelyard.operators.joins import validate_disjoint
 from panelyard.plans.skew import add_ranks, attach, attach_one_row, average_ranks, keep_latest, running_totals, union_all
+from panelyard.plans.stage import stage
 from panelyard.schema import DATE, STOCK
 
 PART_ORDER = ("train", "valid", "test")  # fixed value: report order, other parts follow
@@ -294,17 +295,31 @@ def stratified_sample(df: DataFrame, max_rows: int, *, seed: int = 42, keys: Seq
                       part: str = "part") -> DataFrame:
     """Sample of about ``max_rows`` rows for drawing: each part by its share, at least one row.
 
-    Rows are chosen by a seeded hash of their key, so the choice repeats and no
-    part is gathered in one task. The exact quota comes from the hash rank.
+    Rows are chosen by a seeded hash of their key, so the choice repeats: those with
+    the smallest hashes, as many as the quota. Only rows below about twice the
+    share that is wanted are kept and ranked; were a part short of its quota, the
+    bound would be widened.
     """
-    sizes = df.groupBy(part).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = stage(df.groupBy(part).agg(F.count(F.lit(1)).alias("__n")), "sizes")
     total = sizes.agg(F.sum("__n")).first()[0] or 0
     if total <= max_rows:
         return df
-    hashed = df.withColumn("__h", F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)))
-    ranked = add_ranks(hashed, [part], "__h", "__r", method="first", tie_break=keys, count_out="__n")
     quota = F.greatest(F.round(F.lit(float(max_rows)) * F.col("__n") / total), F.lit(1.0))
-    return ranked.where(F.col("__r") <= quota).select(*df.columns)
+    quotas = sizes.select(F.col(part).alias("__part"), "__n", quota.alias("__quota"))  # one row per part
+    hashed = df.withColumn("__h", F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)))
+    place = F.col("__h") / 2.0**64 + 0.5  # of the hash in its range, 0 to 1
+    reach = 2.0
+    while True:
+        near = hashed.join(F.broadcast(quotas), F.col(part).eqNullSafe(F.col("__part")))
+        near = stage(near.where(place <= (F.col("__quota") * reach + 16) / F.col("__n")), "near")
+        got = near.groupBy("__part").agg(F.count(F.lit(1)).alias("__got"))
+        short = quotas.join(F.broadcast(got.withColumnRenamed("__part", "__p")), F.col("__part").eqNullSafe(F.col("__p")), "left").where(
+            F.coalesce("__got", F.lit(0)) < F.least("__quota", "__n"))
+        if short.isEmpty():
+            break
+        reach *= 4
+    ranked = add_ranks(near.drop("__part", "__n"), [part], "__h", "__r", method="first", tie_break=keys)
+    return ranked.where(F.col("__r") <= F.col("__quota")).select(*df.columns)
 
 
 def stitch(df: DataFrame, *, keys: Sequence[str] = (DATE, STOCK),

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,11 +52,11 @@ def fit_pca(df: DataFrame, features: Sequence[str], *, components: int | None =
         raise ValueError("components must be positive")
     features = list(features)
     raw = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="error").transform(df).select("__x")
-    n = raw.count()
-    scaler = StandardScaler(inputCol="__x", outputCol="__z", withMean=True, withStd=False).fit(raw)
-    mean = [float(v) for v in scaler.mean]
+    moments = raw.agg(Summarizer.metrics("count", "mean", "std").summary(F.col("__x")).alias("m")).first()["m"]  # one pass
+    n = int(moments["count"])
+    mean = [float(v) for v in moments["mean"]]
     shrink = ((n - 1) / n) ** 0.5 if n > 1 else 0.0
-    sd = [float(v) * shrink for v in scaler.std]
+    sd = [float(v) * shrink for v in moments["std"]]
     scale = [s if standardize and s > 0 else 1.0 for s in sd]
     cells = [((F.col(f) - m) / s).alias(f) for f, m, s in zip(features, mean, scale)]
     ready = VectorAssembler(inputCols=features, outputCol="__z").transform(df.select(*cells)).select("__z")
@@ -81,16 +82,21 @@ def fit_pca(df: DataFrame, features: Sequence[str], *, components: int | None =
 
 
 def transform_pca(df: DataFrame, state: PcaState) -> DataFrame:
-    """Replace the features by component scores: an array dot product per component."""
-    z = F.array(*[(F.col(f) - m) / s for f, m, s in zip(state.features, state.mean, state.scale)])
-    rows = df.withColumn("__z", z)
-
-    def score(weights):
-        w = F.array(*[F.lit(v) for v in weights])
-        return F.aggregate(F.zip_with("__z", w, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    """Replace the features by component scores: one array of dot products per row.
 
+    Centre, scale and loadings are one literal each, so that the plan has as many
+    expressions as there are columns, not as there are loadings.
+    """
+    def numbers(values, kind):
+        return F.from_json(F.lit(json.dumps(values)), F.lit(kind))
+
+    mean, scale = numbers(state.mean, "array<double>"), numbers(state.scale, "array<double>")
+    x = F.zip_with(F.array(*[F.col(f).cast("double") for f in state.features]), mean, lambda v, m: v - m)
+    rows = df.withColumn("__z", F.zip_with(x, scale, lambda v, s: v / s))
+    dot = lambda w: F.aggregate(F.zip_with("__z", w, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    rows = rows.withColumn("__scores", F.transform(numbers(state.loadings, "array<array<double>>"), dot))
     rest = [c for c in df.columns if c not in state.features]
-    return rows.select(*rest, *[score(w).alias(c) for c, w in zip(state.columns, state.loadings)])
+    return rows.select(*rest, *[F.col("__scores")[i].alias(c) for i, c in enumerate(state.columns)])
 
 
 # --- estimators ---------------------------------------------------------------

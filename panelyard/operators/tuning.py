@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import random
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -27,10 +28,44 @@ def hash_column(json_column):
     return F.substring(F.md5(json_column), 1, HASH_CHARS)
 
 
-def random_candidates(space: dict[str, Sequence], trials: int = 20, seed: int = 42) -> list[dict]:
-    """Seeded draws, one value per parameter and trial."""
+def random_candidates(space: dict[str, Sequence | dict], trials: int = 20, seed: int = 42) -> list[dict]:
+    """Seeded draws, one value per parameter and trial, the same on every machine.
+
+    A parameter is a list of values, or a range: ``{"type": "float", "low", "high"}``
+    or ``"int"``, with ``log`` for draws even in the logarithm or ``step`` for
+    values low, low + step, ... (both bounds included), or
+    ``{"type": "categorical", "choices"}``.
+    """
     draw = random.Random(seed)
-    return [{k: draw.choice(list(v)) for k, v in space.items()} for _ in range(trials)]
+    return [{k: _draw(k, v, draw) for k, v in space.items()} for _ in range(trials)]
+
+
+def _draw(name: str, spec: Sequence | dict, draw: random.Random):
+    if not isinstance(spec, dict):
+        return draw.choice(list(spec))
+    kind = spec.get("type")
+    if kind == "categorical":
+        return draw.choice(list(spec["choices"]))
+    if kind not in ("float", "int"):
+        raise ValueError(f"{name}: unknown type {kind}")
+    low, high, log, step = spec["low"], spec["high"], spec.get("log", False), spec.get("step")
+    whole = kind == "int"
+    if high < low or (log and low <= 0) or (step is not None and step <= 0):
+        raise ValueError(f"{name}: no range from {low} to {high}")
+    if log and step not in (None, 1):
+        raise ValueError(f"{name}: a logarithmic range has no step")
+    if log:
+        # whole numbers: each has the share of the half units around it
+        edge = 0.5 if whole else 0.0
+        value = math.exp(draw.uniform(math.log(low - edge), math.log(high + edge)))
+    elif step is not None or whole:
+        step = step or 1
+        value = low + step * draw.randint(0, int((high - low) / step + 1e-9))
+    else:
+        value = draw.uniform(low, high)
+    if whole:
+        return min(max(round(value), low), high)
+    return min(max(float(f"{value:.12g}"), float(low)), float(high))  # the last bits of exp and log differ between machines
 
 
 @dataclass

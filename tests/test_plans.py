@@ -3,10 +3,13 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from panelyard.operators import evaluate as V
 from panelyard.operators import model as M
 from panelyard.operators import score as Sc
+from panelyard.operators import tuning as T
 from panelyard.operators import walk as W
 from panelyard.operators.folds import date_index, rolling_folds
 from panelyard.operators.joins import merge_parts
@@ -114,3 +117,45 @@ def test_stream_scores_a_date_once_it_is_complete(spark, tmp_path):
     assert "PartitionFilters: [date" in plan_of(whole) or "PartitionFilters: [isnotnull(date" in plan_of(whole)
 
 
+
+
+def test_component_scores_of_a_wide_panel_have_a_small_plan(spark):
+    """200 features and 150 components: 30 000 loadings in one literal, and the scores of a matrix product."""
+    rng = np.random.default_rng(4)
+    names = [f"x{i}" for i in range(200)]
+    x, w = rng.normal(size=(3, 200)), rng.normal(size=(150, 200))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ["id", *names])
+    state = M.PcaState(names, [0.5] * 200, [2.0] * 200, w.tolist(), [0.0] * 150, [f"pc{i}" for i in range(150)])
+    out = M.transform_pca(df, state)
+    assert plan_of(out).count("zip_with") < 20
+    got = np.array([r[1:] for r in sorted(out.collect())])
+    np.testing.assert_allclose(got, (x - 0.5) / 2 @ w.T, rtol=1e-9, atol=1e-9)
+
+
+def test_range_draws():
+    space = {"a": {"type": "float", "low": 1e-4, "high": 10.0, "log": True}, "b": {"type": "int", "low": 2, "high": 9},
+             "c": {"type": "float", "low": 0.1, "high": 0.5, "step": 0.1}, "d": [1, 2], "e": {"type": "categorical", "choices": ["u", "v"]},
+             "f": {"type": "int", "low": 1, "high": 64, "log": True}, "g": {"type": "int", "low": 0, "high": 10, "step": 5}}
+    rows = T.random_candidates(space, 400, seed=3)
+    assert rows == T.random_candidates(space, 400, seed=3) != T.random_candidates(space, 400, seed=4)
+    assert all(1e-4 <= r["a"] <= 10 and 2 <= r["b"] <= 9 and r["g"] in (0, 5, 10) and 1 <= r["f"] <= 64 for r in rows)
+    assert {r["b"] for r in rows} == set(range(2, 10)) and {round(r["c"], 9) for r in rows} == {0.1, 0.2, 0.3, 0.4, 0.5}
+    assert 0.35 < np.mean([r["a"] < 10 ** -1.5 for r in rows]) < 0.65 and {r["e"] for r in rows} == {"u", "v"}
+    for bad in ({"type": "float", "low": 2, "high": 1}, {"type": "float", "low": 0, "high": 1, "log": True}, {"type": "x", "low": 0, "high": 1}):
+        with pytest.raises(ValueError):
+            T.random_candidates({"a": bad}, 1)
+
+
+def test_sample_ranks_only_rows_below_the_bound(spark, monkeypatch):
+    """Of 20 000 rows about 2 x 100 + 16 a part are kept for the rank, and the sample is the one of all hashes."""
+    df = spark.range(20_000).selectExpr("date_add(date'2024-01-01', cast(id % 50 as int)) AS date", "id AS stockid",
+                                        "CASE WHEN id % 2 = 0 THEN 'train' WHEN id % 4 = 1 THEN 'test' END AS part")
+    kept = []
+    whole = V.add_ranks
+    monkeypatch.setattr(V, "add_ranks", lambda rows, *a, **k: (kept.append(rows.count()), whole(rows, *a, **k))[1])
+    got = {r["stockid"] for r in V.stratified_sample(df, 200).collect()}
+    h = df.withColumn("h", F.xxhash64("date", "stockid", F.lit(42))).toPandas()
+    want = set()
+    for _, rows in h.groupby(h["part"].fillna("none")):
+        want |= set(rows.sort_values("h")["stockid"].head(round(200 * len(rows) / 20_000)))
+    assert got == want and len(got) == 200 and kept[0] < 800
