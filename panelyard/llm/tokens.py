@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _LINE = re.compile(r"(?<=\S)\n(?=\S)")
-MOST_BYTES = 64 << 20
+MOST_BYTES = 192 << 20
 JOINED = 200
 MARKS = ".,;:!?"
 
@@ -38,6 +38,7 @@ class TokenCache:
         self.tails: dict[str, bytes | None] = {}
         self.marks: dict[str, bytes] = {}
         self.size = 0
+        self.line = len(self._ids("\n"))
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -46,8 +47,8 @@ class TokenCache:
         known[chunk] = data
         self.size += 220 + len(chunk) + len(data or b"")  # with both objects' and the table's own bytes
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Remember what follows a space: None if that space is no such place."""
+    def _learn(self, chunks: set[str], heads: set[str]) -> None:
+        """Remember what follows a space, None if that space is no such place, and first words as if after a line end."""
         words, tails, marked, lined = set(), set(), [], []
 
         def plan(chunk: str, known: dict, new: set) -> None:
@@ -70,6 +71,8 @@ class TokenCache:
                 plan(head, self.known, words)
                 for tail in rest:
                     plan(tail, self.tails, tails)
+        for head in heads:
+            plan(head, self.tails, tails)
         for known, new, before in ((self.known, list(words), " "), (self.tails, list(tails), "\n")):
             for k in range(0, len(new), JOINED):
                 self._joined(new[k:k + JOINED], before, known)
@@ -90,22 +93,26 @@ class TokenCache:
         for word, a, b in zip(words, cuts, cuts[1:], strict=False):
             self._put(known, word, ids[a:b])
 
+    def clear(self) -> None:
+        self.known, self.tails, self.size = {}, {}, 0
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as if it were encoded whole."""
         if self.size > MOST_BYTES:
-            self.known, self.tails, self.size = {}, {}, 0
+            self.clear()
         split = [t.split(" ") for t in texts]
         first = [parts.pop(0) for parts in split]
         known = self.known
         fresh = set().union(*split).difference(known)
         long = {c for c in fresh if len(c) > 64}  # these hardly come again
-        self._learn(fresh)
+        self._learn(fresh, {h for h in first if h and len(h) <= 64 and not any(map(str.isspace, h))}.difference(self.tails))
         out = []
         for text, head, rest in zip(texts, first, split, strict=True):
             if head and not head[-1].isspace():
                 found = list(map(known.__getitem__, rest))
                 if None not in found:
-                    out.append(self._ids(head) + b"".join(found))
+                    start = self.tails.get(head)
+                    out.append((self._ids(head) if start is None else start[self.line:]) + b"".join(found))
                     continue
             out.append(b"".join([self._ids(" " * (k > 0) + p) for k, p in enumerate(_CUT.split(text))]))
         for chunk in long:
