@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import tempfile
 import zipfile
@@ -32,6 +33,25 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def tidied(work):
+    """``work`` on the batches of a task that ends by giving back the memory it has freed.
+
+    Spark keeps a Python worker for later tasks, and so, stage after stage, what
+    its allocators hold on to; an executor pays for the sum.
+    """
+    def run(batches):
+        yield from work(batches)
+        give_back()
+    return run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only in the C library of most Linux systems
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import byte_rows, mix64, ship, span_hashes, word_spans, words_of
+from panelyard.llm.common import byte_rows, mix64, ship, span_hashes, tidied, word_spans, words_of
 from panelyard.llm.components import components
 from panelyard.plans.skew import attach
 from panelyard.plans.stage import stage
@@ -128,7 +128,7 @@ def _sketches(docs: DataFrame, settings: Settings) -> DataFrame:
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(signs, pa.binary())],
                 ["doc_id", "n", "d1", "d2", "bands", "sign"])
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n long, d1 long, d2 long, bands array<long>, sign binary")
+    return docs.select("doc_id", "text").mapInArrow(tidied(sketch), "doc_id long, n long, d1 long, d2 long, bands array<long>, sign binary")
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
@@ -147,7 +147,7 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), *batch.columns[1:]], ["hashes", *names])
 
     rows = attach(docs.select(F.col("doc_id").alias("id"), "text"), wanted, ["id"], "inner")
-    return rows.select("text", *names).mapInArrow(build, schema)
+    return rows.select("text", *names).mapInArrow(tidied(build), schema)
 
 
 def _pivot_groups(pairs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
@@ -177,7 +177,7 @@ def _candidates(pairs: DataFrame, signs: DataFrame, settings: Settings) -> DataF
         "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pivots = pivots.select(F.xxhash64("b", "block").alias("key"), F.col("n").alias("n_b"), F.col("sign").alias("sign_b"))
     rows = rows.join(pivots, "key").select("a", "b", "key", "n_a", "n_b", "sign_a", "sign_b")
-    return rows.mapInArrow(compare, "a long, b long, key long").distinct()
+    return rows.mapInArrow(tidied(compare), "a long, b long, key long").distinct()
 
 
 def _check(found: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
@@ -201,7 +201,7 @@ def _check(found: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     rows = found.select(F.col("a").alias("id"), "key", F.lit(False).alias("first")).unionByName(
         found.select(F.col("b").alias("id"), "key", F.lit(True).alias("first")).distinct())
     rows = _with_sets(docs, rows, settings).repartition("key").sortWithinPartitions("key", F.col("first").desc(), "id")
-    return rows.mapInArrow(check, "a long, b long").distinct()
+    return rows.mapInArrow(tidied(check), "a long, b long").distinct()
 
 
 def _mixed(members: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
@@ -293,7 +293,7 @@ def _best(mixed: DataFrame, signs: DataFrame, settings: Settings) -> DataFrame:
 
     rows = mixed.join(signs, "id").select("key", "id", "n", "component", "sign")
     rows = rows.repartition("key").sortWithinPartitions("key", "id")
-    return rows.mapInArrow(compare, "a long, b long").distinct()
+    return rows.mapInArrow(tidied(compare), "a long, b long").distinct()
 
 
 def _near(mixed: DataFrame, signs: DataFrame, settings: Settings) -> DataFrame:
@@ -316,7 +316,7 @@ def _near(mixed: DataFrame, signs: DataFrame, settings: Settings) -> DataFrame:
 
     rows = mixed.join(signs, "id").select("key", "id", "n", "component", "sign")
     rows = rows.repartition("key").sortWithinPartitions("key", "id")
-    return rows.mapInArrow(compare, "key long, id long, component long")
+    return rows.mapInArrow(tidied(compare), "key long, id long, component long")
 
 
 def _rest(near: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
@@ -346,7 +346,7 @@ def _rest(near: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     rows = _with_sets(docs, near, settings).select("key", "id", "component", "hashes")
-    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(join, "a long, b long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(tidied(join), "a long, b long").distinct()
 
 
 def _crowd(mixed: DataFrame, settings: Settings) -> tuple[int, int]:

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import ship
+from panelyard.llm.common import ship, tidied
 from panelyard.llm.tokens import TokenCache
 from panelyard.plans.stage import stage
 
@@ -129,7 +129,7 @@ def pack_lengths(pieces: DataFrame, length: int = LENGTH, slack: int = 8, fan: i
 
     narrow = pieces.select("doc_id", F.col("piece").cast("int"), F.col("start").cast("long"), F.col("length").cast("int"),
                            F.col("crc").cast("long"))
-    rounds = [stage(narrow.mapInArrow(local, BINS), "packed")]
+    rounds = [stage(narrow.mapInArrow(tidied(local), BINS), "packed")]
     parts = (rounds[0].agg(F.max("part")).first()[0] or 0) + 1
     final = None
     while parts > 1:
@@ -143,11 +143,11 @@ def pack_lengths(pieces: DataFrame, length: int = LENGTH, slack: int = 8, fan: i
             merged = moved.sortWithinPartitions("group").select("fill", "sequence_id", "pieces")
         else:
             merged = moved.select("fill", "sequence_id", "pieces")
-        rounds.append(stage(merged.mapInArrow(again(len(rounds) + 1), BINS), "packed"))
+        rounds.append(stage(merged.mapInArrow(tidied(again(len(rounds) + 1)), BINS), "packed"))
         parts = min(parts, (rounds[-1].agg(F.max("part")).first()[0] or 0) + 1) if parts > 1 else 1
     final = rounds[-1] if final is None else final.unionByName(rounds[-1])
     return final.select("sequence_id", "pieces").mapInArrow(
-        unpack, "doc_id long, piece int, start long, length int, crc long, sequence_id long, offset long")
+        tidied(unpack), "doc_id long, piece int, start long, length int, crc long, sequence_id long, offset long")
 
 
 def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,6 +186,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end: int, length: int = LENGTH
                 if size >= WINDOW_BYTES or k == batch.num_rows - 1:
                     yield pieces_of(cache, batch.slice(at, k + 1 - at))
                     at, size = k + 1, 0
+        cache.clear()
 
     def pieces_of(cache: TokenCache, batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[list] = [[] for _ in names]
@@ -200,7 +201,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end: int, length: int = LENGTH
         return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=False)], names)
 
     schema = "doc_id long, piece int, start long, length int, crc long" + ", ids binary" * ids
-    return docs.select("doc_id", "text").mapInArrow(encode, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidied(encode), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end: int = 2, length: int = LENGTH, slack: int = 8) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import byte_rows
+from panelyard.llm.common import byte_rows, tidied
 from panelyard.llm.toxicity import labelled_rows
 from panelyard.plans.skew import attach
 from panelyard.plans.stage import stage
@@ -67,7 +67,7 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
             x = [features(t) for t in byte_rows(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), *batch.columns[1:]], ["x", "label", "digest"])
 
-    measured = rows.select("text", "label", "digest").mapInArrow(measure, "x array<double>, label int, digest string")
+    measured = rows.select("text", "label", "digest").mapInArrow(tidied(measure), "x array<double>, label int, digest string")
     found = measured.orderBy("digest").limit(settings.sample).select("x", "label").toArrow()
     y = found["label"].to_numpy().astype(float)
     if not len(y):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import fold, ship, texts
+from panelyard.llm.common import fold, give_back, ship, texts, tidied
 from panelyard.plans.skew import attach
 
 
@@ -85,7 +85,7 @@ def _counts(rows: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray
         at = np.flatnonzero(seen.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[0, at]), pa.array(seen[1, at])], ["bucket", "clean", "toxic"])
 
-    parts = rows.select("text", "label").mapInArrow(count, "bucket long, clean long, toxic long")
+    parts = rows.select("text", "label").mapInArrow(tidied(count), "bucket long, clean long, toxic long")
     total = parts.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     seen = np.zeros((2, size + 1))
     at = total["bucket"].to_numpy()
@@ -109,7 +109,7 @@ def _sample(rows: DataFrame, settings: Settings, active: np.ndarray) -> tuple[np
         own = rows.where(F.col("label") == k)
         last = own.select("digest").orderBy("digest").limit(settings.sample).agg(F.max("digest")).first()[0]
         some = own.where(F.col("digest") <= F.lit(last)).select("text", "label", "digest")
-        some = some.mapInArrow(pack, "label int, digest string, buckets binary").orderBy("digest", "buckets").limit(settings.sample)
+        some = some.mapInArrow(tidied(pack), "label int, digest string, buckets binary").orderBy("digest", "buckets").limit(settings.sample)
         for r in some.select("label", "buckets").toLocalIterator():
             labels.append(r[0])
             sizes.append(len(r[1]) // 4)
@@ -177,6 +177,7 @@ def scorer(model: Model):
         for column in batches:
             z = np.array([shared.weights[buckets(t, shared.settings)].sum(dtype=np.float64) for t in texts(column)]) + shared.intercept
             yield pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))), pa.float64())
+        give_back()
 
     return score
 
