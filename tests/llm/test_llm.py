@@ -366,6 +366,25 @@ def test_sampled_pieces_follow_the_lattice():
         assert abs(seen[ids] / 4000 - w / total) < 0.04
 
 
+def test_sampled_pieces_of_odd_and_long_texts(monkeypatch):
+    lattice = pieces.Lattice.of(PIECES, pieces.SMOOTH)
+    odd = ["", " ", "▁", " ▁ ", "a ▁▁ b", "é世界😀\x00\x01", "   x  ", "\n\n a\t b", "a" * 3000, "word" * 900 + " tail", "😀" * 1500, "x y " * 3000]
+    rows = [(t, str(k)) for k, t in enumerate(odd)]
+    whole = [ids.tolist() for ids in lattice.sample_all(rows)]
+    assert [lattice.decode(ids) for ids in whole] == odd
+    assert whole == [lattice.sample(t, k) for t, k in rows]
+    monkeypatch.setattr(pieces, "SLAB", 50)  # draws do not depend on the slabs
+    assert whole == [ids.tolist() for ids in lattice.sample_all(rows)]
+
+
+def test_long_segments_follow_the_same_law(monkeypatch):
+    lattice = pieces.Lattice.of(PIECES, 1e-4)
+    rows = [(" therefore" * 3, str(k)) for k in range(300)]
+    whole = lattice.sample_all(rows)
+    monkeypatch.setattr(pieces, "WHOLE", 4)  # all by blocks of positions
+    assert [a.tolist() for a in whole] == [a.tolist() for a in lattice.sample_all(rows)]
+
+
 def test_licences_are_inherited(make_docs):
     rows = [(1, "x\nReleased under the MIT License.", "a", "r"), (2, "plain text", "a/b", "r"), (3, "Licensed under CC BY-NC 4.0.", "a/b", "r"),
             (4, "plain", "a/b/c", "r"), (5, "plain", "z", "r"), (6, None, None, None), (None, "Released under the MIT License.", "q", "r"), (7, "under the license of a friend", "z", "r")]
