@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import blake2b
 from math import exp, log
@@ -62,10 +63,18 @@ class Lattice:
     def _grow(self) -> None:
         """A trie of the pieces in arrays: steps are sorted numbers of (node, character)."""
         self.prefixes.update((p, k) for k, p in enumerate(sorted(self.prefixes), 1))
-        self._alphabet = np.unique([ord(p[-1]) for p in self.prefixes])
-        steps = sorted(((self.prefixes.get(p[:-1], 0) << 32) | int(np.searchsorted(self._alphabet, ord(p[-1]))), k) for p, k in self.prefixes.items())
-        self._steps, self._next = np.array([k for k, _ in steps]), np.array([n for _, n in steps])
-        self._id, self._value = np.full(len(steps) + 1, -1), np.zeros(len(steps) + 1)
+        alphabet = sorted({p[-1] for p in self.prefixes})
+        self._width = len(alphabet) + 1  # number 0 is any other character
+        number = {c: k for k, c in enumerate(alphabet, 1)}
+        self._number = np.zeros(0x110000, np.int32)
+        self._number[[ord(c) for c in alphabet]] = np.arange(1, self._width)
+        self._number[32], self._number[ord(SPACE)] = self._number[ord(SPACE)], 0  # a mark in the text is literal
+        kind = np.int32 if self._width * (len(self.prefixes) + 1) < 1 << 31 else np.int64
+        steps = sorted((self.prefixes.get(p[:-1], 0) * self._width + number[p[-1]], k) for p, k in self.prefixes.items())
+        self._steps, self._next = np.array([k for k, _ in steps], kind), np.array([n for _, n in steps], kind)
+        self._root = np.zeros(self._width, kind)
+        self._root[[number[p] for p in self.prefixes if len(p) == 1]] = [k for p, k in self.prefixes.items() if len(p) == 1]
+        self._id, self._value = np.full(len(steps) + 1, -1, np.int32), np.zeros(len(steps) + 1)
         for p, (i, value, _) in self.weight.items():
             self._id[self.prefixes[p]], self._value[self.prefixes[p]] = i, value
 
@@ -100,22 +109,25 @@ class Lattice:
 
         A character that is no piece of its own goes as its bytes.
         """
-        char = np.searchsorted(self._alphabet, np.where(raw == 32, ord(SPACE), raw))
-        char[self._alphabet[np.minimum(char, len(self._alphabet) - 1)] != np.where(raw == 32, ord(SPACE), raw)] = len(self._alphabet)
-        char[raw == ord(SPACE)] = len(self._alphabet)  # a literal space mark
-        live, node = np.arange(len(raw)), np.zeros(len(raw), np.int64)
+        char = self._number[raw]
+        node = self._root[char]
+        live = np.flatnonzero(node)
+        node = node[live]
         for length in range(1, self.longest + 1):
-            wanted = (node << 32) | char[live + length - 1]
-            at = np.minimum(np.searchsorted(self._steps, wanted), len(self._steps) - 1)
-            there = self._steps[at] == wanted
-            live, node = live[there], self._next[at[there]]
+            if length > 1:
+                wanted = node * self._steps.dtype.type(self._width) + char[live + length - 1]
+                at = np.minimum(np.searchsorted(self._steps, wanted), len(self._steps) - 1)
+                there = self._steps[at] == wanted
+                live, node = live[there], self._next[at[there]]
             ids = self._id[node]
             if length == 1:
                 code, value = raw + self.size, (1 + (raw >= 0x80) + (raw >= 0x800) + (raw >= 0x10000)) * self.fallback
-                code[live[ids >= 0]], value[live[ids >= 0]] = ids[ids >= 0], self._value[node[ids >= 0]]
+                own = ids >= 0
+                code[live[own]], value[live[own]] = ids[own], self._value[node[own]]
                 yield np.arange(len(raw)), 1, code, value
             else:
-                yield live[ids >= 0], length, ids[ids >= 0], self._value[node[ids >= 0]]
+                own = ids >= 0
+                yield live[own], length, ids[own], self._value[node[own]]
             longer = live + length < after[live]
             live, node = live[longer], node[longer]
 
@@ -127,7 +139,7 @@ class Lattice:
         each node; and per way the running share of its node's probability,
         its start position and its code.
         """
-        raw = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32).astype(np.int64)
+        raw = np.frombuffer("".join(segments).encode("utf-32-le"), np.int32)
         rank = np.repeat(np.arange(len(size)), size)
         base = np.cumsum(size) - size
         depth = np.arange(len(raw)) - base[rank]
@@ -214,19 +226,19 @@ class Lattice:
     def _sample(self, slab: list[tuple[int, np.uint64, int, str]], out: list[list[np.ndarray]]) -> None:
         """Backward sampling of all segments of some parts of texts, one piece of each a step."""
         segments: list[str] = []
-        counts, places = [], []
+        counts, sizes, places = [], [], []
         for _, _, at, part in slab:
             found = _SEGMENTS.findall(part)
             segments += found
             counts.append(len(found))
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            places.append(at + np.cumsum(size) - size)
-        place = np.concatenate(places)
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            places.append(at + np.cumsum(sizes[-1]) - sizes[-1])
+        size, place = np.concatenate(sizes), np.concatenate(places)
         seed = np.repeat(np.array([s[1] for s in slab], np.uint64), counts)
-        size = np.fromiter(map(len, segments), np.int64, len(segments))
         long = {int(k): self._long(segments[k], seed[k], int(place[k])) for k in np.flatnonzero(size > WHOLE)}
         rank_of = dict.fromkeys(segments, 0)
-        distinct = sorted((x for x in rank_of if len(x) <= WHOLE), key=len, reverse=True)
+        distinct = sorted(rank_of, key=len, reverse=True)
+        distinct = distinct[bisect_left(distinct, -WHOLE, key=lambda x: -len(x)):]
         rank_of.update(zip(distinct, range(len(distinct)), strict=True))
         rank = np.fromiter(map(rank_of.__getitem__, segments), np.int64, len(segments))
         many = np.zeros(len(segments), np.int64)
