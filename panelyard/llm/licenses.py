@@ -23,6 +23,8 @@ _ID = r"(?:\([ \t]*)*[A-Za-z0-9][A-Za-z0-9.+:-]*(?:[ \t]*\))*"
 _TAG = re.compile(rf"SPDX-License-Identifier:[ \t]*({_ID}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_ID})*)", re.IGNORECASE)
 #: templates of so many words are told apart before sentences are looked at, which several licences may share
 LONG = 30
+#: paths of files that hold a licence by their name
+FILE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|copyright|notice|unlicense)([-._][^/]*)?$"
 _SPARE = 1e-12
 _PIECE = re.compile(_TOKEN.pattern + r"|\n")
 
@@ -200,14 +202,18 @@ class Matcher:
         return float((dot / np.sqrt(words.windows(size))).max())
 
     def best(self, text: str, least: float) -> tuple[str | None, float]:
-        """Licence and cosine of the text's best passage, ties to the first name; none under ``least``.
+        """Licence and cosine of the text's best passage, ties to the first name; none under ``least``."""
+        return self.declared(text, least)[:2]
 
-        An SPDX tag is a declaration of cosine 1. Long templates that reach
-        ``least`` go before sentences.
+    def declared(self, text: str, least: float) -> tuple[str | None, float, bool]:
+        """Licence and cosine of the best passage, and whether its template is as long as half of the text.
+
+        An SPDX tag is a declaration of cosine 1, and a header. Long templates
+        that reach ``least`` go before sentences.
         """
         tag = declared_tag(text, self.names)
         if tag is not None:
-            return tag, 1.0
+            return tag, 1.0, False
         if len(self.numbers) > 1 << 18:
             self.numbers = self._fresh()
         rare = len(self.rank)
@@ -215,7 +221,7 @@ class Matcher:
         held = np.unique(words.known)
         held = held[held < rare]
         if len(held) < 2:
-            return None, 0.0
+            return None, 0.0, False
         bounds = self._bounds(words, held)
         scores = self._parts(words, held)
         long = self.sizes >= LONG
@@ -229,24 +235,27 @@ class Matcher:
                 scores[k] = max(scores[k], self._cosine(words, k, top))
                 top = max(top, scores[k])
             high = max(high, top)
-        name, top = None, 0.0
+        name, top, most = None, 0.0, False
         for k in np.flatnonzero(long) if scores[long].max(initial=0.0) >= least else range(len(scores)):  # by name
             if scores[k] > top + _SPARE:
-                name, top = self.licences[k], float(scores[k])
-        return (name, min(top, 1.0)) if top >= least else (None, min(top, 1.0))
+                name, top, most = self.licences[k], float(scores[k]), bool(2 * self.sizes[k] >= len(words.ids))
+        return (name, min(top, 1.0), most) if top >= least else (None, min(top, 1.0), False)
 
 
 def scan(files: DataFrame, path: Column, least: float = 0.8, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """doc_id, path, own, cosine, licence, inherited_from of every row of ``files`` (doc_id, text).
+    """doc_id, path, own, cosine, licence, inherited_from, licence_file of every row of ``files`` (doc_id, text).
 
     Every line, every block of lines, the whole text and every run of words as long
     as a template are compared with the templates, after SPDX tags; document
-    frequencies are those of all files. A file without a licence of its own takes
-    that of its directory, or of the nearest directory above that has one; a
-    directory has the licence of its declaring file with the smallest id. Paths
-    use "/"; a null path is the root. Null and empty texts declare nothing; rows
-    with a null id declare for themselves only; repeated rows agree; an empty
-    table gives no rows; other columns are left out.
+    frequencies are those of all files. A licence file is a file with a licence
+    whose template makes up at least half of its words, or that is named like one
+    (``FILE_NAMES``); a header or tag within another text holds for its own file
+    only. A file without a licence of its own takes that of its directory, or of
+    the nearest directory above that has one; a directory has the licence of its
+    licence file with the smallest id. Paths use "/"; a null path is the root.
+    Null and empty texts declare nothing; rows with a null id declare for
+    themselves only; repeated rows agree; very long texts are matched whole; an
+    empty table gives no rows; other columns are left out.
     """
     ship(files.sparkSession)
     templates = TEMPLATES if templates is None else templates
@@ -256,15 +265,17 @@ def scan(files: DataFrame, path: Column, least: float = 0.8, templates: dict[str
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(templates, found, docs)
         for batch in batches:
-            best = [matcher.best(t, least) for t in texts(batch.column(2))]
+            best = [matcher.declared(t, least) for t in texts(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b[0] for b in best], pa.string()),
-                                              pa.array([b[1] for b in best], pa.float64())], ["doc_id", "path", "own", "cosine"])
+                                              pa.array([b[1] for b in best], pa.float64()), pa.array([b[2] for b in best], pa.bool_())],
+                                             ["doc_id", "path", "own", "cosine", "most"])
 
     rows = files.select("doc_id", F.coalesce(path, F.lit("")).alias("path"), "text").mapInArrow(
-        match, "doc_id long, path string, own string, cosine double")
+        match, "doc_id long, path string, own string, cosine double, most boolean")
+    rows = rows.withColumn("licence_file", F.col("own").isNotNull() & (F.col("most") | F.col("path").rlike(FILE_NAMES))).drop("most")
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     rows = stage(rows.withColumn("folder", folder), "licences")
-    declared = rows.where("own IS NOT NULL AND doc_id IS NOT NULL").groupBy("folder").agg(F.min(F.struct("doc_id", "own")).alias("d"))
+    declared = rows.where("licence_file AND doc_id IS NOT NULL").groupBy("folder").agg(F.min(F.struct("doc_id", "own")).alias("d"))
     declared = declared.select(F.col("folder").alias("above"), F.col("d.own").alias("licence"))
     # one row per folder and ancestor: at most its depth
     parts = F.split("folder", "/")
@@ -275,4 +286,4 @@ def scan(files: DataFrame, path: Column, least: float = 0.8, templates: dict[str
     near = near.select("folder", F.col("n.above").alias("above"), F.col("n.licence").alias("near"))
     rows = attach(rows, near, ["folder"])
     return rows.select("doc_id", "path", "own", "cosine", F.coalesce("own", "near").alias("licence"),
-                       F.when(F.col("own").isNull(), F.col("above")).alias("inherited_from"))
+                       F.when(F.col("own").isNull(), F.col("above")).alias("inherited_from"), "licence_file")

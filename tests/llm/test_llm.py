@@ -395,6 +395,17 @@ def test_licences_are_inherited(make_docs):
     assert licenses.scan(make_docs([]), F.lit("a")).count() == 0
 
 
+def test_only_licence_files_rule_a_directory(make_docs):
+    header = "Released under the MIT License.\n" + "some other words of a program\n" * 40
+    tag = "# SPDX-License-Identifier: Apache-2.0\n" + "x = y + z\n" * 40
+    rows = [(1, header, "a/main", "r"), (2, "plain", "a/b", "r"), (3, tag, "c/main", "r"), (4, "plain", "c/b", "r"),
+            (5, header, "d/LICENSE.md", "r"), (6, "plain", "d/e/f", "r"), (7, "Released under the MIT License.", "g/h", "r"), (8, None, "g/i", "r"),
+            (9, "no words of any grant", "k/COPYING", "r"), (10, "plain", "k/l", "r")]
+    out = {r["doc_id"]: r for r in licenses.scan(make_docs(rows), F.col("lang")).collect()}
+    assert [out[k]["licence"] for k in range(1, 11)] == ["MIT", None, "Apache-2.0", None, "MIT", "MIT", "MIT", "MIT", None, None]
+    assert [k for k in out if out[k]["licence_file"]] == [5, 7] and out[6]["inherited_from"] == "d" and out[8]["inherited_from"] == "g"
+
+
 def test_licences_in_headers_and_files(make_docs):
     from panelyard.llm.license_texts import TEMPLATES
 
