@@ -13,6 +13,7 @@ from panelyard.plans.stage import stage
 SPLIT = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+UNIT = 1000
 
 
 @dataclass(frozen=True)
@@ -104,24 +105,32 @@ def quartiles(sketches: DataFrame, group: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.max("size").alias("size"), first(1).alias("q1"), first(3).alias("q3"))
 
 
-def limits(rows: DataFrame, lang: str, source: str, least_rows: int = 200) -> DataFrame:
-    """One row per (lang, source) with the fences of each rule.
+def shrunk(sketches: DataFrame, group: list[str], toward: DataFrame, on: list[str], prior: int) -> DataFrame:
+    """Sketches of groups to which ``prior`` documents are added, spread as in the sketch ``toward`` of a wider group.
 
-    Fences are those of the pair if it has ``least_rows`` documents, else of the
-    language merged over sources if that has, else of the whole table.
+    Counts come back in thousandths of a document, as integers. A wider sketch
+    is one row per group and rule, at most 32 buckets per power of two in it.
     """
-    own = stage(sketch(rows, [lang, source]), "sketches")
-    per_lang = merge(own, [lang])
-    pair = quartiles(own, [lang, source])
-    by_lang = quartiles(per_lang, [lang]).select(lang, "rule", *[F.col(c).alias(f"{c}_l") for c in ("size", "q1", "q3")])
-    whole = quartiles(merge(per_lang, []), []).select("rule", *[F.col(c).alias(f"{c}_a") for c in ("q1", "q3")])
-    every = pair.join(by_lang, [lang, "rule"]).join(F.broadcast(whole), "rule")  # one row per rule
+    key = [*on, "rule"]
+    wider = toward.groupBy(*key).agg(F.sum("n").alias("__total"), F.collect_list(F.struct("bucket", "n")).alias("__wider"))
+    added = attach(sketches.select(*group, "rule").distinct(), wider, key).withColumn("w", F.explode("__wider"))
+    share = F.expr(f"CAST({prior * UNIT} AS DECIMAL(16, 0)) * CAST(w.n AS DECIMAL(20, 0)) div __total")
+    added = added.select(*group, "rule", F.col("w.bucket").alias("bucket"), share.cast("long").alias("n"))
+    own = sketches.select(*group, "rule", "bucket", (F.col("n") * UNIT).alias("n"))
+    return merge(own.unionByName(added), group)
+
 
-    def pick(q: str) -> Column:
-        return (F.when(F.col("size") >= least_rows, F.col(q)).when(F.col("size_l") >= least_rows, F.col(f"{q}_l"))
-                .otherwise(F.col(f"{q}_a")))
+def limits(rows: DataFrame, lang: str, source: str, prior: int = 200) -> DataFrame:
+    """One row per (lang, source) with the fences of each rule.
 
-    every = every.select(lang, source, "rule", pick("q1").alias("q1"), pick("q3").alias("q3"))
+    Quartiles are those of the pair's sketch with ``prior`` documents spread as in
+    its language, where the language's own sketch has as many spread as in the
+    whole table: the more documents a pair has, the more its fences are its own.
+    """
+    own = stage(sketch(rows, [lang, source]), "sketches")
+    per_lang = stage(merge(own, [lang]), "sketches")
+    languages = stage(shrunk(per_lang, [lang], merge(per_lang, []), [], prior), "sketches")
+    every = quartiles(shrunk(own, [lang, source], languages, [lang], prior), [lang, source])
     spread = {r.name: r.reach * F.greatest(F.col("q3") - F.col("q1"), F.lit(r.least)) for r in RULES}
     fences = []
     for r in RULES:
@@ -132,7 +141,7 @@ def limits(rows: DataFrame, lang: str, source: str, least_rows: int = 200) -> Da
     return every.groupBy(lang, source).agg(*fences)
 
 
-def judge(docs: DataFrame, least_rows: int = 200) -> DataFrame:
+def judge(docs: DataFrame, prior: int = 200) -> DataFrame:
     """Measures, fences and verdict per document; columns doc_id, lang, source, text are read.
 
     ``base_failed``: under 20 words, or over 30 % of the words in repeated
@@ -148,7 +157,7 @@ def judge(docs: DataFrame, least_rows: int = 200) -> DataFrame:
     rows = rule_values(measures(rows).drop("text"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = stage(rows.withColumn("base_failed", failed), "measures")
-    fences = limits(rows.where(~F.col("base_failed")), "lang", "source", least_rows)
+    fences = limits(rows.where(~F.col("base_failed")), "lang", "source", prior)
     rows = attach(rows, fences, ["lang", "source"])
     inside = F.lit(True)
     for r in RULES:

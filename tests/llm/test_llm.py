@@ -267,6 +267,43 @@ def test_every_rule_can_reject_what_passes_the_base(make_docs):
     assert "repeat_permille" in out.columns and "repeat_permille_high" not in out.columns
 
 
+def test_fences_shrink_to_the_language_gradually(make_docs):
+    def plain(k):
+        return " ".join(f"word{k}x{j}" for j in range(30))
+
+    def marked(k, n):
+        return plain(k) + " " + "#" * n
+
+    rows = [(k, plain(k), "en", "big") for k in range(400)] + [(1000 + k, marked(k, 40), "en", "few") for k in range(3)]
+    rows += [(2000 + k, marked(k, 40), "en", "own") for k in range(300)] + [(5000, plain(1), "xx", None)]
+    out = rules.judge(make_docs(rows), prior=20).collect()
+    high = {r["source"]: r["symbol_permille_high"] for r in out}
+    kept = collections.Counter((r["source"], r["kept"]) for r in out)
+    # a language of both kinds has a wide spread, which the few take over and the many do not
+    assert high["big"] < high["own"] < high["few"] and kept["own", True] == 300 and kept["big", True] == 400
+    wide = {r["source"]: r["symbol_permille_high"] for r in rules.judge(make_docs(rows), prior=10 ** 6).collect()}
+    assert wide["few"] == wide["big"]  # the prior alone
+
+    def by_hand(own, toward, prior, part):
+        weights = {b: 1000 * own.get(b, 0) + prior * 1000 * toward.get(b, 0) // sum(toward.values()) for b in {*own, *toward}}
+        seen = 0
+        for b in sorted(weights):
+            seen += weights[b]
+            if 4 * seen >= part * sum(weights.values()):
+                return b, weights
+    values = collections.defaultdict(collections.Counter)
+    for r in out:
+        v = r["symbol_permille"]
+        cut = max(v.bit_length() - 6, 0)
+        for group in ((r["lang"], r["source"]), (r["lang"],), ()):
+            values[group][v >> cut << cut] += 1
+    for pair in [g for g in values if len(g) == 2]:
+        _, language = by_hand(values[pair[:1]], values[()], 20, 1)
+        q1, _ = by_hand(values[pair], language, 20, 1)
+        q3, _ = by_hand(values[pair], language, 20, 3)
+        assert high[pair[1]] == q3 + 3 * max(q3 - q1, 20)
+
+
 def test_shards_match_the_mixture(spark, make_docs, monkeypatch):
     monkeypatch.setattr(sharding, "BUCKET_ROWS", 50)  # many buckets
     rows = [(i, f"text {i % 90}", "en", "hot" if i % 3 == 0 else f"s{i % 7}") for i in range(1000)] + [(None, None, None, None)] * 60
