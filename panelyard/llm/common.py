@@ -7,6 +7,7 @@ import io
 import tempfile
 import zipfile
 from collections.abc import Iterator
+from hashlib import blake2b
 from pathlib import Path
 
 import numpy as np
@@ -101,20 +102,32 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span ``data[start:end]``, the same at every place."""
-    up, down = power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * down[starts]
-    return mix64(raw + mix64((ends - starts).astype(np.uint64)))
+class WordDigests(dict):
+    """64 bits of a cryptographic digest of each word, remembered up to ``limit`` bytes and then forgotten.
 
+    Sums of powers modulo 2**64 are equal for some long words whatever the base;
+    no such pair of words is known for a digest.
+    """
 
-def word_spans(words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, starts and ends of the words of a text joined by single spaces."""
-    data = np.frombuffer(words, np.uint8)
-    gaps = np.flatnonzero(data == 32)
-    return data, np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(data)]))
+    def __init__(self, limit: int = 32 << 20):
+        super().__init__()
+        self.limit, self.held = limit, 0
+
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if self.held > self.limit:
+            self.clear()
+            self.held = 0
+        if len(word) <= 256:  # a longer one is seldom seen again
+            self[word] = value
+            self.held += len(word) + 150
+        return value
+
+
+def word_digests(words: list[bytes], known: WordDigests | None = None) -> np.ndarray:
+    """Digest of each word as unsigned 64-bit values."""
+    known = WordDigests() if known is None else known
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import byte_rows, fold, ship, span_hashes, word_spans, words_of
+from panelyard.llm.common import WordDigests, byte_rows, fold, ship, word_digests, words_of
 from panelyard.plans.stage import stage
 
 ORDER = 5
@@ -65,13 +65,9 @@ def _positions(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys[inside], row[inside]
 
 
-def word_hashes(text: bytes) -> np.ndarray:
+def word_hashes(text: bytes, known: WordDigests | None = None) -> np.ndarray:
     """Hashes of the words of a normal text, the end included."""
-    body = text[:-1]
-    if not body:
-        return np.array([END_WORD], np.int64)
-    data, starts, ends = word_spans(body)
-    return np.append(span_hashes(data, starts, ends).astype(np.int64), END_WORD)
+    return np.append(word_digests(text[:-1].split(), known).astype(np.int64), END_WORD)
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,10 +83,11 @@ def counts(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordDigests()
         held: list[tuple[list, list]] = [([], []), ([], [])]
         for batch in batches:
             for _, texts in _windows(batch, 0):
-                words = np.concatenate([word_hashes(t) for t in texts])
+                words = np.concatenate([word_hashes(t, known) for t in texts])
                 for kind, keys in ((0, _positions(texts)[0]), (1, words)):
                     seen, n = np.unique(keys, return_counts=True)
                     held[kind][0].append(seen)
@@ -298,7 +295,7 @@ def _scored(rows: DataFrame, shared, low, total: int, kinds: int, keyed: bool) -
         models, trie, memo = BUILT[name]
         if trie is not None:
             memo_key, _, first, stop = models[0]
-        smooth = np.log10(float(total + kinds + 1))
+        smooth, known = np.log10(float(total + kinds + 1)), WordDigests()
         for batch in batches:
             sums = np.zeros((5, batch.num_rows))
             for at, texts in _windows(batch, 1):
@@ -320,7 +317,7 @@ def _scored(rows: DataFrame, shared, low, total: int, kinds: int, keyed: bool) -
                     each = np.empty(len(keys))
                     each[order] = value[np.cumsum(start) - 1]
                     sums[4, span] = np.bincount(row, each, len(texts))
-                hashes = [word_hashes(t) for t in texts]
+                hashes = [word_hashes(t, known) for t in texts]
                 size = np.array([len(h) for h in hashes])
                 sums[0, span] = size
                 if 1 in models:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import byte_rows, mix64, ship, span_hashes, tidied, word_spans, words_of
+from panelyard.llm.common import WordDigests, byte_rows, mix64, ship, tidied, word_digests, words_of
 from panelyard.llm.components import components
 from panelyard.plans.skew import attach
 from panelyard.plans.stage import stage
@@ -34,14 +35,29 @@ class Settings:
         return self.bands * self.rows
 
 
-def shingles(text: bytes, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a whole text; with fewer words, of the whole sequence."""
+def shingles(text: bytes, words: int, known: WordDigests | None = None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a whole text; with fewer words, of the whole sequence.
+
+    A shingle's hash is a chain of mixed word digests that starts from their
+    number, so shingles that differ in one word never agree unless two digests
+    do; any other two agree with a chance of 2**-64.
+    """
     found = words_of(text)
     if not found:
         return np.zeros(0, np.uint64)
-    data, starts, ends = word_spans(b" ".join(found))
-    k = min(words, len(found)) - 1
-    return np.unique(span_hashes(data, starts[: len(starts) - k], ends[k:]))
+    each = word_digests(found, known)
+    size = min(words, len(each))
+    last = len(each) - size + 1
+    out = np.full(last, size, np.uint64)
+    for k in range(size):
+        out = mix64((out * np.uint64(0x9E3779B97F4A7C15)) ^ each[k:k + last])
+    return np.unique(out)
+
+
+def digest(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits of a cryptographic digest of a sorted set, as two signed numbers."""
+    one, other = np.frombuffer(blake2b(hashes.tobytes(), digest_size=16).digest(), "<i8")
+    return int(one), int(other)
 
 
 def registers(hashes: np.ndarray, settings: Settings) -> np.ndarray:
@@ -111,13 +127,15 @@ def linked(a: np.ndarray, b: np.ndarray, settings: Settings) -> bool:
 def _sketches(docs: DataFrame, settings: Settings) -> DataFrame:
     """doc_id, n, digest of the set (d1, d2), band keys and short sketch of every row."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordDigests()
         for batch in batches:
             n, d1, d2, bands, signs = [], [], [], [], []
             for text in byte_rows(batch.column(1)):
-                h = shingles(text, settings.words)
+                h = shingles(text, settings.words, known)
+                one, other = digest(h)
                 n.append(len(h))
-                d1.append(int(h.sum(dtype=np.uint64).astype(np.int64)))
-                d2.append(int(mix64(h ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
+                d1.append(one)
+                d2.append(other)
                 found = registers(h, settings) if len(h) else None
                 bands.append(b"" if found is None else band_keys(found, settings).tobytes())
                 signs.append(b"" if found is None else signature(found, settings).tobytes())
@@ -137,12 +155,12 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFr
     schema = "hashes binary, " + ", ".join(f"{n} {t}" for n, t in wanted.dtypes)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, packed = None, b""
+        last, packed, known = None, b"", WordDigests()
         for batch in batches:
             sets = []
             for text in byte_rows(batch.column(0)):
                 if text != last:  # rows of one document come together
-                    last, packed = text, shingles(text, settings.words).tobytes()
+                    last, packed = text, shingles(text, settings.words, known).tobytes()
                 sets.append(packed)
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), *batch.columns[1:]], ["hashes", *names])
 
