@@ -83,6 +83,25 @@ def test_near_duplicates_of_a_chain_and_blocks(spark, make_docs):
     assert got == brute_components(rows)
 
 
+def test_texts_made_to_agree_in_sums_of_powers_stay_apart(make_docs):
+    """A word of 1024 letters and its complement agree in any sum of powers modulo 2**64; so do the same patterns of words."""
+    signs = [bin(i).count("1") % 2 for i in range(1024)]
+    pairs = [("".join("ab"[s] for s in signs), "".join("ba"[s] for s in signs)),
+             (" ".join(("left", "right")[s] for s in signs), " ".join(("right", "left")[s] for s in signs))]
+    rows = [(k, t) for k, t in enumerate(t for p in pairs for t in p)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(make_docs([(*r, "en", "s") for r in rows])).collect()}
+    assert got == brute_components(rows) and got[1][1] == 1
+    kinds = lm.counts(make_docs([(*r, "en", "s") for r in rows[:2]])).where("kind = 1").collect()
+    assert sorted(r["n"] for r in kinds) == [1, 1, 2]  # two words and two ends
+
+
+def test_word_digests_forget():
+    from panelyard.llm.common import WordDigests, word_digests
+    few, words = WordDigests(limit=1000), [str(i).encode() for i in range(500)] * 2 + [b"x" * 5000]
+    assert (word_digests(words, few) == word_digests(words)).all()
+    assert len(few) < 20
+
+
 def test_classes_come_back_by_a_salted_join(spark, make_docs):
     rows = [(i, "the same copy of a text in every third row" if i % 3 == 0 else f"own text {i} of row {i * 7} here", "en", "s") for i in range(60)]
     spark.conf.set("spark.panelyard.broadcastBytes", "0")
@@ -172,23 +191,41 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(frame.limit(0), frame.limit(0)).count() == 0
 
 
-def test_pairs_of_blocks_are_made_in_many_tasks(spark):
+def test_a_query_block_goes_through_runs_of_blocks(spark):
     rng = np.random.default_rng(2)
     vectors = rng.integers(-20, 20, (90, 4))
     frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
-    spark.conf.set("spark.panelyard.broadcastBytes", "0")
-    try:
-        out = topk.top_k(frame, frame.where("vec_id % 9 = 0"), k=5, block=8)
-        assert "__salt" in out._jdf.queryExecution().optimizedPlan().toString()
-        got = {(r["query_id"], r["rank"]): r["vec_id"] for r in out.collect()}
-    finally:
-        spark.conf.unset("spark.panelyard.broadcastBytes")
+    out = topk.top_k(frame, frame.where("vec_id % 9 = 0"), k=5, block=8, run_bytes=4 * 8 * 8 * 3)
+    assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in out.collect()}
     scores = (64 * vectors) @ (64 * vectors).T
     for q in range(0, 90, 9):
         best = sorted((i for i in range(90) if i != q), key=lambda i: (-scores[q, i], i))[:5]
         assert [got[q, k + 1] for k in range(5)] == best
 
 
+def test_levels_drop_pairs():
+    """Unordered vectors: the last level drops a third of the pairs at least; clustered ones: the first levels do."""
+    rng = np.random.default_rng(4)
+    plain = np.floor(64 * rng.normal(size=(6000, 64)) / 8).astype(np.int64)
+    slow = np.repeat(rng.normal(size=(6000, 8)), 8, axis=1) + 0.05 * rng.normal(size=(6000, 64))
+    for x, level, most in ((plain, 32, 0.67), (np.floor(64 * slow).astype(np.int64), 16, 0.2)):
+        q, ids, left = x[::100], np.arange(len(x)), {}
+        exact = q @ x.T
+        exact[np.arange(len(q)), ids[::100]] = np.iinfo(np.int64).min
+        least = np.sort(exact, axis=1)[:, -20]
+        row, name, score = topk.best_of_block(ids[::100], q, least, ids, x, 20, survivors=left)
+        assert (np.sort(score.reshape(len(q), 20), axis=1) == np.sort(exact, axis=1)[:, -20:]).all()
+        assert left[level] <= most * left[0], left
+
+
+def test_exact_scores_of_large_components():
+    rng = np.random.default_rng(6)
+    q, x = rng.integers(-2**28, 2**28, (3, 64)), rng.integers(-2**28, 2**28, (5, 64))
+    row, col, score = topk.exact_scores(q, x, np.ones((3, 5), bool))
+    assert (score == (q @ x.T)[row, col]).all()
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(2)
     q, x = rng.integers(-99, 99, (20, 64)), rng.integers(-99, 99, (50, 64))
