@@ -50,8 +50,10 @@ def shingles(text: bytes, words: int, known: WordDigests | None = None) -> np.nd
     last = len(each) - size + 1
     out = np.full(last, size, np.uint64)
     for k in range(size):
-        out = mix64((out * np.uint64(0x9E3779B97F4A7C15)) ^ each[k:k + last])
-    return np.unique(out)
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+        out ^= each[k:k + last]
+    return np.unique(mix64(out))
 
 
 def digest(hashes: np.ndarray) -> tuple[int, int]:
