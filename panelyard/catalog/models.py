@@ -232,6 +232,20 @@ def m12(spark, sf):
     return _refit(spark, sf, selection=only_first).history.select("step_id", "status", "reason")
 
 
+@query("m12_window_counts", sql(*REFIT, body="""SELECT w AS step_id, CASE WHEN w = 0 THEN 'done' ELSE 'skipped' END AS status,
+count(*) FILTER (part = 'train') AS n_train, CAST(0 AS BIGINT) AS n_valid, count(*) FILTER (part = 'test') AS n_test,
+count(*) FILTER (part = 'future') AS n_future, CAST(CASE w WHEN 0 THEN 1 WHEN 1 THEN 1 ELSE 0 END AS BIGINT) AS n_features,
+CAST(CASE w WHEN 0 THEN 1 ELSE 0 END AS BIGINT) AS n_features_future FROM rw GROUP BY w"""))
+def m12_counts(spark, sf):
+    """Row and factor counts of every window, also of those that are skipped; window 1 has factors for one stage only."""
+    def some(rows, windows):
+        return windows.where("window_id < 2").select(
+            "window_id", F.explode(F.array(F.lit("eval"), F.when(F.col("window_id") == 0, "future"))).alias("stage"),
+            F.lit("f_qty").alias("factor"), F.lit(1).cast("long").alias("position")).where("stage IS NOT NULL")
+    return _refit(spark, sf, selection=some).history.select(
+        "step_id", "status", "n_train", "n_valid", "n_test", "n_future", "n_features", "n_features_future")
+
+
 @query("m13_signed_score", sql(*WALK, body=f"""SELECT {rr('-sqrt(avg((y-p)*(y-p)))', 'rmse', 5)}, {rr('-avg(abs(y-p))', 'mae', 5)},
 {rr('1 - sum((y-p)*(y-p))/(var_pop(y)*count(*))', 'r2', 5)} FROM sc WHERE fold = 0 AND part = 'test'"""))
 def m13(spark, sf):

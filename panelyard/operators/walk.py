@@ -31,7 +31,10 @@ from panelyard.sources.panel import write_panel
 HISTORY_SCHEMA = (
     "step_id long, fold long, model_name string, params string, params_hash string, n_features long, "
     "n_train long, train_score double, valid_score double, test_score double, future_score double, "
-    "tune_score double, tuned boolean, updated boolean, status string, reason string, model_path string")
+    "tune_score double, tuned boolean, updated boolean, status string, reason string, model_path string, "
+    "n_valid long, n_test long, n_future long, n_features_future long")
+
+HISTORY_REASON = [c.split()[0] for c in HISTORY_SCHEMA.split(", ")].index("reason")
 
 
 @dataclass
@@ -176,12 +179,14 @@ class _Slices:
         return self.panel.where(reduce(or_, inside))
 
 
-def _history_row(step, s, params, n_features, n_train, scores, tuned=False, updated=False, tune_score=None,
-                 reason=None, path=None):
+def _history_row(step, s, params, n_features, slices, scores, tuned=False, updated=False, tune_score=None,
+                 reason=None, path=None, n_future_features=None):
+    """One row per step, skipped ones included: their row and factor counts tell why."""
     get = scores.get
-    return (step, step, s.model, json.dumps(params, sort_keys=True), stable_hash(params), n_features, n_train,
+    rows = {p: slices.sizes.get((step, p), 0) for p in ("train", "valid", "test", "future")}
+    return (step, step, s.model, json.dumps(params, sort_keys=True), stable_hash(params), n_features, rows["train"],
             get("train"), get("valid"), get("test"), get("future"), tune_score, tuned, updated,
-            "skipped" if reason else "done", reason, path)
+            "skipped" if reason else "done", reason, path, rows["valid"], rows["test"], rows["future"], n_future_features)
 
 
 def _run_steps(steps: Sequence[int], work: Callable[[int], tuple], parallel: int, chained: bool) -> list[tuple]:
@@ -208,7 +213,7 @@ def walk_forward(panel: DataFrame, folds: DataFrame, index: DataFrame, features:
     def work(step: int):
         params = dict(current["params"])
         if not slices.sizes.get((step, "train")) or not slices.sizes.get((step, "test")):
-            return None, _history_row(step, s, params, len(features), 0, {}, reason="empty_part")
+            return None, _history_row(step, s, params, len(features), slices, {}, reason="empty_part")
         train = slices.part(step, "train")
         valid = slices.part(step, "valid") if slices.sizes.get((step, "valid")) else None
         bundle = fit_step(train, features, params, s, valid)
@@ -224,8 +229,8 @@ def walk_forward(panel: DataFrame, folds: DataFrame, index: DataFrame, features:
             if updated:
                 current["params"] = best
         path = _save(bundle, spark, s, step)
-        return scored, _history_row(step, s, params, len(features), slices.sizes[(step, "train")], scores, tuned,
-                                    updated, best_score, path=path)
+        return scored, _history_row(step, s, params, len(features), slices, scores, tuned, updated, best_score,
+                                    path=path)
 
     results = _run_steps(steps, work, s.parallel, bool(s.candidates))
     return _collect_run(spark, results, bundles)
@@ -244,7 +249,7 @@ def _save(bundle: Bundle, spark: SparkSession, s: WalkSettings, step: int) -> st
 def _collect_run(spark: SparkSession, results: list[tuple], bundles: dict[int, Bundle]) -> Run:
     tables = [t for t, _ in results if t is not None]
     if not tables:
-        raise ValueError("every step was skipped: " + str({r[-2] for _, r in results}))
+        raise ValueError("every step was skipped: " + str({r[HISTORY_REASON] for _, r in results}))
     history = spark.createDataFrame([r for _, r in results], HISTORY_SCHEMA)
     return Run(union_all(tables), history, bundles)
 
@@ -278,7 +283,7 @@ def refit_walk(panel: DataFrame, windows: DataFrame, index: DataFrame, features:
         empty = [p for p in ("train", "test", "future") if not slices.sizes.get((step, p))]
         reason = f"empty_{empty[0]}" if empty else None if use and use_future else "empty_selection"
         if reason:
-            return None, _history_row(step, s, params, len(use), 0, {}, reason=reason)
+            return None, _history_row(step, s, params, len(use), slices, {}, reason=reason, n_future_features=len(use_future))
         train = slices.part(step, "train")
         tuned = updated = False
         best_score = None
@@ -301,8 +306,8 @@ def refit_walk(panel: DataFrame, windows: DataFrame, index: DataFrame, features:
             _score_slice(final, slices.part(step, "future"), s, "future", step)]), "scored")
         scores = scores_by_part(scored, s.metric)
         path = _save(final, spark, s, step)
-        return scored, _history_row(step, s, fit_params, len(use), slices.sizes[(step, "train")], scores, tuned,
-                                    updated, best_score, path=path)
+        return scored, _history_row(step, s, fit_params, len(use), slices, scores, tuned, updated, best_score,
+                                    path=path, n_future_features=len(use_future))
 
     results = _run_steps(sorted(anchors), work, s.parallel, bool(s.candidates))
     return _collect_run(spark, results, bundles)

@@ -271,6 +271,8 @@ def test_walk_forward_and_choice(spark, tmp_path):
     run = Wk.walk_forward(p, folds, index, ["f1", "f2"], s)
     h = run.history.orderBy("step_id").collect()
     assert len(h) == 3 and all(r["status"] == "done" and r["test_score"] > 0.5 for r in h)
+    scored = {(r["step_id"], r["part"]): r["count"] for r in run.predictions.groupBy("step_id", "part").count().collect()}
+    assert all(scored[(r["step_id"], part)] == r[f"n_{part}"] for r in h for part in ("train", "valid", "test"))
     assert run.predictions.select("part").distinct().count() == 3
     chosen = T.choose_step(run.history, "last").first()
     back = Mo.load_bundle(spark, chosen["model_path"])
