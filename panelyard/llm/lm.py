@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import WordDigests, byte_rows, fold, ship, word_digests, words_of
+from panelyard.llm.common import WordDigests, byte_rows, fold, give_back, ship, tidied, word_digests, words_of
 from panelyard.plans.stage import stage
 
 ORDER = 5
@@ -19,7 +19,7 @@ END = 10  # a line end, which no word can hold, ends a text and pads its start
 END_WORD = 0x5BD1E995A7F3C1D5 - (1 << 63)
 SHARD_ROWS = 3_000_000
 SHARD_WORDS = 4_000_000
-WINDOW_BYTES = 1 << 21
+WINDOW_BYTES = 1 << 19  # a window takes about 100 bytes of memory per byte of text
 
 
 def normal(data: bytes) -> bytes:
@@ -83,6 +83,7 @@ def counts(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        BUILT.clear()  # a worker that scored with an earlier model does not need it now
         known = WordDigests()
         held: list[tuple[list, list]] = [([], []), ([], [])]
         for batch in batches:
@@ -103,7 +104,7 @@ def counts(docs: DataFrame) -> DataFrame:
             if held[kind][0]:
                 yield _counted(kind, *_merge(*held[kind]))
 
-    parts = docs.select("text").mapInArrow(count, "kind int, key long, n long")
+    parts = docs.select("text").mapInArrow(tidied(count), "kind int, key long, n long")
     return parts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -111,6 +112,11 @@ def _counted(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n)], ["kind", "key", "n"])
 
 
+def _narrow(n: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where they fit: every worker holds its own."""
+    return n.astype(np.uint32) if n.max(initial=0) < 1 << 32 else n
+
+
 @dataclass(frozen=True)
 class Trie:
     """Contexts of one part of the trie by order: sorted keys with counts and what exclusion needs.
@@ -205,6 +211,14 @@ def log_probability(trie: Trie, keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _known(trie: Trie, keys: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """:func:`log_probability` of many grams, some at a time."""
+    out = np.empty(len(keys))
+    for a in range(0, len(keys), step):
+        out[a:a + step] = log_probability(trie, keys[a:a + step])
+    return out
+
+
 def score_documents(docs: DataFrame, learn=None, shard_rows: int = SHARD_ROWS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text).
 
@@ -260,7 +274,7 @@ def score_documents(docs: DataFrame, learn=None, shard_rows: int = SHARD_ROWS, s
             got = chosen.select("key", "n").toArrow()
             key, n = got["key"].to_numpy(), got["n"].to_numpy()
             order = np.argsort(key)
-            models[kind] = (key[order], n[order], a, b)
+            models[kind] = (key[order], _narrow(n[order]), a, b)
         shared = spark.sparkContext.broadcast(models)
         results.append(_scored(rows, shared, low, total, word_rows, not one_pass))
     if one_pass:
@@ -289,8 +303,12 @@ def _scored(rows: DataFrame, shared, low, total: int, kinds: int, keyed: bool) -
             BUILT.clear()
             models, trie, memo = shared.value, None, None
             if 0 in models:
-                trie = build(models[0][0], models[0][1], low)
-                memo = log_probability(trie, models[0][0])
+                key, n, *_ = models[0]
+                trie = build(key, n.astype(np.int64), low)
+                memo = _known(trie, key)
+                # a gram that the memo lacks is in no place of the longest order, whose counts are done with
+                trie.seen[ORDER] = (np.zeros(0, np.int64), np.zeros(0))
+                give_back()
             BUILT[name] = models, trie, memo
         models, trie, memo = BUILT[name]
         if trie is not None:
@@ -338,4 +356,4 @@ def _scored(rows: DataFrame, shared, low, total: int, kinds: int, keyed: bool) -
                  *([batch.column(3)] if keyed else [])], names)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base_score double, score double" + ", row long" * keyed
-    return rows.select("doc_id", "text", "held_out", *(["row"] if keyed else [])).mapInArrow(score, schema)
+    return rows.select("doc_id", "text", "held_out", *(["row"] if keyed else [])).mapInArrow(tidied(score), schema)
