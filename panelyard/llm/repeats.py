@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import byte_rows, mix64, power_tables, ship
+from panelyard.llm.common import byte_rows, mix64, power_tables, ship, tidied
 from panelyard.llm.suffixes import permuted_prefixes, suffix_array
 from panelyard.plans.skew import broadcast_bytes, measured_bytes
 from panelyard.plans.stage import stage
@@ -22,6 +22,8 @@ GAP = 0xFF
 PLACE_BITS = 22
 TAG_BITS = 24
 WIDTH_BITS = 12
+#: rows and bytes of what a task gives out at a time
+GIVEN_ROWS, GIVEN_BYTES = 20_000, 1 << 21
 SEGMENTS = "key long, d1 long, d2 long, doc_id long, at long, shape long"
 MARKS = "doc_id long, at long, shape long"
 
@@ -126,7 +128,7 @@ def _anchor_counts(docs: DataFrame, settings: Settings) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys[first]), pa.array(np.diff(np.append(first, len(keys))))], ["key", "n"])
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(count, "key long, n long")
+    rows = docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(tidied(count), "key long, n long")
     return stage(rows.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "anchors")
 
 
@@ -160,7 +162,7 @@ def _segments(docs: DataFrame, settings: Settings) -> DataFrame:
                            begin[first] << TAG_BITS | tag[piece[first]], shape]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "d1", "d2", "doc_id", "at", "shape"])
 
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(cut, SEGMENTS)
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(tidied(cut), SEGMENTS)
 
 
 def _place(at: str | Column) -> Column:
@@ -213,23 +215,29 @@ def _bytes_of(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "wanted"])
 
     lists = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("at", "shape", "key")).alias("wanted"))
-    lists = stage(lists.mapInArrow(pack, "doc_id long, wanted binary"), "wanted")
+    lists = stage(lists.mapInArrow(tidied(pack), "doc_id long, wanted binary"), "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
-            for doc_id, data, wanted in zip(batch.column(0).to_pylist(), byte_rows(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for doc_id, data, wanted in zip(batch.column(0).to_pylist(), byte_rows(batch.column(1)), batch.column(2), strict=True):
                 tag = tag_of(data)
-                for at, shape, key in np.frombuffer(wanted, np.int64).reshape(-1, 3).tolist():
+                for at, shape, key in np.frombuffer(wanted.as_buffer(), np.int64).reshape(-1, 3).tolist():
                     if at & ((1 << TAG_BITS) - 1) == tag:
                         start, windows = at >> TAG_BITS, shape & ((1 << WIDTH_BITS) - 1)
                         for column, value in zip(out, (key, doc_id, at, data[start:start + windows + settings.span - 1]), strict=True):
                             column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["key", "doc_id", "at", "data"])
+                        if len(out[0]) == GIVEN_ROWS:
+                            yield given(out)
+                            out = ([], [], [], [])
+            yield given(out)
+
+    def given(out: tuple[list, ...]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["key", "doc_id", "at", "data"])
 
     rows = _join(docs.select("doc_id", "text"), lists, ["doc_id"])
-    return rows.mapInArrow(cut, "key long, doc_id long, at long, data binary")
+    return rows.mapInArrow(tidied(cut), "key long, doc_id long, at long, data binary")
 
 
 def shard_repeats(ids: np.ndarray, at: np.ndarray, parts: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -289,7 +297,7 @@ def _sorted_shards(rows: DataFrame, settings: Settings) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [pa.array(ids[segment]), pa.array(at[segment] + (first << TAG_BITS)), pa.array(shape)], ["doc_id", "at", "shape"])
 
-    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(work, MARKS)
+    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(tidied(work), MARKS)
 
 
 def _single_windows(rows: DataFrame, settings: Settings) -> DataFrame:
@@ -303,7 +311,7 @@ def _single_windows(rows: DataFrame, settings: Settings) -> DataFrame:
                     [pa.array(digest[0::2]), pa.array(digest[1::2]), pa.array(np.full(n, doc_id)),
                      pa.array(at + (np.arange(n) << TAG_BITS))], ["d1", "d2", "doc_id", "at"])
 
-    rows = stage(rows.mapInArrow(cut, "d1 long, d2 long, doc_id long, at long"), "windows")
+    rows = stage(rows.mapInArrow(tidied(cut), "d1 long, d2 long, doc_id long, at long"), "windows")
     firsts = stage(rows.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"),
                    "firsts")
     rows = _join(rows, firsts, ["d1", "d2"])
@@ -343,7 +351,7 @@ def _stretches(marks: DataFrame, span: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "stretches"])
 
     lists = marks.groupBy("doc_id").agg(F.collect_set(F.struct("at", "shape")).alias("marks"))
-    return stage(lists.mapInArrow(merge, "doc_id long, stretches array<struct<tag:long,begin:long,end:long>>"), "stretches")
+    return stage(lists.mapInArrow(tidied(merge), "doc_id long, stretches array<struct<tag:long,begin:long,end:long>>"), "stretches")
 
 
 def remove_repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -388,16 +396,22 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFram
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            first, held = 0, 0
             sizes, spans, kept = [], [], []
-            for data, found in zip(byte_rows(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for row, (data, found) in enumerate(zip(byte_rows(batch.column(1)), batch.column(2), strict=True)):
+                found = found.as_py()
                 tag = tag_of(data) if found else None
                 own = [(s["begin"], s["end"]) for s in found or () if s["tag"] == tag]
                 sizes.append(len(data))
                 spans.append([{"begin": a, "length": b - a} for a, b in own])
                 cuts = [0, *[x for pair in own for x in pair], len(data)]
                 kept.append(b"".join([data[a:b] for a, b in zip(cuts[0::2], cuts[1::2], strict=True)]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())],
-                ["doc_id", "n_bytes", "spans", "kept"])
-
-    return rows.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<begin:long,length:long>>, kept binary")
+                held += len(data)
+                if held >= GIVEN_BYTES or row == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(first, len(sizes)), pa.array(sizes, pa.int64()), pa.array(spans, kind),
+                         pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+                    first, held = row + 1, 0
+                    sizes, spans, kept = [], [], []
+
+    return rows.mapInArrow(tidied(cut), "doc_id long, n_bytes long, spans array<struct<begin:long,length:long>>, kept binary")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 
-from panelyard.llm import lm
+from panelyard.llm import lm, packing, pieces, repeats
+from panelyard.llm.common import tidied
 
 
 class Caught:
@@ -51,3 +53,18 @@ def test_scoring_windows_are_bounded():
     sizes = [sum(map(len, held)) for _, held in lm._windows(batch, 0)]
     assert sum(sizes) == 8 * 200_000
     assert max(sizes) < (1 << 19) + 200_000
+
+
+def test_segment_bytes_and_kept_texts_are_given_out_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "GIVEN_ROWS", 3)
+    monkeypatch.setattr(repeats, "GIVEN_BYTES", 200)
+    given = []
+    monkeypatch.setattr(repeats, "tidied", lambda work: given.append(work) or tidied(work))
+    text = "".join(chr(97 + (i * i + 7 * i) % 26) for i in range(300))
+    docs = spark.createDataFrame([(k, text + str(k)) for k in range(6)], "doc_id long, text string")
+    repeats.remove_repeats(docs)
+    empty = pa.array([None] * 6, pa.list_(pa.struct([("tag", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([text] * 6), empty], ["doc_id", "text", "stretches"])
+    out = list(given[-1](iter([batch])))
+    assert [b.num_rows for b in out] == [1] * 6
+    assert [b.column(0).to_pylist()[0] for b in out] == list(range(6))
