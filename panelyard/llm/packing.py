@@ -88,9 +88,14 @@ def pack_lengths(pieces: DataFrame, length: int = LENGTH, slack: int = 8, fan: i
     written, so a lost executor repeats tasks of one round only, and only
     underfull bins ever move. Bins hold at most ``length`` pieces.
     """
-    spark = pieces.sparkSession
-    ship(spark)
+    ship(pieces.sparkSession)
+    narrow = pieces.select("doc_id", F.col("piece").cast("int"), F.col("start").cast("long"), F.col("length").cast("int"),
+                           F.col("crc").cast("long"))
+    return _merged(narrow.mapInArrow(tidied(_first_round(length)), BINS), length, slack, fan)
 
+
+def _first_round(length: int):
+    """Best fit of the pieces that a task holds, in windows of bounded size: batches of pieces to batches of bins."""
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count, made = [], 0, 0
         for batch in batches:
@@ -101,15 +106,20 @@ def pack_lengths(pieces: DataFrame, length: int = LENGTH, slack: int = 8, fan: i
             held.append(rows)
             count += len(rows)
             if count >= WINDOW_ITEMS:
-                out = _first(np.concatenate(held), made)
+                out = first(np.concatenate(held), made)
                 made, held, count = made + out.num_rows, [], 0
                 yield out
         if count:
-            yield _first(np.concatenate(held), made)
+            yield first(np.concatenate(held), made)
 
-    def _first(rows: np.ndarray, made: int) -> pa.RecordBatch:
+    def first(rows: np.ndarray, made: int) -> pa.RecordBatch:
         return _bins(rows["length"].astype(np.int64), [r.tobytes() for r in rows], length, 1, made)
 
+    return local
+
+
+def _merged(bins: DataFrame, length: int, slack: int, fan: int = 8) -> DataFrame:
+    """The pieces of all bins with sequence_id and offset, after the rounds that merge underfull ones."""
     def again(round_: int):
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, made = [], 0
@@ -127,9 +137,7 @@ def pack_lengths(pieces: DataFrame, length: int = LENGTH, slack: int = 8, fan: i
         whole = pa.Table.from_batches(held).sort_by([("fill", "descending"), ("sequence_id", "ascending")])
         return _bins(whole["fill"].to_numpy().astype(np.int64), whole["pieces"].to_pylist(), length, round_, made)
 
-    narrow = pieces.select("doc_id", F.col("piece").cast("int"), F.col("start").cast("long"), F.col("length").cast("int"),
-                           F.col("crc").cast("long"))
-    rounds = [stage(narrow.mapInArrow(tidied(local), BINS), "packed")]
+    rounds = [stage(bins, "packed")]
     parts = (rounds[0].agg(F.max("part")).first()[0] or 0) + 1
     final = None
     while parts > 1:
@@ -174,6 +182,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, end: int, length: int = LENGTH
     their own; an empty table gives no rows; other columns are left out.
     """
     ship(docs.sparkSession)
+    schema = "doc_id long, piece int, start long, length int, crc long" + ", ids binary" * ids
+    return docs.select("doc_id", "text").mapInArrow(tidied(_encoder(tokenizer, end, length, ids)), schema)
+
+
+def _encoder(tokenizer: str, end: int, length: int, ids: bool = False):
+    """Batches of (doc_id, text) to batches of pieces."""
     names = ["doc_id", "piece", "start", "length", "crc"] + ["ids"] * ids
     last = int(end).to_bytes(4, "little")
 
@@ -200,13 +214,19 @@ def token_pieces(docs: DataFrame, tokenizer: str, end: int, length: int = LENGTH
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=False)], names)
 
-    schema = "doc_id long, piece int, start long, length int, crc long" + ", ids binary" * ids
-    return docs.select("doc_id", "text").mapInArrow(tidied(encode), schema)
+    return encode
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end: int = 2, length: int = LENGTH, slack: int = 8) -> DataFrame:
-    """Every piece of every document with its sequence and place: see :func:`token_pieces` and :func:`pack_lengths`."""
-    placed = pack_lengths(token_pieces(docs, tokenizer, end, length), length, slack)
+    """Every piece of every document with its sequence and place: see :func:`token_pieces` and :func:`pack_lengths`.
+
+    A task encodes and packs in one Python worker: two calls one after the other
+    would take two, and an executor pays for the memory of both.
+    """
+    ship(docs.sparkSession)
+    encode, pack = _encoder(tokenizer, end, length), _first_round(length)
+    bins = docs.select("doc_id", "text").mapInArrow(tidied(lambda batches: pack(encode(batches))), BINS)
+    placed = _merged(bins, length, slack)
     return placed.select("doc_id", "piece", "start", F.col("length").cast("long"), F.col("crc").alias("ids_crc32"),
                          "sequence_id", "offset")
 

@@ -55,6 +55,23 @@ def test_scoring_windows_are_bounded():
     assert max(sizes) < (1 << 19) + 200_000
 
 
+def test_documents_are_packed_by_one_worker_a_task(spark, make_docs):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = make_docs([(1, "one two three", "en", "s"), (2, None, "en", "s"), (None, "x " * 3000, "en", "s")])
+    calls, old = [], type(docs).mapInArrow
+    type(docs).mapInArrow = lambda self, *a: calls.append(self) or old(self, *a)
+    try:
+        got = packing.pack_documents(docs, path, length=64).toPandas()
+    finally:
+        type(docs).mapInArrow = old
+    assert calls[0].columns == ["doc_id", "text"]
+    assert all("pieces" in c.columns for c in calls[1:])  # later calls read bins that are written
+    plain = packing.pack_lengths(packing.token_pieces(docs, path, 2, 64), 64).toPandas()
+    assert got.sequence_id.nunique() == plain.sequence_id.nunique()
+    assert sorted(zip(got.piece, got.start, got.length, got.ids_crc32, strict=True)) == sorted(
+        zip(plain.piece, plain.start, plain.length, plain.crc, strict=True))
+
+
 def test_segment_bytes_and_kept_texts_are_given_out_in_small_batches(spark, monkeypatch):
     monkeypatch.setattr(repeats, "GIVEN_ROWS", 3)
     monkeypatch.setattr(repeats, "GIVEN_BYTES", 200)
