@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from array import array
-from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import blake2b
 from math import exp, log
@@ -14,13 +13,12 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from panelyard.llm.common import mix64, ship, texts, tidied
+from panelyard.llm.common import mix64, power_tables, ship, texts, tidied
 
 SPACE = "▁"
 SMOOTH = 2e-4
 #: characters whose segments are sampled together, and length up to which a segment's lattice is held whole
 SLAB, WHOLE = 1 << 21, 1024
-_SEGMENTS = re.compile(f"{SPACE}| *[^ {SPACE}]+| +")
 _BORDER = re.compile("(?<=[^ ]) ")
 
 
@@ -71,13 +69,44 @@ class Lattice:
         self._number[32], self._number[ord(SPACE)] = self._number[ord(SPACE)], 0  # a mark in the text is literal
         kind = np.int32 if self._width * (len(self.prefixes) + 1) < 1 << 31 else np.int64
         steps = sorted((self.prefixes.get(p[:-1], 0) * self._width + number[p[-1]], k) for p, k in self.prefixes.items())
-        self._steps, self._next = np.array([k for k, _ in steps], kind), np.array([n for _, n in steps], kind)
+        self._hash(np.array([k for k, _ in steps], kind), np.array([n for _, n in steps], kind))
         self._root = np.zeros(self._width, kind)
         self._root[[number[p] for p in self.prefixes if len(p) == 1]] = [k for p, k in self.prefixes.items() if len(p) == 1]
         self._id, self._value = np.full(len(steps) + 1, -1, np.int32), np.zeros(len(steps) + 1)
         for p, (i, value, _) in self.weight.items():
             self._id[self.prefixes[p]], self._value[self.prefixes[p]] = i, value
 
+    def _hash(self, steps: np.ndarray, nodes: np.ndarray) -> None:
+        """A table of the steps, at least three quarters empty: each lies at its hash or at the next free place after it."""
+        bits = max(4, (4 * len(steps) - 1).bit_length())
+        self._shift = np.uint64(64 - bits)
+        table = np.full(1 << bits, -1, np.int64)
+        free, left = self._place(steps), np.arange(len(steps))
+        while len(left):
+            open_ = left[table[free[left]] < 0]
+            table[free[open_]] = open_  # of several for one place the last stays
+            left = left[table[free[left]] != left]
+            free[left] = (free[left] + 1) & (len(table) - 1)
+        self._steps = np.append(steps, steps.dtype.type(-1))[table]
+        self._next = np.append(nodes, nodes.dtype.type(0))[table]
+
+    def _place(self, steps: np.ndarray) -> np.ndarray:
+        return ((steps.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self._shift).astype(np.int64)
+
+    def _follow(self, wanted: np.ndarray) -> np.ndarray:
+        """Node that each step leads to, 0 for none."""
+        at = self._place(wanted)
+        step = self._steps[at]
+        node = np.where(step == wanted, self._next[at], 0)
+        open_ = np.flatnonzero((step != wanted) & (step >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self._steps) - 1)
+            step = self._steps[at[open_]]
+            hit = step == wanted[open_]
+            node[open_[hit]] = self._next[at[open_[hit]]]
+            open_ = open_[~hit & (step >= 0)]
+        return node
+
     def _pieces(self, marked: str, start: int) -> list[tuple[int, float, int]]:
         """(end, weight, code) of what may follow at ``start``; a code from ``size`` on is a character, which goes as bytes."""
         found, weight, prefixes = [], self.weight, self.prefixes
@@ -115,10 +144,9 @@ class Lattice:
         node = node[live]
         for length in range(1, self.longest + 1):
             if length > 1:
-                wanted = node * self._steps.dtype.type(self._width) + char[live + length - 1]
-                at = np.minimum(np.searchsorted(self._steps, wanted), len(self._steps) - 1)
-                there = self._steps[at] == wanted
-                live, node = live[there], self._next[at[there]]
+                node = self._follow(node * self._steps.dtype.type(self._width) + char[live + length - 1])
+                there = np.flatnonzero(node)
+                live, node = live[there], node[there]
             ids = self._id[node]
             if length == 1:
                 code, value = raw + self.size, (1 + (raw >= 0x80) + (raw >= 0x800) + (raw >= 0x10000)) * self.fallback
@@ -225,28 +253,24 @@ class Lattice:
 
     def _sample(self, slab: list[tuple[int, np.uint64, int, str]], out: list[list[np.ndarray]]) -> None:
         """Backward sampling of all segments of some parts of texts, one piece of each a step."""
-        segments: list[str] = []
-        counts, sizes, places = [], [], []
-        for _, _, at, part in slab:
-            found = _SEGMENTS.findall(part)
-            segments += found
-            counts.append(len(found))
-            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-            places.append(at + np.cumsum(sizes[-1]) - sizes[-1])
-        size, place = np.concatenate(sizes), np.concatenate(places)
+        whole = "".join([s[3] for s in slab])
+        raw = np.frombuffer(whole.encode("utf-32-le"), np.int32)
+        upto = np.cumsum([0, *(len(s[3]) for s in slab)])
+        start = _starts(raw, upto[:-1])
+        size = np.diff(np.append(start, len(raw)))
+        bounds = np.searchsorted(start, upto)
+        counts = np.diff(bounds)
+        place = start + np.repeat([s[2] for s in slab] - upto[:-1], counts)
         seed = np.repeat(np.array([s[1] for s in slab], np.uint64), counts)
-        long = {int(k): self._long(segments[k], seed[k], int(place[k])) for k in np.flatnonzero(size > WHOLE)}
-        rank_of = dict.fromkeys(segments, 0)
-        distinct = sorted(rank_of, key=len, reverse=True)
-        distinct = distinct[bisect_left(distinct, -WHOLE, key=lambda x: -len(x)):]
-        rank_of.update(zip(distinct, range(len(distinct)), strict=True))
-        rank = np.fromiter(map(rank_of.__getitem__, segments), np.int64, len(segments))
-        many = np.zeros(len(segments), np.int64)
+        long = {int(k): self._long(whole[start[k]:start[k] + size[k]], seed[k], int(place[k])) for k in np.flatnonzero(size > WHOLE)}
+        first, rank = _distinct(raw, start, size)
+        distinct = [whole[a:a + n] for a, n in zip(start[first].tolist(), size[first].tolist(), strict=True)]
+        many = np.zeros(len(start), np.int64)
         steps = []
         live = np.flatnonzero(size <= WHOLE)
         end = size[live]
         if distinct:
-            level, first, share, starts, ids = self._filter(distinct, np.fromiter(map(len, distinct), np.int64, len(distinct)))
+            level, first, share, starts, ids = self._filter(distinct, size[first])
         while len(live):
             node = level[end - 1] + rank[live]
             way, last = first[node], first[node + 1] - 1
@@ -268,10 +292,10 @@ class Lattice:
             codes[upto[live + 1] - 1 - k] = step
         for k, step in long.items():
             codes[upto[k]:upto[k + 1]] = step
-        whole, ends = self._spelt(codes)
-        bounds = ends[upto[np.concatenate(([0], np.cumsum(counts)))]]
+        spelt, ends = self._spelt(codes)
+        bounds = ends[upto[bounds]]
         for (row, *_), low, high in zip(slab, bounds, bounds[1:], strict=False):
-            out[row].append(whole[low:high])
+            out[row].append(spelt[low:high])
 
     def _spelt(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids, with the UTF-8 bytes of characters that go as bytes, and where each code begins (and the last ends)."""
@@ -296,6 +320,48 @@ class Lattice:
         return self.decode_bytes(ids).decode("utf-8")
 
 
+def _starts(raw: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Where the segments of some parts of texts begin: a mark, or a run of spaces with what follows it up to a space or mark."""
+    space, mark = raw == 32, raw == ord(SPACE)
+    new = mark.copy()
+    new[1:] |= mark[:-1] | (space[1:] & ~space[:-1])
+    new[parts[parts < len(raw)]] = True
+    return np.flatnonzero(new)
+
+
+def _distinct(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One segment of each text, the longest first, and the number of its text for every segment of up to ``WHOLE`` characters.
+
+    Segments are put together by a sum of powers and their size, and each is then
+    compared with the one that stands for it; those that differ from it go by their characters.
+    """
+    rank = np.zeros(len(start), np.int64)
+    own = np.flatnonzero(size <= WHOLE)
+    if not len(own):
+        return own, rank
+    up, down = power_tables(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw + 1).astype(np.uint64) * up[:len(raw)], out=sums[1:])
+    a, n = start[own], size[own]
+    key = mix64((sums[a + n] - sums[a]) * down[a] + n.astype(np.uint64))
+    _, first, back = np.unique(key, return_index=True, return_inverse=True)
+    other, ends = start[own[first]][back], np.cumsum(n)
+    inside = np.arange(ends[-1]) - np.repeat(ends - n, n)
+    equal = raw[np.repeat(a, n) + inside] == raw[np.minimum(np.repeat(other, n) + inside, len(raw) - 1)]
+    same = np.logical_and.reduceat(equal, ends - n) & (n == n[first][back])
+    rank[own], first = back, own[first]
+    more: dict[bytes, int] = {}
+    for k in own[~same].tolist():
+        text = raw[start[k]:start[k] + size[k]].tobytes()
+        if text not in more:
+            more[text], first = len(first), np.append(first, k)
+        rank[k] = more[text]
+    order = np.argsort(-size[first], kind="stable")
+    number = np.empty(len(first), np.int64)
+    number[order] = np.arange(len(first))
+    return first[order], number[rank]
+
+
 def _draws(seed: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Uniform numbers below 1, one per seed and place."""
     return (mix64(seed + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) * 2.0 ** -53

@@ -85,3 +85,28 @@ def test_segment_bytes_and_kept_texts_are_given_out_in_small_batches(spark, monk
     out = list(given[-1](iter([batch])))
     assert [b.num_rows for b in out] == [1] * 6
     assert [b.column(0).to_pylist()[0] for b in out] == list(range(6))
+
+
+def test_segments_with_equal_sums_stay_apart():
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a  # 1024 characters: their sums of powers agree modulo 2**64 whatever the odd base
+    raw = np.frombuffer("▁".join([a, b, a, b, "c c"]).encode("utf-32-le"), np.int32)
+    start = pieces._starts(raw, np.array([0]))
+    size = np.diff(np.append(start, len(raw)))
+    first, rank = pieces._distinct(raw, start, size)
+    texts = [raw[s:s + n].tobytes() for s, n in zip(start, size, strict=True)]
+    assert [texts[k] for k in first[rank]] == texts
+    assert len(first) == len(set(texts))
+    assert (np.diff(size[first]) <= 0).all()
+
+
+def test_steps_of_the_trie_are_found_by_hash():
+    lattice = pieces.Lattice.of(public_tokenizers.path("piece_bpe_32k.model"), pieces.SMOOTH)
+    steps, nodes = np.arange(0, 9000, 3), np.arange(1, 3001)
+    kept = lattice._steps, lattice._next, lattice._shift
+    try:
+        lattice._hash(steps, nodes)
+        assert lattice._follow(np.arange(9000)).tolist() == [k // 3 + 1 if k % 3 == 0 else 0 for k in range(9000)]
+    finally:
+        lattice._steps, lattice._next, lattice._shift = kept
