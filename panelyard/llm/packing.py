@@ -8,17 +8,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.llm.common import ship, tidied
-from panelyard.llm.tokens import TokenCache
+from panelyard.llm.tokens import WordEncoder
 from panelyard.plans.stage import stage
 
 LENGTH = 1024
 WINDOW_ITEMS = 100_000
-WINDOW_BYTES = 1 << 21
+WINDOW_BYTES = 1 << 22
 #: one piece inside a bin; ``has_id`` is 0 for a null id
 PIECE = np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4"), ("has_id", "u1")])
 BINS = "sequence_id long, round int, part int, fill int, pieces binary"
@@ -192,21 +193,15 @@ def _encoder(tokenizer: str, end: int, length: int, ids: bool = False):
     last = int(end).to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = TokenCache.of(tokenizer)
-        for batch in batches:
-            at, size = 0, 0
-            for k, text in enumerate(batch.column(1)):
-                size += len(text.as_buffer() or b"") if text.is_valid else 0
-                if size >= WINDOW_BYTES or k == batch.num_rows - 1:
-                    yield pieces_of(cache, batch.slice(at, k + 1 - at))
-                    at, size = k + 1, 0
-        cache.clear()
-
-    def pieces_of(cache: TokenCache, batch: pa.RecordBatch) -> pa.RecordBatch:
+        encoder = WordEncoder.of(tokenizer)
+        for doc_ids, texts in _windows(batches):
+            yield pieces_of(doc_ids, encoder.encode_all(texts))
+        encoder.clear()
+
+    def pieces_of(doc_ids: pa.Array, coded: Iterator[np.ndarray]) -> pa.RecordBatch:
         rows: list[list] = [[] for _ in names]
-        coded = cache.encode_all([t or "" for t in batch.column(1).to_pylist()])
-        for doc_id, found in zip(batch.column(0).to_pylist(), coded, strict=True):
-            data = found + last
+        for doc_id, found in zip(doc_ids.to_pylist(), coded, strict=True):
+            data = found.tobytes() + last
             for k, (start, n) in enumerate(cut(len(data) // 4, length)):
                 span = data[4 * start:4 * (start + n)]
                 for column, value in zip(rows, (doc_id, k, start, n, zlib.crc32(span), span), strict=False):
@@ -217,6 +212,25 @@ def _encoder(tokenizer: str, end: int, length: int, ids: bool = False):
     return encode
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """doc_id and text (null: empty) of rows in their order, about ``WINDOW_BYTES`` of text at a time."""
+    held, size = [], 0
+    for batch in batches:
+        texts = batch.column(1).cast(pa.large_string()).fill_null("")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy() + 16)  # short texts count too
+        at, done = 0, 0
+        while at < len(texts):
+            to = min(int(np.searchsorted(ends, done + WINDOW_BYTES - size)) + 1, len(texts))
+            held.append((batch.column(0).slice(at, to - at), texts.slice(at, to - at)))
+            size += int(ends[to - 1]) - done
+            at, done = to, int(ends[to - 1])
+            if size >= WINDOW_BYTES:
+                yield tuple(map(pa.concat_arrays, zip(*held, strict=True)))
+                held, size = [], 0
+    if held:
+        yield tuple(map(pa.concat_arrays, zip(*held, strict=True)))
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, end: int = 2, length: int = LENGTH, slack: int = 8) -> DataFrame:
     """Every piece of every document with its sequence and place: see :func:`token_pieces` and :func:`pack_lengths`.
 
