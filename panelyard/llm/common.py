@@ -7,6 +7,7 @@ import io
 import tempfile
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from hashlib import blake2b
 from pathlib import Path
 
@@ -53,6 +54,18 @@ def give_back() -> None:
         trim(0)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of at most ``rows`` rows in jobs run meanwhile; executors hold fewer long texts at once, in both processes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(usual)) if int(usual) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, usual)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

@@ -13,13 +13,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import ship, tidied
+from panelyard.llm.common import ship, small_batches, tidied
 from panelyard.llm.tokens import WordEncoder
 from panelyard.plans.stage import stage
 
 LENGTH = 1024
 WINDOW_ITEMS = 100_000
-WINDOW_BYTES = 1 << 22
+WINDOW_BYTES = 1 << 21
 #: one piece inside a bin; ``has_id`` is 0 for a null id
 PIECE = np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4"), ("has_id", "u1")])
 BINS = "sequence_id long, round int, part int, fill int, pieces binary"
@@ -138,7 +138,8 @@ def _merged(bins: DataFrame, length: int, slack: int, fan: int = 8) -> DataFrame
         whole = pa.Table.from_batches(held).sort_by([("fill", "descending"), ("sequence_id", "ascending")])
         return _bins(whole["fill"].to_numpy().astype(np.int64), whole["pieces"].to_pylist(), length, round_, made)
 
-    rounds = [stage(bins, "packed")]
+    with small_batches(bins.sparkSession):
+        rounds = [stage(bins, "packed")]
     parts = (rounds[0].agg(F.max("part")).first()[0] or 0) + 1
     final = None
     while parts > 1:

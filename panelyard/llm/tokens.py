@@ -14,7 +14,7 @@ MARKS = ".,;:!?"
 #: bytes of words joined in a call of the tokenizer, and characters of words in a call that encodes each by itself
 JOINED, ALONE = 1 << 11, 1 << 16
 #: bytes of a word, of all words in memory, and words of texts whose ids are laid out at once
-LONGEST, MOST_BYTES, BLOCK = 64, 32 << 20, 1 << 16
+LONGEST, MOST_BYTES, BLOCK = 64, 16 << 20, 1 << 16
 _SPACE = r"\t\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: chunks that begin (after a line end before it) or end with white space, or are empty
 _ODD = rf"^\n?(?:[{_SPACE}]|$)|[\n{_SPACE}]$"

@@ -14,6 +14,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from panelyard.llm import packing, tokens
+from panelyard.llm.common import small_batches
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = ["foo", "it's", "X", "é", "ñandú,", "日本", "字。", "a1", "--", "...", "bar.", "THE!!", "<|endoftext|>", "́", "😀", "á,", "२,", "w" * 90]
@@ -44,7 +45,7 @@ def odd_texts(n: int) -> list[str | None]:
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-@pytest.mark.parametrize(("window", "most"), [(1 << 22, 32 << 20), (500, 2000)])
+@pytest.mark.parametrize(("window", "most"), [(1 << 21, 16 << 20), (500, 2000)])
 def test_ids_are_those_of_whole_texts(monkeypatch, name, window, most):
     monkeypatch.setattr(packing, "WINDOW_BYTES", window)
     monkeypatch.setattr(tokens, "MOST_BYTES", most, raising=False)
@@ -106,3 +107,22 @@ def test_white_space_leaves_words_encoded_once(monkeypatch, tmp_path):
     plain = Tokenizer.from_file(BPE)
     assert [np.frombuffer(got[k], "<u4").tolist() for k in got] == [[*plain.encode(t).ids, 2] for t in texts]
     assert sum(given) < sum(map(len, texts)) / 10
+
+
+def test_texts_come_in_small_batches_while_they_are_packed(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(name)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    rows = spark.range(50).repartition(1).mapInArrow(sizes, "n long")
+    with small_batches(spark, 20):
+        assert sorted(r.n for r in rows.collect()) == [10, 20, 20]
+    assert spark.conf.get(name) == usual
+    seen, old = [], packing.stage
+    monkeypatch.setattr(packing, "stage", lambda *a: seen.append(int(spark.conf.get(name))) or old(*a))
+    packing.pack_documents(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string").repartition(2), BPE)
+    assert seen[0] <= 1000 and seen[1:] == [int(usual)] * len(seen[1:])
+    assert spark.conf.get(name) == usual
